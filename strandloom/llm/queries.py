@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontam, html_extract, langid, media, toxicity
+from . import blocks, decontam, html_extract, langid, line_dedup, media, near_dup, pii, toxicity
 
 
 def _remainder(n: int) -> Column:
@@ -36,14 +36,26 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.remove(blocks.read(spark, sf_dir, "documents")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = blocks.read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_remainder(3) != 1))
     return langid.identify(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "lang_spans")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(blocks.read(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(blocks.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_main_text, op6_media, op8_language)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_main_text, op6_media, op7_line_dedup, op8_language, op9_near_duplicates, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
