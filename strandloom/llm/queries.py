@@ -8,13 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontam, html_extract, langid, line_dedup, media, near_dup, pii, toxicity
+from . import blocks, decontam, html_extract, langid, line_dedup, lm_score, media, mixing, near_dup, pii, toxicity
 
 
 def _remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = blocks.read(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.domain_labels(docs, blocks.read(spark, sf_dir, "labels")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = blocks.read(spark, sf_dir, "documents"), blocks.read(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(_remainder(5) != 0), labels.where(_remainder(5) != 0))
@@ -30,6 +35,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(blocks.read(spark, sf_dir, "pages"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(blocks.read(spark, sf_dir, "documents"), _remainder(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{blocks.shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
     made = media.media_columns(spark, blocks.read(spark, sf_dir, "documents"), folder)
@@ -54,8 +64,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(blocks.read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_main_text, op6_media, op7_line_dedup, op8_language, op9_near_duplicates, op10_personal_data)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontaminate, op4_main_text, op5_language_model, op6_media, op7_line_dedup, op8_language, op9_near_duplicates, op10_personal_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
