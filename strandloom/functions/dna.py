@@ -52,8 +52,9 @@ def derive_sequence(text: Column) -> Column:
 
 
 def derive_protein(text: Column) -> Column:
-    """Met, then the amino-acid letters of a text."""
-    return F.concat(F.lit("M"), F.regexp_replace(F.upper(text), "[^ACDEFGHIKLMNPQRSTVWY]", ""))
+    """Met, then the amino-acid letters of a text; only ASCII letters change case, as some letters grow when they do."""
+    upper = F.translate(text, "acdefghiklmnpqrstvwy", "ACDEFGHIKLMNPQRSTVWY")
+    return F.concat(F.lit("M"), F.regexp_replace(upper, "[^ACDEFGHIKLMNPQRSTVWY]", ""))
 
 
 def reverse_complement(seq: Column) -> Column:

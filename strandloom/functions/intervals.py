@@ -12,8 +12,9 @@ def _shifts(length: Column, circular: Column) -> list[Column]:
 
 def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column, length: Column, circular: Column) -> Column:
     """Longest overlap of two intervals over the shifts 0, +length and -length (the last two on circles)."""
-    parts = [F.greatest(F.lit(0), F.least(a1, b1 + s) - F.greatest(a0, b0 + s)) for s in _shifts(length, circular)]
-    return F.greatest(parts[0], *[F.coalesce(p, F.lit(0)) for p in parts[1:]])
+    # ``least`` and ``greatest`` skip nulls, so a shift that does not apply is ruled out by name.
+    parts = [F.when(s.isNotNull(), F.greatest(F.lit(0), F.least(a1, b1 + s) - F.greatest(a0, b0 + s))).otherwise(F.lit(0)) for s in _shifts(length, circular)]
+    return F.greatest(*parts)
 
 
 def contains(a0: Column, a1: Column, b0: Column, b1: Column, length: Column, circular: Column) -> Column:

@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
-from . import registry, sequence  # noqa: F401
+from . import engine, registry, sequence  # noqa: F401
 
 QUERIES = registry.QUERIES
