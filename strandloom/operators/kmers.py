@@ -73,8 +73,8 @@ def _codes(seq: str) -> np.ndarray:
 def _windows(codes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit number per k-mer start (2 bits a base, k up to 31)."""
     two = ((codes >> 1) & 3).astype(np.uint64)
-    n = len(codes) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(len(codes) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
     for j in range(k):
         out = out << np.uint64(2) | two[j : j + n]
     return out

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORD = T.StructType.fromDDL(
-    "name string, sequence string, topology string, features array<struct<kind:string,start:int,end:int,strand:int,parts:array<struct<start:int,end:int,strand:int>>,qualifiers:map<string,array<string>>>>, notes array<string>"
-)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_PART = _struct(start=T.IntegerType(), end=T.IntegerType(), strand=T.IntegerType())
+_FEATURE = _struct(kind=T.StringType(), start=T.IntegerType(), end=T.IntegerType(), strand=T.IntegerType(), parts=T.ArrayType(_PART), qualifiers=T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+#: A sequence file's record; intervals that wrap end past the length.
+RECORD = _struct(name=T.StringType(), sequence=T.StringType(), topology=T.StringType(), features=T.ArrayType(_FEATURE), notes=T.ArrayType(T.StringType()))
 
 
 def parse_location(text: str, length: int, circular: bool) -> list[tuple[int, int, int]]:
