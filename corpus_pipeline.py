@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again.  Stages but the last return the
-columns of ``documents``.
+columns of ``documents``.  Rows without a ``doc_id`` cannot be told apart and go in the first stage; rows that share one
+are kept or dropped together.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops rows without a language; ``lang`` keeps its value where given and is filled from the prediction elsewhere."""
     model = langid.fit(docs)
     found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE))
-    kept = found.select(F.col("doc_id").alias("_id"), F.col("lang_pred").alias("_lang"))
-    joined = docs.join(kept, docs["doc_id"] == kept["_id"])
-    return joined.select(*[F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    kept = found.select(F.col("doc_id").alias("__id"), F.col("lang_pred").alias("__lang")).dropDuplicates(["__id"])
+    joined = docs.join(kept, docs["doc_id"] == kept["__id"])
+    return joined.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes aligned common blocks from later documents; a document left blank goes."""
-    cleaned = line_dedup.remove(docs)
-    return cleaned.where(F.col("removed").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    cleaned = line_dedup.remove(docs, column="__blocks")
+    return cleaned.where(F.col("__blocks").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's domain and rate; rate 0 documents go, as they are never drawn."""
     mixed = mixing.mix(docs, mixing.domain_labels(docs, blocks.read(spark, sf_dir, "labels")))
-    rates = mixed.where("rate > 0").select(F.col("doc_id").alias("_id"), "domain", F.round("rate", 6).alias("rate"))
-    return docs.join(rates, docs["doc_id"] == rates["_id"]).drop("_id")
+    rates = mixed.where("rate > 0").select(F.col("doc_id").alias("__id"), "domain", F.round("rate", 6).alias("rate")).dropDuplicates(["__id"])
+    return docs.drop("domain", "rate").join(rates, docs["doc_id"] == rates["__id"]).drop("__id")
 
 
 STAGES = [

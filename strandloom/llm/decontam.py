@@ -290,12 +290,13 @@ def report(found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without its removal spans, same columns; a text left without any word goes.
 
-    The spans come back to the texts by ``doc_id`` (the texts are shuffled once); ``n_chars`` follows the text.
+    The spans come back to the texts by ``doc_id`` (the texts are shuffled once); ``n_chars`` follows the text.  Rows that
+    share a ``doc_id`` must share their text; rows without one stay as they are.
     """
-    found = find(docs, benchmark, **options).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
+    found = find(docs, benchmark, **options).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans")).dropDuplicates(["doc_id"])
     joined = docs.join(found, "doc_id", "left")
-    pieces = F.expr("""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at))), a -> concat(a.out, substring(text, a.at + 1, length(text))))""")
-    kept = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(pieces)
-    out = joined.withColumn("_text", kept).where(F.col("_spans").isNull() | F.col("_text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
-    made = {c: F.col("_text") if c == "text" else F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.length("_text").cast("long")) if c == "n_chars" else F.col(c) for c in docs.columns}
+    pieces = F.expr("""aggregate(__spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at))), a -> concat(a.out, substring(text, a.at + 1, length(text))))""")
+    kept = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pieces)
+    out = joined.withColumn("__text", kept).where(F.col("__spans").isNull() | F.col("__text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    made = {c: F.col("__text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text").cast("long")) if c == "n_chars" else F.col(c) for c in docs.columns}
     return out.select(*[e.alias(c) for c, e in made.items()])

@@ -112,6 +112,10 @@ def extract(page: str | None, window: int = WINDOW) -> str:
     if not page:
         return ""
     texts, allowed, marked = lines(page)
+    filled = [i for i, t in enumerate(texts) if t]
+    if not filled:
+        return ""
+    texts, allowed = [texts[i] for i in filled], [allowed[i] for i in filled]
     length = np.array([len(t) if a else 0 for t, a in zip(texts, allowed, strict=True)])
     sums = np.convolve(length, np.ones(window, np.int64))  # sums[i]: lines i-window+1 .. i
     high = 1 if marked else max(1, min(80, int(0.2 * sums.max())))

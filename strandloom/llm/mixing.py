@@ -10,8 +10,8 @@ sqrt(n_d) r_d.  The objective reaches the driver only as one number per domain a
 recomputed from its posterior and the rounds' residuals, so no state is written between rounds.
 
 Null, empty and wordless texts have no tokens: rate 1, posterior the prior.  Repeated rows get equal rates; extra
-columns are ignored; domains without target get weight 0, targets without domain are an error, as is a table
-without labelled rows.
+columns are ignored; domains without target get weight 0, targets without domain are an error; without labelled rows
+there is one domain, ``all``, and every rate is 1.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def fit(labelled: DataFrame, rows_per_domain: int = 600, seed: int = 29) -> Doma
     known = labelled.where(F.col("domain").isNotNull() & F.col("text").isNotNull())
     totals = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not totals:
-        raise ValueError("no labelled rows")
+        return DomainModel(("all",), np.zeros(1), np.zeros((1 << BUCKET_BITS, 1), np.float32))
     domains = tuple(sorted(totals))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     keep = F.lit(False)

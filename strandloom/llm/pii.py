@@ -1,7 +1,7 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.  DataFrame functions only.
 
-Base matches (email, ip, card, phone) are seeds.  Candidates are tokens with digits or an at sign.  A candidate's
-lexical patterns are its left word with its character shape, and its two left words.  Patterns and instances
+Base matches (email, ip, card, phone) are seeds.  Candidates are other tokens with digits or an at sign.  The lexical
+patterns of either are its left word with its character shape, and its two left words.  Patterns and instances
 (a token's text) form a graph: a pattern's confidence in a kind is the share of its distinct instances known to
 be of that kind, an instance's score the noisy-or of its patterns' confidences; ``rounds`` rounds of mutual
 scoring let high-confidence patterns discover identifiers that no base pattern matches.
@@ -32,7 +32,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 TOKEN = r"(?<!\S)\S*[0-9@]\S*"
-SPAN = "struct<start:int,end:int,kind:int,token:string>"
+SPAN = "struct<start:int,end:int,kind:int,token:string,left:string,left2:string>"
 
 
 def _matches(text: Column, pattern: str, need: str) -> Column:
@@ -49,6 +49,11 @@ def _matches(text: Column, pattern: str, need: str) -> Column:
     return F.when(text.rlike(need), F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
 
 
+def _context(gap: Column) -> tuple[Column, Column]:
+    """The word before, and the two words before."""
+    return F.regexp_extract(gap, r"(?:^|\s)(\S+)\s*$", 1).alias("left"), F.regexp_extract(gap, r"(?:^|\s)(\S+\s+\S+)\s*$", 1).alias("left2")
+
+
 def _valid(kind: str, token: Column) -> Column:
     digits = F.regexp_replace(token, "[^0-9]", "")
     if kind == "ip":
@@ -68,12 +73,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     def of(kind: str) -> Column:
         kept = F.filter(_matches(F.col("text"), PATTERNS[kind], NEEDS[kind]), lambda m: _valid(kind, m["token"]))
-        spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m["token"].alias("token")))
+        spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m["token"].alias("token"), *_context(m["gap"])))
         return F.coalesce(F.when(signs, spans), F.array().cast(f"array<{SPAN}>"))
 
     # Ordered by start, then kind; spans of one kind never share a start.
     spans = F.array_sort(F.concat(*(of(k) for k in KINDS)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    found = F.transform(_matches(F.col("text"), TOKEN, "[0-9@]"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"), F.regexp_extract(m["gap"], r"(?:^|\s)(\S+)\s*$", 1).alias("left"), F.regexp_extract(m["gap"], r"(?:^|\s)(\S+\s+\S+)\s*$", 1).alias("left2")))
+    found = F.transform(_matches(F.col("text"), TOKEN, "[0-9@]"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"), *_context(m["gap"])))
     return rows.select("doc_id", spans.alias("base"), F.when(signs, found).alias("found"))
 
 
@@ -87,10 +92,11 @@ def bootstrap(base: DataFrame, rounds: int = 3, min_known: int = 3, min_confiden
     trimmed = F.regexp_replace("c.token", r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$", "")
     # What is cut at the left moves the start; the rest follows from the length.
     lead = F.length("c.token") - F.length(F.regexp_replace("c.token", r"^[^0-9A-Za-z+(]+", ""))
-    item = item.select("doc_id", "base", (F.col("c.start") + lead).alias("start"), trimmed.alias("token"), F.lower("c.left").alias("left"), F.lower(F.regexp_replace("c.left2", r"\s+", " ")).alias("left2"))
-    item = item.withColumn("end", F.col("start") + F.length("token"))
-    known = F.expr("try_element_at(filter(base, b -> b.start < end and start < b.end), 1)")
-    item = item.where(F.length(F.regexp_replace("token", "[^0-9A-Za-z]", "")) >= min_signs).withColumn("seed", known["kind"]).drop("base")
+    item = item.select("doc_id", "base", (F.col("c.start") + lead).alias("start"), trimmed.alias("token"), "c.left", "c.left2").withColumn("end", F.col("start") + F.length("token"))
+    free = F.expr("not exists(base, b -> b.start < end and start < b.end)")
+    other = item.where(free & (F.length(F.regexp_replace("token", "[^0-9A-Za-z]", "")) >= min_signs)).select("doc_id", "start", "end", "token", "left", "left2", F.lit(None).cast("int").alias("seed"))
+    seeded = base.where(F.size("base") > 0).select("doc_id", F.explode("base").alias("b")).select("doc_id", "b.start", "b.end", "b.token", "b.left", "b.left2", F.col("b.kind").alias("seed"))
+    item = seeded.unionByName(other).withColumn("left", F.lower("left")).withColumn("left2", F.lower(F.regexp_replace("left2", r"\s+", " ")))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
     patterns = F.filter(F.array(F.when(F.col("left") != "", F.concat(F.lit("1|"), "left", F.lit("|"), shape)), F.when(F.col("left2") != "", F.concat(F.lit("2|"), "left2"))), lambda p: p.isNotNull())
     item = blocks.cut(item.select("doc_id", "start", "end", "token", "seed", patterns.alias("patterns")))
@@ -120,7 +126,7 @@ def _join(spans: Column) -> Column:
 def find(docs: DataFrame, **options) -> DataFrame:
     """Counts, base digest and all spans of each row of ``docs(doc_id, text)``; rows with one ``doc_id`` share added spans of each."""
     base = blocks.cut(base_spans(docs))
-    added = bootstrap(base, **options).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("start", "end", "kind", "token"))).alias("added"))
+    added = bootstrap(base, **options).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("start", "end", "kind", "token", F.lit("").alias("left"), F.lit("").alias("left2")))).alias("added"))
     joined = base.select("doc_id", "base").join(added, "doc_id", "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS)]

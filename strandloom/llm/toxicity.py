@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, clean_rows: int = 1200, toxic_rows:
     of at most ``sample_chars`` characters are used; the document regression sees all of them, whole.
     """
     ids = blocks.cut(_sample(labels, "toxic", (clean_rows, toxic_rows), seed))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
     short = rows.where(F.length("text") <= sample_chars).toPandas()
     y = short.y.to_numpy()
     if len(y) == 0 or y.min() == y.max():

@@ -1,0 +1,370 @@
+"""Operators against brute force on small tables, and on the odd rows they must take."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.llm import blocks, decontam, html_extract, langid, line_dedup, lm_score, media, mixing, near_dup, pii, queries, toxicity
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def crc(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return blocks.read(spark, sf, "documents")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "ünder", "42", "x-y"]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "   \n\n ", "en", "s", 5), (4, long, "de", "s", len(long)), (5, "same text here", "en", "s", 14), (5, "same text here", "en", "s", 14), (6, "same text here", "en", "s", 14), (7, "— … €", "en", "s", 5), (None, "no id at all", "en", "s", 12), (8, "a" * 300_000, "en", "s", 300_000)]
+    df = spark.createDataFrame(rows, DOCS)
+    for extra in ("score", "removed", "spans", "rate", "domain", "key", "y", "band", "train", "kind"):
+        df = df.withColumn(extra, F.lit(7))
+    return df
+
+
+def empty(spark, schema=DOCS):
+    return spark.createDataFrame([], schema)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_odd_rows_everywhere(spark, odd):
+    n = odd.count()
+    none = empty(spark)
+    bench = spark.createDataFrame([(1, "same text here"), (2, None), (3, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(5, 1, 1), (4, 0, 0), (5, 1, None), (None, None, None), (7, None, 0)], LABELS)
+    for table, size in ((odd, n), (none, 0)):
+        assert langid.identify(table, langid.fit(table)).count() == size
+        for gold in (labels, empty(spark, LABELS)):
+            scored = toxicity.score(table, toxicity.fit(table, gold)).collect()
+            assert len(scored) == size and all(0 <= r.score <= 1 for r in scored)
+            assert mixing.mix(table, mixing.domain_labels(table, gold)).count() == size
+        for b in (bench, empty(spark, "item_id long, text string")):
+            assert decontam.report(decontam.find(table, b)).count() == size
+            assert decontam.remove(table, b).columns == table.columns
+        assert pii.find(table).count() == size
+        cleaned = line_dedup.remove(table, column="__blocks")
+        assert cleaned.count() == size and cleaned.columns == [*table.columns, "__blocks"]
+        assert near_dup.classes(table).count() == size
+        assert lm_score.score(table, F.col("doc_id") > 3).count() == size
+        assert media.media_columns(spark, table, f"{blocks.shared_dir(spark)}/odd-{size}").count() == size
+    pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (3, "u", "<p>x"), (3, "u", "<p>x"), (4, "u", "<div>" * 50_000 + "deep"), (5, "u", "<!-- " * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = html_extract.extract_pages(pages).collect()
+    assert [r.text for r in got][:4] == ["", "", "x", "x"] and len(got) == 6
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_language_accuracy_and_mixed_spans(spark, sf):
+    table = blocks.read(spark, sf, "documents")
+    got = queries.op8_language(spark, sf).join(table.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+    rows = {r.lang: r.text for r in table.where("length(text) between 400 and 2000").collect()}
+    text = rows["en"] + " " + rows["de"]
+    row = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), langid.fit(table)).first()
+    main = [s for s in row.lang_spans if s.end - s.start > 100]
+    assert [s.lang for s in main] == ["en", "de"] and abs(main[1].start - len(rows["en"])) < 60
+
+
+def test_toxicity_finds_planted_words(spark):
+    rng = random.Random(0)
+    neutral = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    rows, gold = [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        words = [rng.choice(neutral) for _ in range(60)]
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(60)] = rng.choice(["zorkface", "blughead", "Quxbrain"])
+        rows.append((i, " ".join(words)))
+        gold.append((i, 1, int(toxic)))
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(gold, LABELS)
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    got = toxicity.score(table, toxicity.fit(table.where(train), labels.where(train))).where(~train).collect()
+    truth = {i: y for i, _, y in gold}
+    assert sum(r.predicted == truth[r.doc_id] for r in got) / len(got) > 0.97
+    texts = dict(rows)
+    found = [texts[r.doc_id][s.start : s.end].lower() for r in got for s in r.toxic_spans]
+    bad = re.compile("^(zorkface|blughead|quxbrain| )+$")
+    assert found and sum(bool(bad.match(x)) for x in found) / len(found) > 0.9
+
+
+def test_toxicity_held_out(spark, sf):
+    got = queries.op2_toxicity(spark, "/root/testdata/sf0.01").join(blocks.read(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
+    pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    assert sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg)) > 0.75
+
+
+def brute_decontam(rows, items, width=10):
+    windows = {}
+    for i, text in items:
+        w = WORD.findall(low(text))
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    out = {}
+    for doc, text in rows:
+        w = WORD.findall(low(text))
+        hit, found = [0] * len(w), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    found |= windows[tuple(w[k : k + size])]
+                    hit[k : k + size] = [1] * size
+        out[doc] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0)
+    return out
+
+
+@pytest.mark.parametrize("block_phrases", [200_000, 100])
+def test_decontamination_equals_brute_force(spark, docs, sf, block_phrases):
+    rng = random.Random(1)
+    bench = blocks.read(spark, sf, "benchmark").unionByName(spark.createDataFrame([(900, "one TWO"), (901, "..."), (902, "a b a b a b a b a b a b a b")], "item_id long, text string"))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    extra = [(90_000 + k, " ".join(rng.choice(["a", "b"]) for _ in range(60)) + " One two! a b a b a b a b a b a b") for k in range(10)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(decontam.find(table, bench, block_phrases=block_phrases)).collect()}
+    assert got == brute_decontam([(r.doc_id, r.text) for r in table.collect()], items)
+    kept = {r.doc_id: r.text for r in decontam.remove(table, bench).collect()}
+    clean = [d for d, v in got.items() if not v[4]]
+    texts = {r.doc_id: r.text for r in table.collect()}
+    assert all(kept[d] == texts[d] for d in clean)
+
+
+def test_fm_index_locates_every_suffix():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        text = rng.integers(0, 4, rng.integers(1, 150))
+        text[-1] = 0
+        index = decontam.FMIndex(np.concatenate((text, text)), 3)
+        assert (index.locate(np.arange(index.n)) == index.order).all()
+
+
+def test_pages(spark, sf):
+    for r in html_extract.extract_pages(blocks.read(spark, sf, "pages")).join(blocks.read(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        import html
+
+        parts = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", "\0", body)).split("\0")
+        assert r.text == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x) and r.n_chars == len(r.text)
+
+
+def test_page_parts():
+    page = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><li>a</li></nav><div class='cookie-notice'>We use</div><main><h1>Title &amp; more</h1><p>First <b>bold</b>\n text</p><aside>side</aside><form>in</form><script>var x='</p>'</script><p>2&lt;3</p><div id=comments><p>me first</p></div></main><footer>bye</footer></body></html>"
+    assert html_extract.extract(page) == "Title & more\nFirst bold text\n2<3"
+    plain = "<ul><li>Home<li>About</ul><p>" + "word " * 60 + "</p><p>Short.</p><p>" + "more " * 60 + "</p><div>x</div>"
+    assert html_extract.extract(plain).startswith("word word") and "Short." in html_extract.extract(plain)
+
+
+def test_trie_and_language_model(spark, docs):
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(0, 2000))
+        first = np.sort(rng.integers(0, 50, n).astype(np.uint64) * np.uint64(2**49 + 12345))
+        second = rng.integers(0, 2**56, n).astype(np.uint64)
+        order = np.lexsort((second, first))
+        first, second, count = first[order], second[order], rng.integers(1, 9, n)
+        trie = lm_score.BigramTrie.build(first, second, count)
+        if n:
+            cost, seen = trie.query(first, second)
+            total = {k: count[first == k].sum() for k in np.unique(first)}
+            assert seen.all() and (cost == [round(-lm_score.STEP * math.log10(c / (total[f] + lm_score.MASS * total[f] ** lm_score.POWER))) for f, c in zip(first, count, strict=True)]).all()
+        other = rng.integers(0, 2**56, 100).astype(np.uint64)
+        assert not trie.query(other, other)[1].any()
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, None), (5001, "The the")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in lm_score.score(table, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2, buckets=5).collect()}
+    tokens = {r.doc_id: re.findall("[^\x20\x09-\x0d]+", low(r.text)) + [None] for r in table.collect()}
+    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if crc(i, 7) != 2:
+            one.update(w)
+            for a, b in zip(["^"] + w, w):
+                two[a, b] += 1
+                context[a] += 1
+    n, v = sum(one.values()), len(one)
+    for i, w in tokens.items():
+        base = sum(math.log10((one[k] + 1) / (n + v + 1)) for k in w)
+        score = 0.0
+        for a, b in zip(["^"] + w, w):
+            c = context[a]
+            mass = lm_score.MASS * c**lm_score.POWER
+            if two[a, b]:
+                score -= round(-512 * math.log10(two[a, b] / (c + mass))) / 512
+            else:
+                score += (-round(-512 * math.log10(mass / (c + mass))) / 512 if c else 0) + math.log10((one[b] + 1) / (n + v + 1))
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(one[k] > 0 for k in w), n)
+        assert abs(r.base_score - base) < 1e-6 * len(w) and abs(r.score - score) < 1e-3 * len(w)
+
+
+def test_media_round_trip(spark, docs):
+    table = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text").where("doc_id % 7 = 0"))
+    got = {r.doc_id: r for r in media.media_columns(spark, table, f"{blocks.shared_dir(spark)}/media-test").collect()}
+    for r in table.collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        m = got[r.doc_id]
+        assert (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert m.height * m.width == len(payload) and m.bit_depth == 8
+        stored = media.encode(payload)
+        assert media.decode(stored) == payload and (m.media_bytes, m.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if r.doc_id >= 10_000:
+            o = got[r.doc_id - 10_000]
+            assert (o.shard, o.offset, o.feature) == (m.shard, m.offset, m.feature)
+
+
+def test_line_dedup(spark, docs):
+    rng = random.Random(2)
+    passage = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(20)) + f" {k}" for k in range(4)]
+    own = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(15)) for _ in range(6)] for _ in range(30)]
+    rows = [(i, "\n".join(own[i][:3] + (passage if i % 3 == 0 else []) + own[i][3:]) + "\n") for i in range(30)]
+    cleaned = line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in cleaned.collect()}
+    for i, text in rows:
+        assert got[i].text == ("\n".join(own[i]) + "\n" if i % 3 == 0 and i else text)
+    assert all([b.earlier for b in got[i].removed] == [0] for i in range(3, 30, 3))
+    after = {r.doc_id: r.text for r in line_dedup.remove(docs).collect()}
+    seen = {}
+    for i in sorted(after):
+        for line in {x.strip() for x in after[i].split("\n") if len(x.split()) >= 50}:
+            assert seen.setdefault(line, i) == i
+    assert line_dedup.patience([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [1, 2, 4]
+
+
+def brute_classes(rows, threshold=0.8):
+    bags, first = {}, {}
+    for i, text in rows:
+        w = WORD.findall(low(text))
+        bags[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+    parent = {i: i for i in bags}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def join(a, b):
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+
+    inverted = collections.defaultdict(set)
+    for i, text in rows:
+        if text is not None:
+            join(first.setdefault(text, i), i)
+        for k in bags[i]:
+            inverted[k].add(i)
+    for a, b in {(a, b) for ids in inverted.values() for a in ids for b in ids if a < b}:
+        same = sum((bags[a] & bags[b]).values())
+        if same / (sum(bags[a].values()) + sum(bags[b].values()) - same) >= threshold:
+            join(a, b)
+    return {i: find(i) for i in bags}
+
+
+def test_near_duplicates_equal_brute_force(spark, docs):
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(400)}" for _ in range(300)]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for k in range(60):  # copies with a few words changed, most of them like the base and not always like each other
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        rows.append((50_000 + k, " ".join(w)))
+    rows += [(60_000, ""), (60_001, ""), (60_002, None), (60_003, None), (60_004, "two words"), (60_005, "Two, words!")]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    rng = random.Random(6)
+    a = [f"w{rng.randrange(3000)}" for _ in range(800)]
+    b = a[:600] + [f"z{rng.randrange(3000)}" for _ in range(200)]
+    cell, at = near_dup.cells(pa.array([" ".join(a), " ".join(b)]))
+    x, y = set(cell[at[0] : at[1]].tolist()), set(cell[at[1] : at[2]].tolist())
+    sig = near_dup.signatures(cell, at, 512)
+    assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.08
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        total = sum((lambda v: v - 9 if v > 9 else v)(int(c) * (2 if k % 2 else 1)) for k, c in enumerate(reversed(d)))
+        return 12 <= len(d) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def test_personal_data_base_equals_regex(spark, docs):
+    odd = ["x 1-2-3 a@b.com_x@y.org 1.2.3.4.5.6.7.8 +1 2 3 4 5 6 7 8 9() 4539 1488 0343 6467  999.1.1.1 00255.1.1.1", None, "", "é 😀 me@x.io +12 345 678 901 234 567 8 " + "1" * 5000 + " " + "a" * 3000 + " @ a@b. a@b.c.", "4539148803436467-4539148803436467 +1 +12 3456789012"]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii.find(table).collect()}
+    for r in table.collect():
+        spans, n = [], collections.Counter()
+        for k, (kind, pattern) in enumerate(PATTERNS.items()):
+            for m in re.finditer(pattern, r.text or ""):
+                if valid(kind, m[0]):
+                    n[kind] += 1
+                    spans.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+        base = ",".join(x[2] for x in sorted(spans))
+        g = got[r.doc_id]
+        assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(n[k] for k in PATTERNS)
+        assert g.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(g.spans.split(","))
+
+
+def test_personal_data_discovers_by_context(spark):
+    rng = random.Random(8)
+    rows = [(k, f"filler words here call mobile +1 555 010 {1000 + k} thanks number {k}") for k in range(30)]
+    rows += [(100, "please call mobile 0555-010-7788 soon"), (101, "the invoice 0555-010-9999 was paid"), (102, "call mobile " + "".join(rng.choices("0123456789", k=9)))]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "phone:19:32" and got[100].n_phone == 0 and got[100].n_added == 1
+    assert got[101].spans == "" and got[102].spans == "phone:12:21"
+
+
+def test_mixing_meets_targets(spark, sf):
+    table = blocks.read(spark, "/root/testdata/sf0.01", "documents")
+    model = mixing.fit(table.select("doc_id", "text", F.col("lang").alias("domain")))
+    members = blocks.cut(mixing.posteriors(table, model))
+    want = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+    rated, residual = mixing.rates(members, model.domains, want)
+    assert np.abs(residual).max() < 1e-3
+    rows = rated.collect()
+    assert len(rows) == table.count() and all(r.rate >= 0 for r in rows)
+    total = sum(r.n_tokens for r in rows)
+    have = sum(np.array(r.posterior) * r.rate * r.n_tokens for r in rows) / total
+    assert np.abs(have - [want[d] for d in model.domains]).max() < 1e-3
+    # Zeros appear where a domain has no target, and the bound keeps rates at 0.
+    rated, _ = mixing.rates(members, model.domains, {"en": 1.0})
+    rates = {r.doc_id: r.rate for r in rated.collect()}
+    truth = {r.doc_id: r.lang for r in table.collect()}
+    assert np.mean([rates[d] for d in rates if truth[d] == "fr"]) < 0.05
+    with pytest.raises(ValueError):
+        mixing.rates(members, model.domains, {"xx": 1.0})
