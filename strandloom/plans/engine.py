@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims, verify
 from ..functions import dna, intervals
 from ..operators import codons as codon_ops
-from ..operators import design, rules, runs, scoring, survey, transcript, vendors, windows
+from ..operators import design, presets, rules, runs, scoring, survey, transcript, vendors, windows
 from ..streaming.scan import event_windows
 from .derived import CODING_SQL, CODONS_SQL, FEATURES_SQL, SQL, coding, constructs, features
 from .registry import query
@@ -276,3 +276,17 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_windows", """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
 def windows_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+PRESET_VALUES = "presets AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}', {w})" for p, _, s, w in presets.PRESETS) + ") v(preset_id, spec_id, weight))"
+
+
+@query("preset_weights", f"""WITH {RULE_VALUES}, {PRESET_VALUES} SELECT preset_id, p.spec_id, CAST(weight AS DOUBLE) AS weight, CASE WHEN enforcement IS NULL THEN 'missing' WHEN enforcement <> 'SOFT' THEN 'hard' ELSE 'weighted' END AS status FROM presets p LEFT JOIN rules USING (spec_id)""")
+def preset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presets.resolve(presets.preset_table(spark), rules.rules(spark))
+
+
+@query("score_report")
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scores(spark, sf_dir).select("candidate", "spec_id", F.col("percentile").alias("raw"), "percentile", F.lit(5).alias("n"), F.when(F.col("percentile").isNull(), "sequence too short").alias("reason"))
+    return presets.report(rows)

@@ -183,3 +183,16 @@ def test_null_is_a_prefix(spark):
     assert {"".join(code[v[i : i + 3]] for i in range(0, 15, 3)) for _, v in large} == {"MKLGP"}
     only = scoring.variants(cds, 4, 1, weights={"CTG": 1.0}).collect()
     assert {r.cds[6:9] for r in only} == {"CTG"}
+
+
+def test_presets_labels_and_report(spark):
+    from strandloom.operators import presets, rules
+
+    scores = spark.createDataFrame([(1, "c1_cai", 0.8, 0.5, 40, None), (1, "b1_five_prime", None, None, 0, "no folding engine")], "candidate long, spec_id string, raw double, percentile double, n int, reason string")
+    row = presets.report(scores).first()
+    assert "50.0%" in row.report and "no folding engine" in row.report and not row.complete
+    got = {r.spec_id: r.weight for r in presets.weights_for(scores, "ecoli_expression").collect()}
+    assert got == {"c1_cai": 0.2, "b1_five_prime": 1.0}
+    assert {r.status for r in presets.resolve(presets.preset_table(spark), rules.rules(spark)).collect()} == {"weighted"}
+    labels = spark.createDataFrame([("AmpR beta-lactamase",), ("attB1",), ("gene",)], "x string")
+    assert [tuple(r) for r in labels.select(presets.is_marker(F.col("x")), presets.is_recombination_site(F.col("x"))).collect()] == [(True, False), (False, True), (False, False)]
