@@ -83,9 +83,8 @@ def circular_slice(seq: Column, start: Column, end: Column, strand: Column) -> C
 
 
 def codons(cds: Column) -> Column:
-    """Whole codons of a coding sequence, an empty array below three bases."""
-    n = F.floor(F.length(cds) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(cds, i * 3 + 1, 3))).otherwise(F.array().cast("array<string>"))
+    """Whole codons of a coding sequence, an empty array below three bases; one pass over the text."""
+    return F.regexp_extract_all(cds, F.lit("(...)"), F.lit(1))
 
 
 def translate(cds: Column, code: dict[str, str]) -> Column:

@@ -23,10 +23,28 @@ def _starts(text: Column, pattern: str, width: int) -> Column:
     return F.array_distinct(found)
 
 
-def positions(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``construct_id, pos, kmer`` of every start, once round on circles; sequences shorter than ``k`` have none."""
-    some = df.where(F.col("length") >= k).withColumn("_hay", dna.haystack(F.col("seq"), F.col("circular"), k))
-    return some.select("construct_id", "length", "circular", *keep, "_hay", F.explode(F.sequence(F.lit(0), F.length("_hay") - k)).alias("pos")).select("construct_id", "length", "circular", *keep, "pos", F.expr(f"substring(_hay, pos + 1, {k})").alias("kmer"))
+#: Starts per piece in :func:`positions`.
+PIECE = 256
+
+
+def positions(df: DataFrame, k: int) -> DataFrame:
+    """``construct_id, length, circular, pos, kmer`` of every start, once round on circles; sequences shorter than ``k`` have none.
+
+    A substring is found by walking from the text's beginning, so texts are first cut in pieces of ``PIECE`` starts; the
+    work stays near linear in long sequences.
+    """
+    some = df.where(F.col("length") >= k).select("construct_id", "length", "circular", dna.haystack(F.col("seq"), F.col("circular"), k).alias("_hay"))
+    pieces = some.select("construct_id", "length", "circular", "_hay", F.explode(F.sequence(F.lit(0), F.length("_hay") - k, F.lit(PIECE))).alias("_from"))
+    pieces = pieces.select("construct_id", "length", "circular", "_from", F.expr(f"substring(_hay, _from + 1, {PIECE - 1 + k})").alias("_piece"))
+    each = pieces.select("*", F.explode(F.sequence(F.lit(0), F.length("_piece") - k)).alias("_at"))
+    return each.select("construct_id", "length", "circular", (F.col("_from") + F.col("_at")).alias("pos"), F.expr(f"substring(_piece, _at + 1, {k})").alias("kmer"))
+
+
+def near_hits(df: DataFrame, motif: str) -> DataFrame:
+    """``construct_id, pos`` of starts within one mismatch of a plain motif, on a line: one pattern, one pass over the text."""
+    one = "|".join(motif[:i] + "[ACGT]" + motif[i + 1 :] for i in range(len(motif)))
+    starts = F.when(F.col("length") >= len(motif), _starts(F.col("seq"), f"(?:{one})", len(motif)))
+    return df.select("construct_id", F.explode(starts).alias("pos"))
 
 
 def motifs(df: DataFrame, named: dict[str, str], both_strands: bool = True) -> DataFrame:

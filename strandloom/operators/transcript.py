@@ -57,24 +57,19 @@ def polya_sites(df: DataFrame) -> DataFrame:
     return rows.select("construct_id", "pos", "hexamer", F.when(~F.col("hexamer").isin(*POLYA), 0.2).when(strong, 3.0).otherwise(1.0).alias("magnitude"))
 
 
-def _boxes(df: DataFrame, motif: str) -> DataFrame:
-    rows = positions(df.withColumn("circular", F.lit(False)), len(motif))
-    return rows.where(dna.mismatches(F.col("kmer"), motif) <= 1).select("construct_id", "pos")
-
-
 def promoters(df: DataFrame) -> DataFrame:
     """``construct_id, minus35, minus10, spacer`` of boxes within one mismatch, 15 to 19 bases apart: a band join on construct.
 
     The spacer takes five values, so it is five equi-keys and no pair outside the band is made.
     """
-    ups = _boxes(df, MINUS_35).select("construct_id", F.col("pos").alias("minus35"), F.explode(F.sequence(F.col("pos") + 6 + SPACER[0], F.col("pos") + 6 + SPACER[1])).alias("minus10"))
-    tens = _boxes(df, MINUS_10).select("construct_id", F.col("pos").alias("minus10"))
+    ups = scan.near_hits(df, MINUS_35).select("construct_id", F.col("pos").alias("minus35"), F.explode(F.sequence(F.col("pos") + 6 + SPACER[0], F.col("pos") + 6 + SPACER[1])).alias("minus10"))
+    tens = scan.near_hits(df, MINUS_10).select("construct_id", F.col("pos").alias("minus10"))
     return ups.join(tens, ["construct_id", "minus10"]).select("construct_id", "minus35", "minus10", (F.col("minus10") - F.col("minus35") - 6).alias("spacer"))
 
 
 def at_tracts(df: DataFrame) -> DataFrame:
     """``construct_id, tract, tract_pos, minus10`` of A/T tracts that end exactly 4 bases before a -10 box."""
-    tens = _boxes(df, MINUS_10).select("construct_id", F.col("pos").alias("minus10"))
+    tens = scan.near_hits(df, MINUS_10).select("construct_id", F.col("pos").alias("minus10"))
     found = scan.motifs(df.withColumn("circular", F.lit(False)), {t: t for t in AT_TRACTS}, both_strands=False)
     tracts = found.select("construct_id", F.col("name").alias("tract"), F.col("pos").alias("tract_pos"), (F.col("pos") + F.length("name") + AT_GAP).alias("minus10"))
     return tracts.join(tens, ["construct_id", "minus10"]).select("construct_id", "tract", "tract_pos", "minus10")
@@ -89,7 +84,7 @@ def kozak(df: DataFrame) -> DataFrame:
 
 def extra_starts(cds: DataFrame, scan_nt: int = 50) -> DataFrame:
     """``construct_id, pos, out_of_frame, strong, magnitude`` of ATGs behind the first codon position."""
-    rows = cds.where(F.length("cds") > 3).select("construct_id", "cds", F.explode(F.sequence(F.lit(1), F.length("cds") - 3)).alias("pos")).where(F.expr("substring(cds, pos + 1, 3) = 'ATG'"))
+    rows = cds.where(F.length("cds") > 3).select("construct_id", "cds", F.explode(scan._starts(F.col("cds"), "ATG", 3)).alias("pos")).where("pos >= 1")
     strong = (F.col("pos") >= 3) & F.expr("substring(cds, greatest(pos - 2, 1), 1) in ('A', 'G')") & F.expr("substring(cds, pos + 4, 1) = 'G'")
     out = F.col("pos") % 3 != 0
     return rows.select("construct_id", "pos", out.alias("out_of_frame"), strong.alias("strong"), F.when(F.col("pos") < scan_nt, 10.0).when(out & strong, 1.0).otherwise(0.0).alias("magnitude"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims, verify
 from ..functions import dna, intervals
 from ..operators import codons as codon_ops
-from ..operators import design, presets, rules, runs, scoring, survey, transcript, vendors, windows
+from ..operators import design, presets, rules, runs, scan, scoring, survey, transcript, vendors, windows
 from ..streaming.scan import event_windows
 from .derived import CODING_SQL, CODONS_SQL, FEATURES_SQL, SQL, coding, constructs, features
 from .registry import query
@@ -100,7 +100,7 @@ def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     dev = F.greatest(0.35 - F.col("gc"), F.col("gc") - 0.65)
     flagged = windows.gc_windows(linear, 100).where("gc < 0.35 or gc > 0.65").withColumn("dev", dev)
     f5 = windows.islands(flagged, 100, F.max("dev"), "dev").select("construct_id", F.lit("f5_at_window").alias("spec_id"), "start", "end", F.round(1 + 10 * F.col("dev"), 9).alias("magnitude"), F.lit(True).alias("fixable"), F.lit("gc").alias("side"))
-    hits = transcript._boxes(linear, "AATAAA")
+    hits = scan.near_hits(linear, "AATAAA")
     d4 = hits.select("construct_id", F.lit("d4_internal_polya").alias("spec_id"), F.col("pos").alias("start"), (F.col("pos") + 6).alias("end"), F.lit(1.0).alias("magnitude"), (F.col("pos") % 7 != 0).alias("fixable"), F.lit("at").alias("side"))
     d5 = transcript.promoters(linear).select("construct_id", F.lit("d5_cryptic_transcription").alias("spec_id"), F.col("minus35").alias("start"), (F.col("minus10") + 6).alias("end"), F.lit(1.0).alias("magnitude"), F.lit(True).alias("fixable"), F.lit("").alias("side"))
     return e1.unionByName(f5).unionByName(d4).unionByName(d5)

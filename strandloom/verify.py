@@ -14,9 +14,8 @@ from . import dims
 def _translate(cds: Column, table_id: int) -> Column:
     code = dims.genetic_code(table_id)
     table = F.create_map(*[F.lit(x) for c, a in sorted(code.items()) for x in (c, a)])
-    n = F.floor(F.length(cds) / 3).cast("int")
-    letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.try_element_at(table, F.substring(cds, i * 3 - 2, 3)), F.lit("X")))
-    return F.when(n > 0, F.array_join(letters, "")).otherwise("")
+    triplets = F.regexp_extract_all(cds, F.lit("(...)"), F.lit(1))
+    return F.array_join(F.transform(triplets, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 
 
 def _revcomp(text: str) -> str:
