@@ -42,7 +42,12 @@ END, BEGIN = np.uint64((1 << BITS) - 1), np.uint64(0)
 MASS, POWER = 2.0, 0.9
 STEP = 512.0
 BLOCK = 4 << 20
-TOKENS_PER_BUCKET = 3_000_000
+#: Stands for a null ``doc_id`` between the stages.
+NO_ID = -(1 << 63)
+#: Tokens a bucket of words and a bucket of pairs should hold.
+TOKENS_PER_BUCKET, PAIRS_PER_BUCKET = 3_000_000, 1_000_000
+#: Leading bits of a successor's key that the trie and the look-up of unseen successors use.
+SUCCESSOR_BITS = 40
 
 
 # ---------------------------------------------------------------- trie
@@ -130,10 +135,10 @@ class BigramTrie:
         mass = MASS * total**POWER
         prob = np.round(-STEP * np.log10(count / (total + mass)[rank])).clip(0, 65535).astype("<u2")
         backoff = np.round(-STEP * np.log10(mass / (total + mass))).clip(0, 65535).astype("<u2")
-        # Successors as one monotone sequence: context rank, then 40 leading bits of the key.
+        # Successors as one monotone sequence: context rank, then the leading bits of the key.
         a = EliasFano.encode(contexts, 1 << BITS)
         b = EliasFano.encode(np.append(start, len(first)).astype(np.uint64), len(first) + 1)
-        c = EliasFano.encode(cls._child(rank.astype(np.uint64), second), max(1, len(contexts)) << 40)
+        c = EliasFano.encode(cls._child(rank.astype(np.uint64), second), max(1, len(contexts)) << SUCCESSOR_BITS)
         parts = [("context_low", a[0]), ("context_high", a[1]), ("pointer_low", b[0]), ("pointer_high", b[1]), ("child_low", c[0]), ("child_high", c[1]), ("backoff", backoff), ("prob", prob)]
         layout, at = [], 0
         with tempfile.TemporaryFile() as file:
@@ -151,7 +156,7 @@ class BigramTrie:
 
     @staticmethod
     def _child(rank: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return rank << np.uint64(40) | second >> np.uint64(BITS - 40)
+        return rank << np.uint64(SUCCESSOR_BITS) | second >> np.uint64(BITS - SUCCESSOR_BITS)
 
     def pointer(self, i: np.ndarray) -> np.ndarray:
         """Value of the pointer sequence: low bytes plus the high part, whose count of values below is known."""
@@ -201,14 +206,29 @@ def _unpack7(b: bytes | memoryview) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _pack5(x: np.ndarray) -> bytes:
+    return (x >> np.uint64(BITS - SUCCESSOR_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack5(b: bytes | memoryview) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1) << np.uint64(BITS - SUCCESSOR_BITS)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _frame(*parts: bytes) -> bytes:
-    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+    """Sizes of the parts, then all of them compressed together."""
+    raw = b"".join(parts)
+    return np.array([len(p) for p in parts], "<u4").tobytes() + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
 
 
 def _unframe(b: bytes, n: int) -> list[memoryview]:
-    sizes = np.frombuffer(b, "<u4", n)
-    ends = 4 * n + np.cumsum(sizes.astype(np.int64))
-    view = memoryview(b)
+    sizes = np.frombuffer(b, "<u4", n).astype(np.int64)
+    ends = np.cumsum(sizes)
+    view = memoryview(_ZSTD.decompress(memoryview(b)[4 * n :], int(ends[-1]), asbytes=True) if ends[-1] else b"")
     return [view[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
@@ -277,7 +297,7 @@ def _unigram_parts(buckets: int):
     return run
 
 
-def _bigram_parts(buckets: int, hot: np.ndarray):
+def _pair_parts(buckets: int, hot: np.ndarray):
     """Per block and bucket: distinct pairs in runs of one context, training counts, postings (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +327,7 @@ def _bigram_parts(buckets: int, hot: np.ndarray):
                 runs = np.diff(np.append(np.flatnonzero(new), len(g)))
                 n = per[g]
                 post = np.repeat(at[:-1][g] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-                made.append((b, number, 0, _frame(_pack7(f[g][new]), runs.astype("<u4").tobytes(), _pack7(s[g]), counts[g].astype("<u4").tobytes(), n.astype("<u4").tobytes(), docs[post].astype("<u2").tobytes(), mult[post].astype("<u2").tobytes())))
+                made.append((b, number, 0, _frame(_pack7(f[g][new]), runs.astype("<u4").tobytes(), _pack5(s[g]), counts[g].astype("<u4").tobytes(), n.astype("<u4").tobytes(), docs[post].astype("<u2").tobytes(), mult[post].astype("<u2").tobytes())))
             yield _rows(made)
 
     return run
@@ -327,11 +347,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, rows
 
 
-def _sums(docs: np.ndarray, *columns: np.ndarray) -> bytes:
+#: Number formats of the sums of each kind.
+SUMS = {0: ("<f8", "<u4"), 4: ("<u4",), 6: ("<f8", "<u4")}
+
+
+def _sums(kind: int, docs: np.ndarray, *columns: np.ndarray) -> bytes:
     """Sums per text of a block, for the texts that have any: text numbers, then the columns."""
     n = int(docs.max()) + 1 if len(docs) else 0
     hit = np.flatnonzero(np.bincount(docs, minlength=n))
-    return _frame(hit.astype("<u2").tobytes(), *(np.bincount(docs, c, n)[hit].astype("<f8").tobytes() for c in columns))
+    return _frame(hit.astype("<u2").tobytes(), *(np.bincount(docs, c, n)[hit].astype(f).tobytes() for c, f in zip(columns, SUMS[kind], strict=True)))
 
 
 def _answer_unigrams(buckets: int):
@@ -350,7 +374,7 @@ def _answer_unigrams(buckets: int):
                 at += len(w)
                 per, docs, mult = np.frombuffer(p[2], "<u4").astype(np.int64), np.frombuffer(p[3], "<u2").astype(np.int64), np.frombuffer(p[4], "<u2").astype(float)
                 word = np.repeat(mine, per)
-                made.append((bucket, block, 0, _sums(docs, mult * log[word], mult * (total[word] > 0))))
+                made.append((bucket, block, 0, _sums(0, docs, mult * log[word], mult * (total[word] > 0))))
             known = total > 0
             made.append((bucket, -1, 2, _frame(_pack7(every[known]), total[known].astype("<u8").tobytes())))
             n = int(total.sum())
@@ -361,47 +385,53 @@ def _answer_unigrams(buckets: int):
     return run
 
 
-def _answer_bigrams(buckets: int, totals: dict[int, int]):
-    """Builds the bucket's trie and scores its postings.  Kind 4: per block, sums of the quantised costs; 5: unseen pairs' second words for their own buckets."""
+def _answer_pairs(buckets: int, totals: dict[int, int]):
+    """Builds the bucket's trie and scores its postings, all blocks at once.
+
+    Kind 4: per block, sums of the quantised costs; 5: per bucket of words, the unseen pairs' second words of all blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             parts = [_unframe(body, 7) for _, _, body in rows]
-            firsts = [np.repeat(_unpack7(p[0]), np.frombuffer(p[1], "<u4")) for p in parts]
-            seconds = [_unpack7(p[2]) for p in parts]
+            numbers = np.array([block for block, _, _ in rows], "<i8")
+            f = np.concatenate([np.repeat(_unpack7(p[0]), np.frombuffer(p[1], "<u4")) for p in parts])
+            s = np.concatenate([_unpack5(p[2]) for p in parts])
             counts = np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]).astype(np.int64)
-            f, s = np.concatenate(firsts), np.concatenate(seconds)
-            trained = counts > 0
-            f, s, counts = f[trained], s[trained], counts[trained]
-            order = np.lexsort((s, f))
-            f, s, counts = f[order], s[order], counts[order]
-            # Pairs whose successors share 40 leading bits count as one; the trie keeps those bits.
-            key = s >> np.uint64(BITS - 40)
-            new = np.concatenate(([True], (f[1:] != f[:-1]) | (key[1:] != key[:-1]))) if len(f) else np.zeros(0, bool)
-            begin = np.flatnonzero(new)
-            trie = BigramTrie.build(f[begin], s[begin], np.add.reduceat(counts, begin) if len(begin) else counts, totals)
-            del f, s, counts, order, key, new
+            per = np.concatenate([np.frombuffer(p[4], "<u4") for p in parts]).astype(np.int64)
+            mult = np.concatenate([np.frombuffer(p[6], "<u2") for p in parts]).astype(float)
+            texts = [np.frombuffer(p[5], "<u2") for p in parts]
+            sizes = [len(x) for x in texts]
+            # Texts of all blocks, one behind another.
+            base = np.concatenate(([0], np.cumsum([int(x.max()) + 1 for x in texts])))
+            text = np.concatenate(texts).astype(np.int64) + np.repeat(base[:-1], sizes)
+            del parts, texts
+            trained = np.flatnonzero(counts > 0)
+            order = trained[np.lexsort((s[trained], f[trained]))]
+            ff, ss, n = f[order], s[order], counts[order]
+            begin = np.flatnonzero(np.concatenate(([True], (ff[1:] != ff[:-1]) | (ss[1:] != ss[:-1])))) if len(ff) else np.zeros(0, np.int64)
+            trie = BigramTrie.build(ff[begin], ss[begin], np.add.reduceat(n, begin) if len(begin) else n, totals)
+            del ff, ss, n, order, counts
+            cost, seen = trie.query(f, s)
+            pair = np.repeat(np.arange(len(f)), per)
+            sums, some = np.bincount(text, mult * cost[pair], base[-1]), np.bincount(text, minlength=base[-1]) > 0
             made = []
-            for (block, _, _), a, b, p in zip(rows, firsts, seconds, parts, strict=True):
-                per, docs, mult = np.frombuffer(p[4], "<u4").astype(np.int64), np.frombuffer(p[5], "<u2").astype(np.int64), np.frombuffer(p[6], "<u2").astype(float)
-                cost, seen = trie.query(a, b)
-                pair = np.repeat(np.arange(len(a)), per)
-                made.append((bucket, block, 4, _sums(docs, mult * cost[pair])))
-                ask = np.flatnonzero(~seen)
-                if len(ask):
-                    ask = ask[np.argsort(b[ask], kind="stable")]
-                    n = per[ask]
-                    at = np.concatenate(([0], np.cumsum(per)))[:-1][ask]
-                    post = np.repeat(at - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-                    word, docs, mult = np.repeat(b[ask], n), docs[post], mult[post]
-                    edge = np.searchsorted(_bucket(word, buckets), np.arange(buckets + 1))
-                    for k in np.flatnonzero(np.diff(edge)):
-                        i, j = edge[k], edge[k + 1]
-                        made.append((int(k), block, 5, _frame(_pack7(word[i:j]), docs[i:j].astype("<u2").tobytes(), mult[i:j].astype("<u2").tobytes())))
-                if len(made) > 200:
-                    yield _rows(made)
-                    made = []
-            if made:
+            for k, block in enumerate(numbers.tolist()):
+                hit = np.flatnonzero(some[base[k] : base[k + 1]])
+                made.append((bucket, block, 4, _frame(hit.astype("<u2").tobytes(), sums[base[k] : base[k + 1]][hit].astype("<u4").tobytes())))
+            yield _rows(made)
+            ask = np.flatnonzero(~seen[pair])
+            if len(ask):
+                word = s[pair[ask]]
+                order = np.argsort(word, kind="stable")
+                ask, word = ask[order], word[order]
+                of = np.repeat(np.arange(len(numbers)), sizes)[ask]
+                inside = text[ask] - base[of]
+                edge = np.searchsorted(_bucket(word, buckets), np.arange(buckets + 1))
+                made = []
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    i, j = edge[k], edge[k + 1]
+                    made.append((k, -1, 5, _frame(numbers.tobytes(), _pack5(word[i:j]), of[i:j].astype("<u4").tobytes(), inside[i:j].astype("<u2").tobytes(), mult[ask[i:j]].astype("<u2").tobytes())))
                 yield _rows(made)
 
     return run
@@ -414,17 +444,25 @@ def _answer_unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for _, kind, body in rows:
             if kind == 2:
                 w, c = _unframe(body, 2)
-                words, total = _unpack7(w), np.frombuffer(c, "<u8").astype(float)
-        made = []
-        for block, kind, body in rows:
+                words, total = _unpack7(w) >> np.uint64(BITS - SUCCESSOR_BITS) << np.uint64(BITS - SUCCESSOR_BITS), np.frombuffer(c, "<u8").astype(float)
+        blocks_, docs_, logs_, mults_ = [], [], [], []
+        for _, kind, body in rows:
             if kind == 5:
-                w, d, m = _unframe(body, 3)
-                w, docs, mult = _unpack7(w), np.frombuffer(d, "<u2").astype(np.int64), np.frombuffer(m, "<u2").astype(float)
+                numbers, w, of, d, m = _unframe(body, 5)
+                w, mult = _unpack5(w), np.frombuffer(m, "<u2").astype(float)
                 at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
                 c = np.where(words[at] == w, total[at], 0.0) if len(words) else np.zeros(len(w))
-                made.append((bucket, block, 6, _sums(docs, mult * np.log10(c + 1), mult)))
-        if made:
-            yield _rows(made)
+                blocks_.append(np.frombuffer(numbers, "<i8")[np.frombuffer(of, "<u4")])
+                docs_.append(np.frombuffer(d, "<u2"))
+                logs_.append(mult * np.log10(c + 1))
+                mults_.append(mult)
+        if not blocks_:
+            continue
+        block, doc, log, mult = (np.concatenate(x) for x in (blocks_, docs_, logs_, mults_))
+        order = np.argsort(block, kind="stable")
+        block, doc, log, mult = block[order], doc[order].astype(np.int64), log[order], mult[order]
+        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        yield _rows([(bucket, int(block[i]), 6, _sums(6, doc[i:j], log[i:j], mult[i:j])) for i, j in zip(edge[:-1], edge[1:], strict=True)])
 
 
 def _gather(n_all: int, n_distinct: int):
@@ -442,8 +480,8 @@ def _gather(n_all: int, n_distinct: int):
                     if kind == k:
                         at, *sums = _unframe(body, 1 + len(columns))
                         at = np.frombuffer(at, "<u2")
-                        for column, x in zip(columns, sums, strict=True):
-                            column[at] += np.frombuffer(x, "<f8")
+                        for column, x, f in zip(columns, sums, SUMS[k], strict=True):
+                            column[at] += np.frombuffer(x, f)
             score = -cost / STEP + back - asked * base
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, train > 0, size, np.round(known).astype(np.int64), log - size * base, score)], names)
 
@@ -457,14 +495,15 @@ def score(docs: DataFrame, train: Column, buckets: int | None = None) -> DataFra
     the trie's.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(least, size // (6 * TOKENS_PER_BUCKET) + 1)
-    keyed = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    pair_buckets = max(buckets, size // (6 * PAIRS_PER_BUCKET) + 1)
+    keyed = lambda df, n: df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "block")
     parts = rows.mapInArrow(_unigram_parts(buckets), PART)
     texts = blocks.cut(parts.where("kind = 1"))
-    unigrams = blocks.cut(keyed(parts.where("kind = 0")).mapInArrow(_answer_unigrams(buckets), PART))
+    unigrams = blocks.cut(keyed(parts.where("kind = 0"), buckets).mapInArrow(_answer_unigrams(buckets), PART))
     n_all = n_distinct = 0
     often: list[tuple[int, int]] = []
     for r in unigrams.where("kind = 3").select("body").toLocalIterator():
@@ -476,9 +515,9 @@ def score(docs: DataFrame, train: Column, buckets: int | None = None) -> DataFra
         often = [x for x in often if x[1] * 4 * buckets > n_all]
     ends = rows.where("train").count()
     hot = {w: c for w, c in often if w != int(END)} | {int(BEGIN): ends}
-    pairs = keyed(rows.mapInArrow(_bigram_parts(buckets, np.array(sorted(hot), np.uint64)), PART))
-    bigrams = blocks.cut(pairs.mapInArrow(_answer_bigrams(buckets, hot), PART))
-    unseen = keyed(bigrams.where("kind = 5").unionByName(unigrams.where("kind = 2"))).mapInArrow(_answer_unseen, PART)
-    every = texts.unionByName(unigrams.where("kind = 0")).unionByName(bigrams.where("kind = 4")).unionByName(unseen)
+    pairs = keyed(rows.mapInArrow(_pair_parts(pair_buckets, np.array(sorted(hot), np.uint64)), PART), pair_buckets)
+    answered = blocks.cut(pairs.mapInArrow(_answer_pairs(buckets, hot), PART))
+    unseen = keyed(answered.where("kind = 5").unionByName(unigrams.where("kind = 2")), buckets).mapInArrow(_answer_unseen, PART)
+    every = texts.unionByName(unigrams.where("kind = 0")).unionByName(answered.where("kind = 4")).unionByName(unseen)
     gathered = every.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(_gather(n_all, n_distinct), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return gathered.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return gathered.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
