@@ -8,12 +8,11 @@ coordinate's value is its earliest dart: intervals are opened in rank order unti
 The expected number of darts thrown is about max(weight, k ln k), not k times the weight.
 
 Steps: equal texts collapse to one (least id); signatures are cut in bands; within each bucket every member is
-paired with its centre, the member that shares most buckets overall; pairs are verified exactly.  Members of a bucket
-that are not in their centre's class go on to the next round: up to ``SMALL`` of them pair across classes, more of them take
-the next centre among themselves; rounds end when one links less than ``least_yield`` of the pairs it tries.  So the pairs tried grow with the members, not with
-their square.  A pair of similarity 0.8 misses all ``bands`` bands with probability (1 - 0.8^r)^b, 3e-6 as set here; besides,
-two texts of a large bucket that are each unlike every centre they meet stay apart even if like one another.  Classes
-are the connected components of verified links.
+paired with its centre, the member that shares most buckets overall; pairs are verified exactly.  Where a bucket then holds
+several classes, its members meet across classes: distance (one less similarity) is a metric, so members whose distances from the
+centre differ by more than 1 - threshold are no link, and a prefix filter on the cells rules out most others; the rest are
+verified until the classes are joined.  So no link within a bucket is missed.  A pair of similarity 0.8 misses all ``bands`` bands
+with probability (1 - 0.8^r)^b, 3e-6 as set here.  Classes are the connected components of verified links.
 
 Null texts are in classes of their own; a row without ``doc_id`` gets its class only from equal or near texts that have
 one, else null; empty texts and texts without words are only equal to equal texts.
@@ -34,8 +33,8 @@ from . import blocks
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
-#: Buckets of at most so many leftover members pair them all; larger ones go on by centres.
-SMALL = 16
+#: Cells of a block of a bucket; two blocks are in memory at once.
+BLOCK = 1_500_000
 THRESHOLD = 0.8
 _ROW_BITS = 12
 _POISSON = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)]) * 2.0**64).clip(0, 2**64 - 2048).astype(np.uint64)
@@ -115,7 +114,7 @@ def _banded(bands: int, rows: int):
             size = np.zeros(block.num_rows, np.int32)
             size[some] = bands
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), lists], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), lists, pa.array(np.diff(at).astype(np.int64))], ["doc_id", "key", "bands", "weight"])
 
     return run
 
@@ -187,6 +186,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _compare(rows: list[tuple[int, int, bytes]], threshold: float) -> list[tuple[int, int]]:
+    """Links at or over ``threshold`` that join the classes of ``rows`` (id, class, packed cells), no more than needed.
+
+    An exact prefix filter: of n cells in order of rarity here, a partner has one of the first n - ceil(threshold n) + 1.
+    """
+    ids = np.array([r[0] for r in rows])
+    root = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    if len(rows) < 2 or not root.any():
+        return []
+    part = [_unpack(r[2]) for r in rows]
+    size = np.array([len(x) for x in part])
+    at = np.concatenate(([0], np.cumsum(size)))
+    _, cell, often = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+    del part
+    owner = np.repeat(np.arange(len(rows)), size)
+    rare = np.lexsort((cell, often[cell], owner))
+    prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    first = rare[(np.arange(len(cell)) - at[:-1][owner] < prefix[owner]) & (often[cell[rare]] > 1)]
+    first = first[np.argsort(cell[first], kind="stable")]
+    who = owner[first]
+    begin = np.searchsorted(cell[first], np.arange(len(often) + 1))
+    mine = first[np.argsort(who, kind="stable")]
+    mine_at = np.searchsorted(owner[mine], np.arange(len(rows) + 1))
+    mark = np.zeros(len(often), bool)
+    out = []
+    for y in range(len(rows)):
+        lists = [who[begin[c] : begin[c + 1]] for c in cell[mine[mine_at[y] : mine_at[y + 1]]]]
+        if not lists:
+            continue
+        near = np.unique(np.concatenate(lists))
+        near = near[(near < y) & (root[near] != root[y]) & (np.minimum(size[near], size[y]) >= threshold * np.maximum(size[near], size[y]) - 1e-9)]
+        if not len(near):
+            continue
+        mark[cell[at[y] : at[y + 1]]] = True
+        same = np.array([np.count_nonzero(mark[cell[at[x] : at[x + 1]]]) for x in near])
+        mark[cell[at[y] : at[y + 1]]] = False
+        for x in near[same / (size[near] + size[y] - same) >= threshold]:
+            if root[x] != root[y]:
+                out.append((int(ids[x]), int(ids[y])))
+                root[root == root[x]] = root[y]
+    return out
+
+
+def _linked(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, out = None, [], []
+        for batch in batches:
+            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if g != group:
+                    out += _compare(rows, threshold)
+                    group, rows = g, []
+                rows.append(tuple(row))
+        out += _compare(rows, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def open_links(open_: DataFrame, celled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b``: links that join the classes of each band's rows in ``open_(band, rep, weight, class)``, so that no link there is missed.
+
+    Bands with the same rows are looked at once.  One of over ``BLOCK`` cells is dealt in blocks, and every two blocks meet.
+    """
+    sets = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.sum("weight").alias("cells"))
+    once = sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "cells")).alias("s")).select("s.band", F.ceil(F.col("s.cells") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
+    met = F.expr("transform(sequence(0, blocks - 1), x -> xxhash64(band, least(x, mine), greatest(x, mine)))")
+    dealt = open_.join(once, "band").withColumn("mine", mine).select(F.explode(met).alias("group"), "rep", "class")
+    whole = dealt.join(celled, dealt["rep"] == celled["id"]).select("group", "rep", "class", "cells")
+    return blocks.cut(whole.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(threshold), "a long, b long").distinct())
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least_yield: float = 0.05) -> DataFrame:
     """``doc_id, class_id, class_size, is_representative`` of each row of ``docs(doc_id, text)``.
 
@@ -194,45 +265,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.withColumn("key", F.coalesce(F.sha2("text", 256), F.concat(F.lit("null:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    signed = blocks.cut(keyed.mapInArrow(_banded(bands, rows), "doc_id long, key string, bands array<long>"))
-    unique = blocks.cut(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    signed = blocks.cut(keyed.mapInArrow(_banded(bands, rows), "doc_id long, key string, bands array<long>, weight long"))
+    unique = blocks.cut(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("weight").alias("weight")))
     # Only one of equal texts is looked up again.
-    banded = unique.select("rep", F.explode("bands").alias("band"))
+    banded = unique.select("rep", "weight", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = blocks.cut(banded.join(sizes, "band"))
     degree = blocks.cut(shared.groupBy("rep").agg(F.sum("n").alias("degree")))
     ranked = blocks.cut(shared.join(degree, "rep"))
     centre = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("centre"))
-    star = shared.join(centre, "band").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    star = blocks.cut(star)
+    star = blocks.cut(shared.join(centre, "band").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
     celled = packed_cells(texts.where("doc_id is not null"), degree.select(F.col("rep").alias("doc_id")))
-    links = blocks.cut(verify(star, celled, threshold).select("a", "b"))
+    scored = blocks.cut(verify(star, celled, 0.0))
+    links = scored.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
-    tried = star
-    rest = ranked.select("band", "rep", "degree")
-    while True:
-        # Rows of buckets that still hold several classes, without those in a class their centres have had.
-        placed = rest.join(found, rest["rep"] == found["id"], "left").select("band", "rep", "degree", F.coalesce("class", "rep").alias("class"))
-        had = placed.join(centre.select("band", F.col("centre").alias("rep")), ["band", "rep"]).select("band", F.col("class").alias("_had"))
-        left = blocks.cut(placed.join(had, "band").where("class <> _had").select("band", "rep", "degree", "class"))
-        counts = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "n")
-        several = left.join(counts, "band")
-        centre = blocks.cut(several.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("centre")))
-        next_star = several.where(F.col("n") > SMALL).join(centre, "band").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        # A small bucket is settled at once: its members meet across classes.
-        group = several.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("rep", "class")).alias("g"))
-        across = group.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.class > x.class), y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p")).select("p.a", "p.b")
-        fresh = blocks.cut(next_star.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        more = blocks.cut(verify(fresh, celled, threshold).select("a", "b"))
-        n_more = more.count()
-        if not n_more:
-            break
-        links = blocks.cut(links.unionByName(more))
-        found = components(links)
-        if n_more < least_yield * fresh.count():
-            break
-        tried = blocks.cut(tried.unionByName(fresh))
-        rest = left.select("band", "rep", "degree")
+    # What a bucket still holds once all of it has met the centre: texts of several classes at like distances from it.
+    away = scored.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("d"))
+    placed = shared.where("n > 2").join(centre, "band").join(away, ["rep", "centre"])
+    placed = placed.join(found, placed["rep"] == found["id"], "left").select("band", "rep", "weight", F.coalesce("class", "rep").alias("class"), F.floor(F.col("d") / ((1 - threshold) * (1 + 1e-6) + 1e-9)).alias("ring"))
+    placed = blocks.cut(placed)
+    rings = placed.groupBy("band", "ring").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).select("band", F.explode(F.expr("array(ring - 1, ring, ring + 1)")).alias("ring"), "lo", "hi")
+    several = rings.groupBy("band", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("band", "ring")
+    open_ = blocks.cut(placed.join(several, ["band", "ring"]).select("band", "rep", "weight", "class"))
+    more = open_links(open_, celled, threshold)
+    found = components(links.unionByName(more))
     member = signed.select("doc_id", "key").join(unique.select("key", "rep"), "key")
     classed = blocks.cut(member.join(found, member["rep"] == found["id"], "left").select("doc_id", F.coalesce("class", "rep").alias("class_id")))
     size = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

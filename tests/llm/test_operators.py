@@ -294,6 +294,49 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_of_drifting_versions(spark):
+    """Versions of versions: large buckets whose members are like one another but not like the centre."""
+    rng = random.Random(11)
+    made = [[f"v{k}" for k in range(300)]]
+    for _ in range(600):
+        w = list(rng.choice(made))
+        for _ in range(4):
+            w[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        made.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_links_of_a_bucket_equal_all_pairs(spark):
+    rng = random.Random(12)
+    sets = [set(rng.sample(range(60), 40)) for _ in range(4)]
+    for _ in range(80):
+        s = set(rng.choice(sets))
+        for x in rng.sample(sorted(s), 3):
+            s ^= {x, rng.randrange(500)}
+        sets.append(s)
+    packed = [b"".join(x.to_bytes(5, "little") for x in sorted(s)) for s in sets]
+    links = near_dup._compare([(k, k, b) for k, b in enumerate(packed)], 0.8)
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+
+    def closed(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    every = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert closed(links) == closed(every) and len(set(closed(every))) > 1
+    open_ = spark.createDataFrame([(1, k, len(s), k) for k, s in enumerate(sets)], "band long, rep long, weight long, class long")
+    celled = spark.createDataFrame(list(enumerate(packed)), "id long, cells binary")
+    block, near_dup.BLOCK = near_dup.BLOCK, 800
+    try:  # in blocks
+        assert closed((r.a, r.b) for r in near_dup.open_links(open_, celled).collect()) == closed(every)
+    finally:
+        near_dup.BLOCK = block
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = random.Random(6)
     a = [f"w{rng.randrange(3000)}" for _ in range(800)]
