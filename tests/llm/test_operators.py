@@ -308,6 +308,22 @@ def test_near_duplicates_of_drifting_versions(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_amid_false_candidates(spark):
+    """Many texts around a common passage, unlike one another, do not stop the search in other buckets."""
+    rng = random.Random(13)
+    made = [[f"v{k}" for k in range(300)]]
+    for _ in range(300):
+        w = list(rng.choice(made))
+        for _ in range(4):
+            w[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        made.append(w)
+    passage = [f"p{k}" for k in range(120)]
+    made += [passage + [f"o{rng.randrange(10**6)}" for _ in range(60)] for _ in range(600)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_links_of_a_bucket_equal_all_pairs(spark):
     rng = random.Random(12)
     sets = [set(rng.sample(range(60), 40)) for _ in range(4)]
