@@ -46,12 +46,17 @@ class DomainModel:
 def fit(labelled: DataFrame, rows_per_domain: int = 600, seed: int = 29) -> DomainModel:
     """Learn from ``labelled(doc_id, text, domain)``: about ``rows_per_domain`` rows of each domain, by a hash of the id.
 
-    Priors are the domains' shares of all labelled rows.
+    Priors are the domains' shares of all labelled rows: of those in ``labelled``, or where it is a sample, of the counts
+    in its column ``n_labelled`` (one number per domain; a domain without sampled rows has one row without text).
     """
-    known = labelled.where(F.col("domain").isNotNull() & F.col("text").isNotNull())
-    totals = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
-    if not totals:
+    named = labelled.where(F.col("domain").isNotNull())
+    known = named.where(F.col("text").isNotNull())
+    rows = F.count("text")
+    whole = F.max("n_labelled") if "n_labelled" in labelled.columns else rows
+    found = named.groupBy("domain").agg(rows.alias("rows"), whole.alias("whole")).where("whole > 0").collect()
+    if not found:
         return DomainModel(("all",), np.zeros(1), np.zeros((1 << BUCKET_BITS, 1), np.float32))
+    totals = {r["domain"]: max(r["rows"], 1) for r in found}
     domains = tuple(sorted(totals))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     keep = F.lit(False)
@@ -71,7 +76,8 @@ def fit(labelled: DataFrame, rows_per_domain: int = 600, seed: int = 29) -> Doma
     counted = known.where(keep).select("text", "domain").mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((1 << BUCKET_BITS, len(domains)))
     table[counted.b, counted.k] = counted.n
-    prior = np.array([totals[x] for x in domains], float)
+    shares = {r["domain"]: r["whole"] for r in found}
+    prior = np.array([shares[x] for x in domains], float)
     return DomainModel(domains, np.log(prior / prior.sum()), np.log((table + 0.5) / (table.sum(0) + 0.5 * len(table))).astype(np.float32))
 
 
@@ -181,12 +187,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def domain_labels(docs: DataFrame, labels: DataFrame, per_class: int = 1500, seed: int = 31) -> DataFrame:
-    """``doc_id, text, domain`` of labelled documents: language and quality, as in ``en/high``.
+    """``doc_id, text, domain, n_labelled`` of labelled documents: language and quality, as in ``en/high``.
 
-    At most ``per_class`` ids of each quality, by a hash of the id; so few ids may be broadcast.
+    At most ``per_class`` ids of each quality, by a hash of the id; so few ids may be broadcast.  ``n_labelled`` counts all
+    labelled documents of the domain, sampled or not; a domain without a sampled one has a row without id and text.
     """
     clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     draw = F.xxhash64("doc_id", F.lit(seed))
     ids = blocks.cut(clean.where("quality > 0").orderBy(draw, "doc_id").limit(per_class).unionByName(clean.where("quality <= 0").orderBy(draw, "doc_id").limit(per_class)))
-    domain = F.concat_ws("/", F.coalesce("lang", F.lit("und")), F.when(F.col("quality") > 0, "high").otherwise("low"))
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("doc_id", "text", domain.alias("domain"))
+    domain = F.concat_ws("/", F.coalesce("lang", F.lit("und")), F.when(F.col("quality") > 0, "high").otherwise("low")).alias("domain")
+    counts = blocks.cut(docs.where("text is not null").select("doc_id", "lang").join(clean, "doc_id").groupBy(domain).agg(F.count(F.lit(1)).alias("n_labelled")))
+    sampled = docs.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("doc_id", "text", domain)
+    missing = counts.join(sampled.select("domain").distinct(), "domain", "left_anti").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "domain", "n_labelled")
+    return sampled.join(F.broadcast(counts), "domain").select("doc_id", "text", "domain", "n_labelled").unionByName(missing)

@@ -408,6 +408,16 @@ def test_personal_data_discovers_by_context(spark):
     assert got[101].spans == "" and got[102].spans == "phone:12:21"
 
 
+def test_mixing_priors_count_all_labelled_rows(spark):
+    rows = [(k, f"words of text {k}", "en" if k % 3 else "de", "s", 10) for k in range(90)]
+    gold = [(k, int(k >= 10), 0) for k in range(90)]
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(gold, LABELS)
+    model = mixing.fit(mixing.domain_labels(table, labels, per_class=6))
+    want = collections.Counter(f"{rows[k][2]}/{'high' if q else 'low'}" for k, q, _ in gold)
+    assert model.domains == tuple(sorted(want))
+    assert np.allclose(np.exp(model.prior), [want[d] / 90 for d in model.domains])
+
+
 def test_mixing_meets_targets(spark, sf):
     table = blocks.read(spark, "/root/testdata/sf0.01", "documents")
     model = mixing.fit(table.select("doc_id", "text", F.col("lang").alias("domain")))
