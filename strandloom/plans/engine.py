@@ -269,7 +269,7 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's protein solved at every sweep corner; screening was not run here, and says so."""
     requests = proteins(spark, sf_dir).select(F.col("construct_id").alias("design_id"), "protein", F.lit("not_run").alias("screen"))
-    made = design.solve(requests, 1, list(dims.SIX_CUTTERS.values()), repair=False)
+    made = design.solve(requests, 1, list(dims.SIX_CUTTERS.values()))
     return made.select("design_id", "lean", F.length("cds").alias("bases"), F.round(dna.gc_fraction(F.col("cds")), 6).alias("gc"), "status", "screen", "degradations")
 
 

@@ -196,3 +196,18 @@ def test_presets_labels_and_report(spark):
     assert {r.status for r in presets.resolve(presets.preset_table(spark), rules.rules(spark)).collect()} == {"weighted"}
     labels = spark.createDataFrame([("AmpR beta-lactamase",), ("attB1",), ("gene",)], "x string")
     assert [tuple(r) for r in labels.select(presets.is_marker(F.col("x")), presets.is_recombination_site(F.col("x"))).collect()] == [(True, False), (False, True), (False, False)]
+
+
+def test_registered_designs_are_repaired(spark, tmp_path):
+    from strandloom import dims
+    from strandloom.operators import design
+    from strandloom.plans import engine
+
+    spark.createDataFrame([(k, a * 30) for k, a in enumerate(("K", "G", "KF", "LP", "AG", "SR"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    requests = engine.proteins(spark, str(tmp_path)).selectExpr("construct_id as design_id", "protein", "'not_run' as screen")
+    gc = {}
+    for repair in (False, True):
+        rows = design.solve(requests, 1, list(dims.SIX_CUTTERS.values()), repair=repair).collect()
+        gc[repair] = {(r.design_id, r.lean): r.cds and round(sum(c in "GC" for c in r.cds) / len(r.cds), 6) for r in rows}
+    assert gc[False] != gc[True]
+    assert {(r.design_id, r.lean): r.gc for r in engine.lattice(spark, str(tmp_path)).collect()} == gc[True]
