@@ -57,10 +57,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, as the session names it; a temporary one only in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="strandloom-"))
     return _OWN_DIR[0]
@@ -95,6 +97,32 @@ def row_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_
             row = to
 
 
+def shards(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in shards of about ``limit`` text bytes (one row at least): small batches join, large ones are cut.
+
+    ``text`` is the column's index, so names may repeat.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        _, offsets = text_block(batch.column(text))
+        row = 0
+        while row < batch.num_rows:
+            to = int(np.searchsorted(offsets, offsets[row] + limit - size, "right")) - 1
+            to = min(max(to, row + (not held)), batch.num_rows)
+            if to > row:
+                held.append(batch.slice(row, to - row))
+                size += int(offsets[to] - offsets[row])
+                row = to
+            if row < batch.num_rows or size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of member bytes within each row, and per-row bounds into them."""
     n = len(data)
@@ -255,16 +283,19 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return state.T.reshape(-1)[where]
 
 
-def chain_marginals(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def chain_marginals(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray, pairwise: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """P(state 1) per token of a two-state linear chain, by forward-backward over whole rows.
 
+    With ``pairwise`` also the expected number of transitions between states, (2, 2): the sum of the pairwise marginals of
+    neighbouring tokens, a row's first token counting as a transition from state 0.
+
     ``emission`` is the log-potential of state 1 against state 0 and ``trans`` the 2x2 log-potentials; a
     row begins as if state 0 stood before it.  Chunks are processed together as in :func:`viterbi`, in
     linear space with rescaling.
     """
     n = len(emission)
     if n == 0:
-        return np.zeros(0)
+        return (np.zeros(0), np.zeros((2, 2))) if pairwise else np.zeros(0)
     where, at = chunked(bounds)
     chunks = int(at[-1])
     lift = np.ones((chunks * CHUNK, 2))
@@ -307,10 +338,15 @@ def chain_marginals(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray)
         value = np.where(used[t][:, None], moved / moved.sum(1, keepdims=True), value)
         ahead[t] = value
     out = np.zeros((CHUNK, chunks))
+    moves = np.zeros((2, 2))
     value = rear
     for t in range(CHUNK - 1, -1, -1):
         both = ahead[t] * value
         out[t] = both[:, 1] / both.sum(1)
+        if pairwise:
+            before = ahead[t - 1] if t else front
+            pair = before[:, :, None] * a[None] * (lift[t] * value)[:, None, :]
+            moves += (pair / pair.sum((1, 2), keepdims=True))[used[t]].sum(0)
         moved = (lift[t] * value) @ a.T
         value = np.where(used[t][:, None], moved / moved.sum(1, keepdims=True), value)
-    return out.T.reshape(-1)[where]
+    return (out.T.reshape(-1)[where], moves) if pairwise else out.T.reshape(-1)[where]

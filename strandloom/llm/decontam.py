@@ -8,18 +8,21 @@ phrase width, its Burrows-Wheeler transform is kept in a wavelet tree, phrases a
 over rank queries, and occurrences are located by walking to sampled suffix positions.  Occurrences of all
 phrases merge into removal spans.
 
-Phrases are the stated query set: they are read in blocks of ``block_phrases`` and each block goes to the
-executors, so their number is bounded whatever the benchmark's size.  Null texts have no words; repeated
-documents and items are treated alike; an empty benchmark hits nothing; extra columns are ignored.
+Phrases are the stated query set: they are read in blocks of ``block_phrases``, so what is broadcast at once is bounded
+whatever the benchmark's size.  Every block is one more map over the same rows, which carries what earlier blocks found;
+rows are never keyed, joined or shuffled, so null and repeated ids, and columns of any name, make no difference.  Null
+texts have no words and stay null; repeated documents and items are treated alike; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,23 @@ WIDTH = 10
 SAMPLE = 8
 
 
+class Bits:
+    """A bit vector with rank: 64-bit words and the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        self.words = np.packbits(np.append(bits.astype(np.uint8), np.zeros(-self.n % 64 + 64, np.uint8)), bitorder="little").view("<u8")
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones among the first ``at`` bits."""
+        word, inside = at >> 6, (at & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << inside) - np.uint64(1)))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletTree:
     """Rank over a sequence of small integers, by bit planes from the top (a wavelet matrix)."""
 
@@ -36,27 +56,27 @@ class WaveletTree:
         self.n, self.planes = len(symbols), []
         seq = symbols
         for b in range(bits - 1, -1, -1):
-            bit = (seq >> b) & 1
-            ones = np.concatenate(([0], np.cumsum(bit, dtype=np.int32)))
-            self.planes.append((b, bit.astype(bool), ones, self.n - int(ones[-1])))
-            seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
+            bit = (seq >> b & 1).astype(bool)
+            self.planes.append((b, Bits(bit), self.n - int(bit.sum())))
+            seq = np.concatenate((seq[~bit], seq[bit]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many of the first ``at`` entries equal ``symbol``; vectorised."""
         lo, hi = np.zeros_like(at), at.copy()
-        for b, _, ones, zeros in self.planes:
-            up = ((symbol >> b) & 1).astype(bool)
-            lo = np.where(up, zeros + ones[lo], lo - ones[lo])
-            hi = np.where(up, zeros + ones[hi], hi - ones[hi])
+        for b, plane, zeros in self.planes:
+            up = (symbol >> b & 1).astype(bool)
+            low, high = plane.rank(lo), plane.rank(hi)
+            lo, hi = np.where(up, zeros + low, lo - low), np.where(up, zeros + high, hi - high)
         return hi - lo
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The entries at positions ``at``."""
         out, at = np.zeros(len(at), np.int64), at.copy()
-        for b, bit, ones, zeros in self.planes:
-            up = bit[at]
+        for b, plane, zeros in self.planes:
+            up = plane.get(at)
             out |= up.astype(np.int64) << b
-            at = np.where(up, zeros + ones[at], at - ones[at])
+            ones = plane.rank(at)
+            at = np.where(up, zeros + ones, at - ones)
         return out
 
 
@@ -64,22 +84,22 @@ class FMIndex:
     """Backward search over a sequence of symbols >= 1; 0 is the separator that occurs in no pattern.
 
     Suffixes are sorted up to their first separator, ties by position; a step to the symbol before keeps that
-    order, so last-to-first steps are exact up to a separator.
+    order, so last-to-first steps are exact up to a separator.  Of the suffix order only samples are kept: every
+    ``sample``-th position and each first one behind a separator, so that no step goes over one.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, sample: int = SAMPLE):
-        self.n, self.sample = len(text), sample
-        order = self._suffix_order(text)
-        self.bits = max(1, int(sigma).bit_length())
+        self.n = len(text)
+        order = self.suffix_order(text)
         # Rotations of the text: the symbol before position 0 is the last one, always a separator.
-        self.tree = WaveletTree(text[order - 1].astype(np.int64), self.bits)
+        before = text[order - 1].astype(np.int64)
+        self.tree = WaveletTree(before, max(1, int(sigma).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma + 2))))
-        self.at = order
-        self.marked = order % sample == 0
-        self.order = order
+        marked = (order % sample == 0) | (before == 0)
+        self.marked, self.at = Bits(marked), order[marked].astype(np.int32)
 
     @staticmethod
-    def _suffix_order(text: np.ndarray) -> np.ndarray:
+    def suffix_order(text: np.ndarray) -> np.ndarray:
         """Prefix doubling, until a round tells no more suffixes apart."""
         rank, k = text.astype(np.int64), 1
         n, distinct = len(text), 0
@@ -116,18 +136,12 @@ class FMIndex:
         steps, out = np.zeros(len(rank), np.int64), np.full(len(rank), -1, np.int64)
         todo, here = np.arange(len(rank)), rank.copy()
         while len(todo):
-            got = self.marked[here]
-            out[todo[got]] = (self.at[here[got]] + steps[todo[got]]) % self.n
+            got = self.marked.get(here)
+            out[todo[got]] = self.at[self.marked.rank(here[got])] + steps[todo[got]]
             todo, here = todo[~got], here[~got]
             if len(todo):
                 c = self.tree.access(here)
-                # A step over a separator keeps text order only by position, so it is read directly.
-                sep = c == 0
-                nxt = self.first[c] + self.tree.rank(c, here)
-                if sep.any():
-                    out[todo[sep]] = self.order[here[sep]] + steps[todo[sep]]
-                    todo, nxt = todo[~sep], nxt[~sep]
-                here = nxt
+                here = self.first[c] + self.tree.rank(c, here)
                 steps[todo] += 1
         return out
 
@@ -215,70 +229,77 @@ def _shard_hits(query: Phrases, hashes: np.ndarray, bounds: np.ndarray) -> tuple
     return origin[index.locate(at)], query.sizes[phrase], phrase
 
 
-HIT = "doc_id long, n_words long, text_key long, spans array<struct<start:int,end:int,first_word:int,last_word:int>>, items array<string>"
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
-
-
-def _search(docs: DataFrame, query: Phrases, shard_bytes: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(query)
-
+#: What a search adds to its rows.
+FOUND = "n_words long, spans array<struct<start:int,end:int,first_word:int,last_word:int>>, items array<string>"
+#: Maps that are chained before the rows are written, so that few broadcasts are in use at once.
+CHAIN = 4
+
+
+def _hits(query: Phrases, block: pa.RecordBatch, text: int) -> pa.RecordBatch:
+    """``block`` with its last three columns (see :data:`FOUND`) brought up to date by one block of phrases."""
+    hashes, starts, ends, bounds, data, offsets = _tokens(block.column(text))
+    rows = block.num_rows
+    at, width, phrase = _shard_hits(query, hashes, bounds)
+    # Union of the occurrences, old and new: a word is hit where more begin than have ended.
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + width, -1)
+    old = block.column(block.num_columns - 2)
+    if old.null_count < rows:
+        spans = old.flatten()
+        owner = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(old), 0).to_numpy(zero_copy_only=False))
+        np.add.at(cover, bounds[:-1][owner] + spans.field("first_word").to_numpy(zero_copy_only=False), 1)
+        np.add.at(cover, bounds[:-1][owner] + spans.field("last_word").to_numpy(zero_copy_only=False) + 1, -1)
+    hit = np.cumsum(cover)[:-1] > 0
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    same = np.concatenate(([False], row[1:] == row[:-1])) if len(row) else np.zeros(0, bool)
+    head = np.flatnonzero(hit & ~(np.concatenate(([False], hit[:-1])) & same)) if len(hit) else np.zeros(0, np.int64)
+    tail = np.flatnonzero(hit & ~np.concatenate((hit[1:] & same[1:], [False]))) if len(hit) else head
+    chars = blocks.code_points(data)
+    owner = row[head]
+    base = chars[offsets[:-1]][owner]
+    items = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (chars[starts[head]] - base, chars[ends[tail]] - base, head - bounds[:-1][owner], tail - bounds[:-1][owner])], fields=list(SPAN))
+    spans = pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32), items)
+    named = [set(x or ()) for x in block.column(block.num_columns - 1).to_pylist()]
+    if len(at):
+        pairs = np.unique(row[at] * len(query.sizes) + phrase)
+        for r, p in zip(*np.divmod(pairs, len(query.sizes)), strict=True):
+            named[r].update(query.items[p])
+    columns = [*block.columns[:-3], pa.array(np.diff(bounds).astype(np.int64)), spans, pa.array([sorted(x) for x in named], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, block.schema.names)
+
+
+def _search(rows: DataFrame, text: int, benchmark: DataFrame, width: int, shard_bytes: int, block_phrases: int) -> DataFrame:
+    """``rows`` with columns renamed by position (c0, c1, ...) and the three of :data:`FOUND` behind them; the text is column ``text``."""
+    named = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    out = named.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ", 1) for x in FOUND.split(", "))))
+    schema = out.schema
+    nothing = Phrases(np.zeros(1, np.uint64), np.ones((1, width), np.int64), np.array([width]), [[]])
+    n = 0
+    for n, query in enumerate(phrase_blocks(benchmark, width, block_phrases), 1):
+        out = blocks.cut(out) if n > 1 and n % CHAIN == 1 else out
+        out = out.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(query), text, shard_bytes), schema)
+    return out if n else out.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(nothing), text, shard_bytes), schema)
+
+
+def _run(shared, text: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
-        for block in blocks.row_blocks(batches, "text", shard_bytes):
-            hashes, starts, ends, bounds, data, offsets = _tokens(block.column(1))
-            rows = block.num_rows
-            at, width, phrase = _shard_hits(phrases, hashes, bounds)
-            # Union of the occurrences: a word is hit where more begin than have ended.
-            cover = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + width, -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            row = np.repeat(np.arange(rows), np.diff(bounds))
-            same = np.concatenate(([False], row[1:] == row[:-1]))
-            head = np.flatnonzero(hit & ~(np.concatenate(([False], hit[:-1])) & same)) if len(hit) else np.zeros(0, np.int64)
-            tail = np.flatnonzero(hit & ~np.concatenate((hit[1:] & same[1:], [False]))) if len(hit) else head
-            chars = blocks.code_points(data)
-            owner = row[head]
-            base = chars[offsets[:-1]][owner]
-            items = pa.StructArray.from_arrays(
-                [pa.array(x.astype(np.int32)) for x in (chars[starts[head]] - base, chars[ends[tail]] - base, head - bounds[:-1][owner], tail - bounds[:-1][owner])], fields=list(SPAN)
-            )
-            spans = pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32), items)
-            named: list[set[str]] = [set() for _ in range(rows)]
-            if len(at):
-                pairs = np.unique(row[at] * len(phrases.sizes) + phrase)
-                for r, p in zip(*np.divmod(pairs, len(phrases.sizes)), strict=True):
-                    named[r].update(phrases.items[p])
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.zeros(rows, np.int64)), spans, pa.array([sorted(x) for x in named], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "text_key", "spans", "items"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HIT).drop("text_key")
+        query = shared.value
+        for block in blocks.shards(batches, text, shard_bytes):
+            yield _hits(query, block, text)
+
+    return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 8 << 20, block_phrases: int = 200_000) -> DataFrame:
-    """``doc_id, n_words, spans, items`` of each row of ``docs(doc_id, text)``.
+    """``doc_id, n_words, spans, items`` of each row of ``docs(doc_id, text)``, in as many rows.
 
     ``spans`` are merged removal spans in characters (end exclusive) with their first and last word; ``items``
-    are the ids of benchmark items with an occurring phrase, sorted as strings.  With one block of phrases,
-    the usual case, rows pass through one map stage and nothing is shuffled.
+    are the ids of benchmark items with an occurring phrase, sorted as strings.
     """
-    parts = [_search(docs, query, shard_bytes) for query in phrase_blocks(benchmark, width, block_phrases)]
-    if not parts:
-        return _search(docs, Phrases(np.zeros(1, np.uint64), np.ones((1, width), np.int64), np.array([width]), [[]]), shard_bytes)
-    if len(parts) == 1:
-        return parts[0]
-    # Rows of a document from several blocks meet by id; ids are unique in documents.
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    step = """aggregate(s, cast(array() as array<struct<start:int,end:int,first_word:int,last_word:int>>), (a, x) ->
-        case when size(a) > 0 and x.first_word <= element_at(a, -1).last_word + 1 then
-            concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end, element_at(a, -1).first_word as first_word, greatest(element_at(a, -1).last_word, x.last_word) as last_word)))
-        else concat(a, array(x)) end)"""
-    return merged.select("doc_id", "n_words", F.expr(step).alias("spans"), "items")
+    found = _search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 1, benchmark, width, shard_bytes, block_phrases)
+    return found.select(F.col("c0").alias("doc_id"), "n_words", "spans", "items")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -287,16 +308,43 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without its removal spans, same columns; a text left without any word goes.
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 8 << 20, block_phrases: int = 200_000) -> DataFrame:
+    """``docs`` without its removal spans, same columns; a text left without any word goes, other rows stay as they are.
 
-    The spans come back to the texts by ``doc_id`` (the texts are shuffled once); ``n_chars`` follows the text.  Rows that
-    share a ``doc_id`` must share their text; rows without one stay as they are.
+    ``n_chars`` follows the text.  The spans are cut out in the rows in which they were found: nothing is shuffled.
     """
-    found = find(docs, benchmark, **options).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans")).dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id", "left")
-    pieces = F.expr("""aggregate(__spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at))), a -> concat(a.out, substring(text, a.at + 1, length(text))))""")
-    kept = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pieces)
-    out = joined.withColumn("__text", kept).where(F.col("__spans").isNull() | F.col("__text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
-    made = {c: F.col("__text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text").cast("long")) if c == "n_chars" else F.col(c) for c in docs.columns}
-    return out.select(*[e.alias(c) for c, e in made.items()])
+    names = docs.columns
+    text = names.index("text")
+    found = _search(docs, text, benchmark, width, shard_bytes, block_phrases)
+    cut = found.mapInArrow(_cut(text), found.drop("spans", "items").schema)
+    n_chars = F.when(F.col("n_words") >= 0, F.length(f"c{text}").cast("long"))
+    made = [F.coalesce(n_chars, F.col(f"c{k}")).cast(docs.schema[k].dataType) if n == "n_chars" else F.col(f"c{k}") for k, n in enumerate(names)]
+    return cut.select(*made).toDF(*names)
+
+
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
+
+
+def _cut(text: int):
+    """Cuts the spans out of the texts; ``n_words`` becomes null where a text has none, and rows left without a word go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.shards(batches, text, blocks.BLOCK_BYTES):
+            spans = block.column(block.num_columns - 2)
+            hit = pc.greater(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            texts, keep = block.column(text), np.ones(block.num_rows, bool)
+            if hit.any():
+                new = texts.to_pylist()
+                for i in np.flatnonzero(hit).tolist():
+                    parts, at = [], 0
+                    for s in spans[i].as_py():
+                        parts.append(new[i][at : s["start"]])
+                        at = s["end"]
+                    new[i] = "".join(parts) + new[i][at:]
+                    keep[i] = bool(_WORD.search(new[i]))
+                texts = pa.array(new, pa.string())
+            columns = [texts if k == text else c for k, c in enumerate(block.columns[:-3])]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array(np.where(hit, 1, 0), pa.int64(), mask=~hit)], block.schema.names[:-2])
+            yield made.filter(pa.array(keep))
+
+    return run

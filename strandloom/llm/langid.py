@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters.  The script of a word (from the lead byte of its first letter) narrows the
+Words are runs of letters.  The script of a word (from the code point of its first letter) narrows the
 candidate languages to those whose training text uses that script; character trigrams score the word for
 each candidate; Viterbi over the words of a text, with a fixed cost per change of language, labels spans.
 
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +28,30 @@ BUCKETS = 1 << 16
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "southeast_asian", "georgian", "kana", "han", "hangul", "other")
 
 
-def _script_of_lead() -> np.ndarray:
-    """Script code by the first byte of a letter; three-byte scripts by their lead byte's block."""
-    code = np.full(256, SCRIPTS.index("other"), np.int8)
-    for name, lo, hi in (
-        ("latin", 0x41, 0x7A), ("latin", 0xC2, 0xCA), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD3), ("armenian", 0xD4, 0xD5),
-        ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDB), ("indic", 0xE0, 0xE0), ("southeast_asian", 0xE1, 0xE1), ("kana", 0xE3, 0xE3),
-        ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED),
-    ):
-        code[lo : hi + 1] = SCRIPTS.index(name)
-    return code
-
-
-SCRIPT = _script_of_lead()
+#: First code points of the ranges of scripts, each up to the next one's: fixed values.
+RANGES = (
+    (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "southeast_asian"),
+    (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1780, "southeast_asian"), (0x1800, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"),
+    (0x1D00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"), (0x2DE0, "cyrillic"), (0x2E00, "other"),
+    (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"), (0xA640, "cyrillic"),
+    (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFEFF, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
+)
+_FROM = np.array([lo for lo, _ in RANGES])
+_CODE = np.array([SCRIPTS.index("other"), *(SCRIPTS.index(name) for _, name in RANGES)], np.int8)
+
+
+def scripts_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Script codes of the characters that begin at ``starts``, by code point."""
+    last = max(len(data) - 1, 0)
+    b = [data[np.minimum(starts + k, last)].astype(np.int64) for k in range(4)]
+    low = [x & 0x3F for x in b]
+    point = np.select(
+        [b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0],
+        [b[0], (b[0] & 0x1F) << 6 | low[1], (b[0] & 0x0F) << 12 | low[1] << 6 | low[2]],
+        (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3],
+    )
+    return _CODE[np.searchsorted(_FROM, point, "right")]
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +112,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, seed: int = 17) -> LanguageMo
             word_lang = np.repeat(lang, np.diff(bounds))
             gram, _ = _grams(data, starts, ends)
             np.add.at(grams, (np.repeat(word_lang, ends - starts), gram), 1)
-            np.add.at(scripts, (word_lang, SCRIPT[data[starts]]), 1)
+            np.add.at(scripts, (word_lang, scripts_of(data, starts)), 1)
         for kind, table in ((0, grams), (1, scripts)):
             k, b = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(table[k, b])], ["kind", "k", "b", "n"])
@@ -137,7 +149,7 @@ def _label(model: LanguageModel, column: pa.Array, penalty: float) -> tuple[list
     word = np.empty((len(starts), n_lang), np.float32)
     for k in range(n_lang):
         word[:, k] = np.add.reduceat(model.grams[:, k][gram], first)
-    may = model.scripts[SCRIPT[data[starts]]]
+    may = model.scripts[scripts_of(data, starts)]
     word = np.where(may, word, word.min(1, keepdims=True) - 2 * penalty)
     word[~may.any(1)] = 0
     state = blocks.viterbi(word - word.max(1, keepdims=True), bounds, penalty)
@@ -177,3 +189,22 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0) -> Da
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(langs, pa.string()), pa.array(score), found], ["doc_id", "lang_pred", "score", "lang_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least_share: float, penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs`` whose likeliest language holds ``least_share`` of the letters; ``lang`` is filled where it is null.
+
+    Rows without letters go.  One map over whole rows: no key, no shuffle; columns of any name pass through.
+    """
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang")
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.shards(batches, text, blocks.BLOCK_BYTES):
+            langs, score, _ = _label(model, block.column(text), penalty)
+            known = np.array([x != UND for x in langs], bool) & (score >= least_share)
+            filled = pc.coalesce(block.column(lang), pa.array(langs, pa.string()))
+            yield pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(block.columns)], block.schema.names).filter(pa.array(known))
+
+    return rows.mapInArrow(keep, rows.schema).toDF(*names)

@@ -1,14 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-The unit is a non-blank line, trimmed.  Occurrences of a line are numbered within their document, so that every
-(line, number) is unique there, as patience diff wants its anchors.  A line kept by several documents links each
-later one to the earliest alone (a star, not all pairs), however many share it.  Per pair of documents the
-shared unique lines are aligned by their longest increasing subsequence; runs of neighbouring aligned lines are
-common blocks; blocks of at least ``min_words`` words are deleted from the later document.
-
-Document order is ``doc_id``.  Null and empty texts have no lines and stay.  Rows with the same ``doc_id`` count as one
-document.  Copies of a document lose all long enough blocks and may become empty.  Empty tables give empty
-results; extra columns pass through :func:`remove` and are ignored elsewhere.
+The unit is a non-blank line, trimmed.  A single line may be common (a licence, a heading); what is rare is a run of lines.
+So every line gets the hash of its run: the shortest run of lines from it on that holds ``min_words`` words.  A document
+overlaps each earlier one that is the first holder of one of its runs; frequent lines by themselves link nothing, and a
+document has at most as many partners as lines, however many share a run.  Each pair is aligned as patience diff does:
+the longest increasing subsequence of the shared runs, which join to common blocks; runs off that
+chain (moved passages, second copies) join to blocks along their own diagonals.  All these blocks are deleted from the
+later document.  So exactly the lines go that lie in ``min_words`` or more words of successive lines which an
+earlier document holds too.
+
+Documents are ordered by ``doc_id``, null ids last, rows of one id by the text's digest; equal texts of one id are
+the same document, treated alike.  Null and empty texts have no lines and stay.  Copies of a document lose all long enough blocks and
+may become empty.  Empty tables give empty results; columns of any name pass through :func:`remove`.
 """
 
 from __future__ import annotations
@@ -24,35 +27,57 @@ from pyspark.sql import functions as F
 from . import blocks
 
 MIN_WORDS = 25
+#: Order of rows without an id.
+LAST = (1 << 63) - 1
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, raw line number, hash and words of each non-blank line, and the rows' bounds."""
+    data, offsets = blocks.text_block(column)
+    starts, ends, _ = blocks.spans(data, offsets, blocks.NOT_NEWLINE)
+    word_starts, word_ends, _ = blocks.spans(data, offsets, blocks.SOLID)
+    first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+    some = last > first
+    starts, first, last = starts[some], first[some], last[some]
+    row = np.searchsorted(offsets, starts, "right") - 1
+    hashes = blocks.span_hashes(data, word_starts[first], word_ends[last - 1])[0] if len(row) else np.zeros(0, np.uint64)
+    newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
+    raw = newlines[starts] - newlines[offsets[:-1]][row]
+    return row, raw, hashes, last - first, np.searchsorted(row, np.arange(len(column) + 1))
+
+
+_BASE = np.uint64(0x9FB21C651E98DF25)
+_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
+
+
+def _runs(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line behind the last, and hash of each line's shortest run of ``min_words`` words; lines without one are left out."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    stop = np.searchsorted(total, total[:-1] + min_words)
+    row_end = np.repeat(bounds[1:], np.diff(bounds))
+    begin = np.flatnonzero(stop <= row_end)
+    stop = stop[begin]
+    # Polynomial hashes by prefix sums, from the row's own lines alone.
+    inside = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    most = int(inside.max()) + 2 if len(inside) else 1
+    up, down = np.full(most, _BASE, np.uint64), np.full(most, _BACK, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(blocks.mix(hashes) * up[inside], dtype=np.uint64)))
+    key = (sums[stop] - sums[begin]) * down[inside[begin]] + (stop - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return begin, stop, blocks.mix(key)
+
+
+def _keyed(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.row_blocks(batches, "text"):
+            row, _, hashes, words, bounds = _lines(block.column(2))
+            begin, _, key = _runs(hashes, words, bounds, min_words)
+            owner = pa.array(row[begin])
+            seq = (begin - bounds[:-1][row[begin]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), block.column(0).take(owner), block.column(1).take(owner), pa.array(seq)], ["key", "doc", "digest", "seq"])
 
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of line and its number in the document, doc_id, raw line number, number among non-blank lines, words)."""
-    for block in blocks.row_blocks(batches, "text"):
-        data, offsets = blocks.text_block(block.column(1))
-        starts, ends, bounds = blocks.spans(data, offsets, blocks.NOT_NEWLINE)
-        word_starts, word_ends, _ = blocks.spans(data, offsets, blocks.SOLID)
-        first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
-        some = last > first
-        row = np.repeat(np.arange(block.num_rows), np.diff(bounds))[some]
-        starts, first, last = starts[some], first[some], last[some]
-        if not len(row):
-            continue
-        head, tail = word_starts[first], word_ends[last - 1]
-        hashes = blocks.span_hashes(data, head, tail)[0]
-        newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
-        raw = newlines[starts] - newlines[offsets[:-1]][row]
-        seq = np.arange(len(row)) - np.searchsorted(row, np.arange(block.num_rows))[row]
-        order = np.lexsort((seq, hashes, row))
-        h, r = hashes[order], row[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-        begin = np.flatnonzero(new)
-        nth = np.empty(len(row), np.uint64)
-        nth[order] = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-        key = blocks.mix(hashes + nth * np.uint64(0xA0761D6478BD642F)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), block.column(0).take(pa.array(row)), pa.array(raw.astype(np.int32)), pa.array(seq.astype(np.int32)), pa.array((last - first).astype(np.int32))], ["key", "doc_id", "line", "seq", "words"]
-        )
+    return run
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -75,82 +100,100 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
     return chain[::-1]
 
 
-def _blocks_of(rows: list[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """(first raw line, last raw line, words) of long enough common blocks; rows are (seq, owner seq, line, words)."""
-    out, run = [], []
-    for i in [*patience([(r[0], r[1]) for r in rows]), None]:
-        if i is not None and run and rows[i][0] == run[-1][0] + 1 and rows[i][1] == run[-1][1] + 1:
-            run.append(rows[i])
-            continue
-        words = sum(r[3] for r in run)
-        if run and words >= min_words:
-            out.append((run[0][2], run[-1][2], words))
-        run = [] if i is None else [rows[i]]
+def align(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Common blocks [first, end) of lines of one pair; ``runs`` are (line, end of its run, line in the earlier document) by line."""
+    chain = patience([(r[0], r[2]) for r in runs])
+    on = set(chain)
+    out: list[tuple[int, int]] = []
+    for part in ([runs[i] for i in chain], sorted((r for i, r in enumerate(runs) if i not in on), key=lambda r: (r[2] - r[0], r[0]))):
+        now: list[int] | None = None
+        for first, end, other in part:
+            if now and other - first == now[2] and first <= now[1]:
+                now[1] = max(now[1], end)
+            else:
+                if now:
+                    out.append((now[0], now[1]))
+                now = [first, end, other - first]
+        if now:
+            out.append((now[0], now[1]))
     return out
 
 
 REMOVED = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("words", pa.int32()), ("earlier", pa.int64())]))
+REMOVED_DDL = "array<struct<first_line:int,last_line:int,words:int,earlier:long>>"
+
+
+def _cut_row(shared: list[dict], begin: np.ndarray, stop: np.ndarray, raw: np.ndarray, words: np.ndarray) -> list[dict]:
+    """Disjoint blocks to delete of one document, from its shared runs (seq, owner, owner digest, owner seq)."""
+    end_of = dict(zip(begin.tolist(), stop.tolist(), strict=True))
+    pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for h in sorted(shared, key=lambda h: h["seq"]):
+        pairs.setdefault((h["owner"], h["owner_digest"]), []).append((h["seq"], end_of[h["seq"]], h["owner_seq"]))
+    found = sorted((a, -b, owner[0]) for owner, runs in pairs.items() for a, b in align(runs))
+    out, reach = [], 0
+    for a, minus, owner in found:
+        a, b = max(a, reach), -minus
+        if a < b:
+            reach = b
+            out.append({"first_line": int(raw[a]), "last_line": int(raw[b - 1]), "words": int(words[a:b].sum()), "earlier": None if owner == LAST else owner})
+    return out
+
 
+def _removed(text: int, min_words: int):
+    """Rows whose last column holds their shared runs (or null) come out with the text cut and the deleted blocks instead."""
 
-def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, list]] = []
-        doc, owner, rows, found = None, None, [], []
-
-        def close_pair() -> None:
-            found.extend({"first_line": a, "last_line": b, "words": n, "earlier": owner} for a, b, n in _blocks_of(rows, min_words))
-            rows.clear()
-
-        def close_doc() -> None:
-            close_pair()
-            if found:
-                done.append((doc, sorted(found, key=lambda x: x["first_line"])))
-
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.int64()), pa.array([x for _, x in done], REMOVED)], ["doc_id", "removed"])
-            done.clear()
-            return made
-
-        for part in batches:
-            for d, o, seq, oseq, line, words in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
-                if d != doc:
-                    if doc is not None:
-                        close_doc()
-                    found = []
-                    doc, owner = d, o
-                elif o != owner:
-                    close_pair()
-                    owner = o
-                rows.append((seq, oseq, line, words))
-            if len(done) > 1000:
-                yield batch()
-        if doc is not None:
-            close_doc()
-        yield batch()
+        for block in blocks.shards(batches, text, blocks.BLOCK_BYTES):
+            shared = block.column(block.num_columns - 1)
+            hit = np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False))
+            texts, removed = block.column(text), [None] * block.num_rows
+            if len(hit):
+                part = texts.take(pa.array(hit))
+                _, raw, hashes, words, bounds = _lines(part)
+                begin, stop, _ = _runs(hashes, words, bounds, min_words)
+                at = np.searchsorted(begin, bounds)
+                new = texts.to_pylist()
+                for k, i in enumerate(hit.tolist()):
+                    lo, hi = bounds[k], bounds[k + 1]
+                    mine = slice(at[k], at[k + 1])
+                    removed[i] = _cut_row(shared[i].as_py(), begin[mine] - lo, stop[mine] - lo, raw[lo:hi], words[lo:hi])
+                    gone = {n for x in removed[i] for n in range(x["first_line"], x["last_line"] + 1)}
+                    new[i] = "\n".join(x for n, x in enumerate(new[i].split("\n")) if n not in gone)
+                texts = pa.array(new, pa.string())
+            columns = [texts if k == text else c for k, c in enumerate(block.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, REMOVED)], [*block.schema.names[:-1], "removed"])
 
     return run
 
 
-def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, removed`` of documents with blocks to delete; ``removed`` has raw line ranges (both ends in) and the earlier document."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(_lines, "key long, doc_id long, line int, seq int, words int")
-    earliest = lines.groupBy("key").agg(F.min(F.struct("doc_id", "seq")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("o.doc_id").alias("owner"), F.col("o.seq").alias("owner_seq"))
-    shared = lines.join(earliest, "key").where("doc_id > owner").select("doc_id", "owner", "seq", "owner_seq", "line", "words")
-    placed = shared.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "owner", "seq")
-    return placed.mapInArrow(_align(min_words), "doc_id long, removed array<struct<first_line:int,last_line:int,words:int,earlier:long>>")
+def shared_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc, digest, shared`` of the documents of ``rows(doc, digest, text)`` with runs that an earlier one holds too."""
+    lines = rows.where("text is not null").mapInArrow(_keyed(min_words), "key long, doc long, digest long, seq int")
+    place = F.struct("doc", "digest", "seq")
+    first = lines.groupBy("key").agg(F.min(place).alias("o"), F.max(F.struct("doc", "digest")).alias("z")).where("struct(o.doc, o.digest) < z").select("key", "o")
+    later = lines.join(first, "key").where("struct(doc, digest) > struct(o.doc, o.digest)")
+    run = F.struct("seq", F.col("o.doc").alias("owner"), F.col("o.digest").alias("owner_digest"), F.col("o.seq").alias("owner_seq"))
+    return later.groupBy("doc", "digest").agg(F.collect_set(run).alias("shared"))
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, column: str = "removed") -> DataFrame:
-    """``docs`` with common blocks deleted from ``text`` (``n_chars`` follows) and the deleted blocks in ``column``.
+    """``docs`` with common blocks deleted from ``text`` (``n_chars`` follows) and the deleted blocks in ``column``, which takes the
+    place of one of that name: raw line ranges, both ends in, their words, and the ``doc_id`` of an earlier document that holds them.
 
-    Texts are shuffled once, to meet their blocks by ``doc_id``.
+    Texts are shuffled once, to meet their runs.
     """
-    found = common_blocks(docs, min_words).withColumnRenamed("removed", "__removed")
-    joined = docs.join(found, "doc_id", "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not exists(__removed, b -> i between b.first_line and b.last_line)), '\\n')")
-    joined = joined.withColumn("__text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
-    made = {c: F.col("__text") if c == "text" else F.when(F.col("__removed").isNull(), F.col(c)).otherwise(F.length("__text").cast("long")) if c == "n_chars" else F.col(c) for c in docs.columns if c != column}
-    return joined.select(*[e.alias(c) for c, e in made.items()], F.col("__removed").alias(column))
+    names = docs.columns
+    text = names.index("text")
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    rows = rows.withColumn("doc", F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(LAST))).withColumn("digest", F.xxhash64(f"c{text}"))
+    found = shared_runs(rows.select("doc", "digest", F.col(f"c{text}").alias("text")), min_words)
+    joined = rows.join(found, ["doc", "digest"], "left").select(*(f"c{k}" for k in range(len(names))), "shared")
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + f", removed {REMOVED_DDL}"
+    cut = joined.mapInArrow(_removed(text, min_words), schema)
+    length = F.when(F.col("removed").isNotNull(), F.length(f"c{text}").cast("long"))
+    kept = [(k, n) for k, n in enumerate(names) if n != column]
+    made = [F.coalesce(length, F.col(f"c{k}")).cast(docs.schema[k].dataType) if n == "n_chars" else F.col(f"c{k}") for k, n in kept]
+    return cut.select(*made, "removed").toDF(*(n for _, n in kept), column)
 
 
 def report(cleaned: DataFrame, column: str = "removed") -> DataFrame:

@@ -5,7 +5,7 @@ begins after a begin context.  Counts come from all training texts.
 
 The trie has a level of contexts and a level of successors.  Both are monotone sequences in Elias-Fano form: context
 keys, pointers to each context's first successor, and successor keys offset by their context's rank.  Beside them
-lie quantised probabilities (16 bits, 1/512 of a decade).  A level is a byte file that is mapped into memory; a query finds its
+lie quantised probabilities (16 bits, 1/512 of a decade).  The levels lie in one memory mapping; a query finds its
 context, then searches the successor among that context's range.
 
 Smoothing: with m(v) = MASS * c(v)^POWER for the unseen successors of v, whose number grows about so, P(w | v) =
@@ -25,7 +25,6 @@ context is unseen and N and V are 0.
 from __future__ import annotations
 
 import mmap
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,16 +140,14 @@ class BigramTrie:
         c = EliasFano.encode(cls._child(rank.astype(np.uint64), second), max(1, len(contexts)) << SUCCESSOR_BITS)
         parts = [("context_low", a[0]), ("context_high", a[1]), ("pointer_low", b[0]), ("pointer_high", b[1]), ("child_low", c[0]), ("child_high", c[1]), ("backoff", backoff), ("prob", prob)]
         layout, at = [], 0
-        with tempfile.TemporaryFile() as file:
-            for name, x in parts:
-                pad = -at % 8
-                file.write(b"\0" * pad + x.tobytes())
-                at += pad
-                layout.append((name, at, len(x)))
-                at += x.nbytes
-            file.write(b"\0" * 8)
-            file.flush()
-            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        for name, x in parts:
+            at += -at % 8
+            layout.append((name, at, len(x)))
+            at += x.nbytes
+        # A mapping of its own: no folder of the machine is used.
+        mapped = mmap.mmap(-1, at + 8)
+        for (_, start, _), (_, x) in zip(layout, parts, strict=True):
+            mapped[start : start + x.nbytes] = x.tobytes()
         sizes = {"contexts": a[2], "context_shift": a[3], "pointer_shift": b[3], "children": c[2], "child_shift": c[3]}
         return cls(mapped, layout, sizes)
 

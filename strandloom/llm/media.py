@@ -207,4 +207,4 @@ def media_columns(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     # Sorted by shard within few-row partitions, a task opens each of its shards once.
     found = places(index).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     made = measure(metadata(found, folder), folder)
-    return index.select("doc_id", "digest", "n_bytes").join(made, "digest").drop("digest")
+    return index.select("doc_id", "digest", "n_bytes").join(made, "digest")

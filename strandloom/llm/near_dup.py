@@ -14,8 +14,8 @@ centre differ by more than 1 - threshold are no link, and a prefix filter on the
 verified until the classes are joined.  So no link within a bucket is missed.  A pair of similarity 0.8 misses all ``bands`` bands
 with probability (1 - 0.8^r)^b, 3e-6 as set here.  Classes are the connected components of verified links.
 
-Null texts are in classes of their own; a row without ``doc_id`` gets its class only from equal or near texts that have
-one, else null; empty texts and texts without words are only equal to equal texts.
+Null texts are in classes of their own; empty texts and texts without words are only equal to equal texts.  A row without
+``doc_id`` takes part like any other; a class of such rows alone has no id.
 Repeated rows with equal text share a class; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -119,49 +119,48 @@ def _banded(bands: int, rows: int):
     return run
 
 
-_CELL_BYTES = 5
-
-
 def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
     for block in _row_blocks(batches):
+        # Repeated rows come one behind another from the join; one is enough.
+        ids = block.column(0).to_numpy()
+        new = ids != np.concatenate(([ids[0] + 1 if last is None else last], ids[:-1]))
+        last = ids[-1]
+        block = block.filter(pa.array(new))
         cell, at = cells(block.column(1))
-        packed = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            top = np.sort(cell[a:b] >> np.uint64(64 - 8 * _CELL_BYTES))
-            packed.append(top.view(np.uint8).reshape(-1, 8)[:, :_CELL_BYTES].tobytes())
+        packed = [np.sort(cell[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([block.column(0), pa.array(packed, pa.binary())], ["id", "cells"])
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // _CELL_BYTES, 8), np.uint8)
-    out[:, :_CELL_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, _CELL_BYTES)
-    return out.view(np.uint64).reshape(-1)
+    return np.frombuffer(b, np.uint64)
+
+
+def _cell_lists(column: pa.Array) -> list[np.ndarray]:
+    """The cells of each row, as views of the column's bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    body = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return [body[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _jaccard(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = b"", np.zeros(0, np.uint64)
         for batch in batches:
-            sims = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-                    sims.append(0.0)
-                    continue
-                if b != last:
-                    last, left = b, _unpack(b)
-                both = np.concatenate((_unpack(a), left))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                sims.append(same / (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            sims = np.zeros(batch.num_rows)
+            for k, (a, b) in enumerate(zip(_cell_lists(batch.column(2)), _cell_lists(batch.column(3)), strict=True)):
+                if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+                    both = np.concatenate((a, b))
+                    both.sort()
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    sims[k] = same / (len(both) - same)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], ["a", "b", "similarity"])
 
     return run
 
 
-def packed_cells(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, cells`` of the texts whose ``doc_id`` is in ``ids``: the cells of each text, packed."""
-    return blocks.cut(texts.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_celled, "id long, cells binary"))
+def packed_cells(texts: DataFrame) -> DataFrame:
+    """``id, cells`` of ``texts(id, text)``: the sorted cells of each text."""
+    return blocks.cut(texts.mapInArrow(_celled, "id long, cells binary"))
 
 
 def verify(pairs: DataFrame, celled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,8 +170,21 @@ def verify(pairs: DataFrame, celled: DataFrame, threshold: float = THRESHOLD) ->
     return joined.mapInArrow(_jaccard(threshold), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``id, class`` of every id in ``links(a, b)``: least id of its component, by label spreading and jumping."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``id, class`` of every id in ``links(a, b)`` and ``known(id, class)``: least id of its component, by label spreading and jumping.
+
+    ``known`` are components found before, which ``links`` join further: then only classes that a link joins are looked at again.
+    Null ends are ignored, repeated links and links of an id with itself make no difference, no links give no rows.
+    """
+    if known is not None:
+        ends = links.select("a", "b")
+        for end in ("a", "b"):
+            ends = ends.join(known.select(F.col("id").alias(end), F.col("class").alias("class_of")), end, "left").withColumn(end, F.coalesce("class_of", end)).drop("class_of")
+        joined = blocks.cut(components(ends).select(F.col("id").alias("class"), F.col("class").alias("joined")))
+        old = known.join(joined, "class", "left").select("id", F.coalesce("joined", "class").alias("class"))
+        fresh = joined.select(F.col("class").alias("id"), F.col("joined").alias("class")).join(known, "id", "left_anti")
+        return blocks.cut(old.unionByName(fresh))
+    links = links.where("a is not null and b is not null")
     both = blocks.cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = blocks.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "id"))
     while True:
@@ -258,24 +270,34 @@ def open_links(open_: DataFrame, celled: DataFrame, threshold: float = THRESHOLD
     return blocks.cut(whole.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(threshold), "a long, b long").distinct())
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, class_id, class_size, is_representative`` of each row of ``docs(doc_id, text)``.
+def _text_key(doc_id: str, text: str):
+    """Equal for equal texts; of null texts, for equal ids."""
+    return F.coalesce(F.sha2(text, 256), F.concat(F.lit("null:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
-    ``class_id`` is the least ``doc_id`` of the class.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = texts.withColumn("key", F.coalesce(F.sha2("text", 256), F.concat(F.lit("null:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    signed = blocks.cut(keyed.mapInArrow(_banded(bands, rows), "doc_id long, key string, bands array<long>, weight long"))
-    unique = blocks.cut(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("weight").alias("weight")))
+
+def _members(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``doc_id, key, class`` of each row of ``docs(doc_id, text)``; ``class`` is a number of the class, the least id where there is one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", _text_key("doc_id", "text"))
+    signed = blocks.cut(texts.mapInArrow(_banded(bands, rows), "doc_id long, key string, bands array<long>, weight long"))
+    # Equal texts count once, by their least id, or where none has one or another text has it too by a number of their own.
+    own = F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63)))
+    distinct = blocks.cut(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("weight").alias("weight")))
+    again = distinct.where("least is not null").groupBy("least").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("least", "first")
+    rep = F.when(F.col("first").isNull() | (F.col("first") == F.col("key")), F.col("least"))
+    unique = blocks.cut(distinct.join(again, "least", "left").select("key", F.coalesce(rep, own).alias("rep"), "least", "bands", "weight"))
     # Only one of equal texts is looked up again.
     banded = unique.select("rep", "weight", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = blocks.cut(banded.join(sizes, "band"))
     degree = blocks.cut(shared.groupBy("rep").agg(F.sum("n").alias("degree")))
     ranked = blocks.cut(shared.join(degree, "rep"))
-    centre = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("centre"))
+    centre = ranked.groupBy("band").agg(F.max_by("rep", F.struct("degree", F.bitwise_not("rep"))).alias("centre"))
     star = blocks.cut(shared.join(centre, "band").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
-    celled = packed_cells(texts.where("doc_id is not null"), degree.select(F.col("rep").alias("doc_id")))
+    wanted = unique.select("rep", "key", "least").join(degree.select("rep"), "rep", "left_semi")
+    # The rows of each wanted text's least id.
+    with_id = texts.join(wanted.where("least is not null").select(F.col("least").alias("doc_id"), "key", F.col("rep").alias("id")), ["doc_id", "key"])
+    without = texts.where("doc_id is null").drop("doc_id").join(wanted.where("least is null").select("key", F.col("rep").alias("id")), "key")
+    celled = packed_cells(with_id.select("id", "text").unionByName(without.select("id", "text")))
     scored = blocks.cut(verify(star, celled, 0.0))
     links = scored.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
@@ -287,15 +309,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     rings = placed.groupBy("band", "ring").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).select("band", F.explode(F.expr("array(ring - 1, ring, ring + 1)")).alias("ring"), "lo", "hi")
     several = rings.groupBy("band", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("band", "ring")
     open_ = blocks.cut(placed.join(several, ["band", "ring"]).select("band", "rep", "weight", "class"))
-    more = open_links(open_, celled, threshold)
-    found = components(links.unionByName(more))
+    found = components(open_links(open_, celled, threshold), found)
     member = signed.select("doc_id", "key").join(unique.select("key", "rep"), "key")
-    classed = blocks.cut(member.join(found, member["rep"] == found["id"], "left").select("doc_id", F.coalesce("class", "rep").alias("class_id")))
-    size = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return classed.join(size, "class_id", "left").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_representative"))
+    return blocks.cut(member.join(found, member["rep"] == found["id"], "left").select("doc_id", "key", F.coalesce("class", "rep").alias("class")))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document (least id) of each class; same columns."""
-    kept = classes(docs, **options).where("is_representative").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, class_id, class_size, is_representative`` of each row of ``docs(doc_id, text)``.
+
+    ``class_id`` is the least ``doc_id`` of the class, null where no row of it has one.
+    """
+    member = _members(docs, threshold, bands, rows)
+    size = member.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.min("doc_id").alias("class_id"))
+    return member.join(size, "class", "left").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_representative"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each class, one of least ``doc_id``; same columns.
+
+    Of rows with that id and equal text any one stays; a class without ids keeps one row of one of its texts.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    kept = _members(docs, threshold, bands, rows).groupBy("class").agg(first).select(F.col("f.doc_id").alias("kept_id"), F.col("f.key").alias("kept_key"))
+    named = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    at, text = f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+    keyed = named.withColumn("row_id", F.col(at).cast("long")).withColumn("row_key", _text_key(at, text))
+    found = keyed.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")), "left_semi")
+    return found.dropDuplicates(["row_id", "row_key"]).select(*named.columns).toDF(*docs.columns)

@@ -43,7 +43,7 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{blocks.shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
     made = media.media_columns(spark, blocks.read(spark, sf_dir, "documents"), folder)
-    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth", F.lit(folder).alias("folder"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Toxic spans by a two-state linear-chain conditional random field.
 
-Tokens are runs of letters and digits.  Features of a token are hashes of the whole lower-cased token, of
-its first 4, 5, 6 and 8 bytes and of its stem without the last 2 bytes.  Document labels give token labels
+Tokens are runs of letters and digits.  Features of a token are hashes of the whole lower-cased token and of
+its first 4, 5, 6 and 8 bytes.  Document labels give token labels
 by evidence: a feature counts as toxic when the labelled sample holds it mostly in toxic documents, and a
 token of a toxic document is labelled toxic when such a feature has it.  The CRF is trained on those tokens
-by gradient ascent; forward-backward marginals over whole texts give toxic spans, and a logistic regression
-on their sums gives the document score.
+by gradient ascent, the gradient of a transition being its count less its expected count by pairwise marginals;
+forward-backward marginals over whole texts give toxic spans, and a logistic regression
+on their sums gives the document score.  The marginal from which a token is in a span is fitted on the sample too, so that few
+clean documents of it have a span.
 
 Null, empty and wordless texts are scored as texts without toxic tokens (never null).  Repeated rows are
 scored alike and kept; extra columns are ignored; without labelled rows of both classes every score is the
@@ -26,6 +28,10 @@ from . import blocks
 
 BITS = 18
 HEADS = (4, 5, 6, 8)
+#: Tokens at which a document's evidence counts half.
+TYPICAL = 200.0
+#: Least log-odds of a telling feature.
+LEAST = 3.0
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,6 +53,7 @@ class ToxicModel:
     bias: float
     trans: np.ndarray
     doc: np.ndarray
+    span: float = 0.5
 
 
 def _sample(labels: DataFrame, column: str, per_class: tuple[int, int], seed: int) -> DataFrame:
@@ -56,38 +63,39 @@ def _sample(labels: DataFrame, column: str, per_class: tuple[int, int], seed: in
     return clean.where("y = 0").orderBy(draw, "doc_id").limit(per_class[0]).unionByName(clean.where("y = 1").orderBy(draw, "doc_id").limit(per_class[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, clean_rows: int = 1200, toxic_rows: int = 700, sample_chars: int = 6000, seed: int = 5, epochs: int = 40) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, clean_rows: int = 1200, toxic_rows: int = 700, seed: int = 5, epochs: int = 40, clean_spans: float = 0.02) -> ToxicModel:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    The sample is at most ``clean_rows`` + ``toxic_rows`` labelled rows.  For token evidence and the CRF only those
-    of at most ``sample_chars`` characters are used; the document regression sees all of them, whole.
+    The sample is at most ``clean_rows`` + ``toxic_rows`` labelled rows, whole texts.  At most the share ``clean_spans`` of
+    the sample's clean documents reaches the marginal that makes a span (0.5 at least).
     """
     ids = blocks.cut(_sample(labels, "toxic", (clean_rows, toxic_rows), seed))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
-    short = rows.where(F.length("text") <= sample_chars).toPandas()
-    y = short.y.to_numpy()
+    drawn = rows.toPandas()
+    y = drawn.y.to_numpy()
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1.0)
         return ToxicModel(np.zeros(1 << BITS, np.float32), -8.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
-    buckets, _, _, bounds, _, _ = _features(pa.array(short.text, pa.string()))
+    buckets, _, _, bounds, _, _ = _features(pa.array(drawn.text, pa.string()))
     per = np.diff(bounds)
     row = np.repeat(np.arange(len(per)), per)
     weights, bias, trans = _train(buckets, row, bounds, y, epochs)
     model = ToxicModel(weights, bias, trans, np.zeros(4))
-    sums = rows.mapInArrow(_summed(model), "y int, mass double, top double, n long").toPandas()
-    x = _doc_features(sums.mass.to_numpy(), sums.top.to_numpy(), sums.n.to_numpy())
-    return ToxicModel(weights, bias, trans, _logistic(x, sums.y.to_numpy()))
+    *_, mass, top, per = _marginals(model, pa.array(drawn.text, pa.string()))
+    span = max(0.5, float(np.nextafter(np.quantile(top[y == 0], 1 - clean_spans, method="higher"), 2)))
+    return ToxicModel(weights, bias, trans, _logistic(_doc_features(mass, top, per), y), span)
 
 
 def _train(buckets: np.ndarray, row: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
-    # Evidence: documents of each class per feature, each document counted once.
+    # Evidence: documents of each class per feature, each counted once, long ones less, as they hold most words anyway.
+    trust = 1 / (1 + np.diff(bounds) / TYPICAL)
     df = np.zeros((2, 1 << BITS))
     for k in range(buckets.shape[1]):
         pair = np.unique(row.astype(np.int64) << BITS | buckets[:, k])
-        np.add.at(df, (y[pair >> BITS], pair & ((1 << BITS) - 1)), 1)
-    size = np.bincount(y, minlength=2)
+        np.add.at(df, (y[pair >> BITS], pair & ((1 << BITS) - 1)), trust[pair >> BITS])
+    size = np.bincount(y, trust, minlength=2)
     odds = np.log((df[1] + 0.5) / (size[1] + 1)) - np.log((df[0] + 0.5) / (size[0] + 1))
-    telling = (odds > 2.5) & (df[1] >= max(3.0, 0.02 * size[1]))
+    telling = (odds > LEAST) & (df[1] >= max(2.0, 0.02 * size[1]))
     gold = telling[buckets].any(1) & (y[row] == 1)
     # Only features of some weight in the sample get weights of their own.
     used, local = np.unique(buckets, return_inverse=True)
@@ -97,21 +105,16 @@ def _train(buckets: np.ndarray, row: np.ndarray, bounds: np.ndarray, y: np.ndarr
     n = len(row)
     same = np.concatenate(([False], row[1:] == row[:-1]))
     prev_gold = np.where(same, np.concatenate(([False], gold[:-1])), False)
+    have = np.array([[((prev_gold == a) & (gold == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     # Tokens in toxic documents weigh as much as those in clean ones; the l2 term keeps rare features small.
     for _ in range(epochs):
         emission = w[local].sum(1) + bias
-        p = blocks.chain_marginals(emission, bounds, trans)
+        p, want = blocks.chain_marginals(emission, bounds, trans, pairwise=True)
         grad = np.bincount(local.ravel(), np.repeat(gold - p, local.shape[1]), len(used)) - 0.05 * w
         g2 += grad**2
         w += 0.6 * grad / np.sqrt(g2)
         bias += 0.2 * np.clip((gold - p).sum() / max(1.0, gold.sum()), -1, 1)
-        prev_p = np.where(same, np.concatenate(([0.0], p[:-1])), 0.0)
-        for a in (0, 1):
-            for b in (0, 1):
-                # Expected transitions from the product of neighbouring marginals.
-                have = ((prev_gold == a) & (gold == b)).sum()
-                want = ((prev_p if a else 1 - prev_p) * (p if b else 1 - p)).sum()
-                trans[a, b] += 0.2 * (have - want) / max(1.0, min(n, 10 * gold.sum()))
+        trans += 0.2 * (have - want) / max(1.0, min(n, 10 * gold.sum()))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w
     return weights, float(bias), trans
@@ -128,15 +131,6 @@ def _marginals(model: ToxicModel, column: pa.Array) -> tuple:
     return p, row, starts, ends, data, offsets, mass, top, per
 
 
-def _summed(model: ToxicModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.row_blocks(batches, "text"):
-            *_, mass, top, per = _marginals(model, block.column(0))
-            yield pa.RecordBatch.from_arrays([block.column(1), pa.array(mass), pa.array(top), pa.array(per.astype(np.int64))], ["y", "mass", "top", "n"])
-
-    return run
-
-
 def _doc_features(mass: np.ndarray, top: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(mass)), np.log1p(2 * mass), top, np.log1p(300 * mass / (n + 60))], 1)
 
@@ -153,18 +147,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])
 
 
-def score(docs: DataFrame, model: ToxicModel, span_marginal: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: ToxicModel, span_marginal: float | None = None) -> DataFrame:
     """``doc_id, score, predicted, toxic_spans`` of each row of ``docs(doc_id, text)``.
 
-    ``toxic_spans`` are maximal runs of tokens with a marginal of at least ``span_marginal``, in characters,
+    ``toxic_spans`` are maximal runs of tokens with a marginal of at least ``span_marginal`` (the model's), in characters,
     end exclusive, with the run's largest marginal.
     """
+    least = model.span if span_marginal is None else span_marginal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.row_blocks(batches, "text"):
             p, row, starts, ends, data, offsets, mass, top, per = _marginals(model, block.column(1))
             value = 1 / (1 + np.exp(-np.clip(_doc_features(mass, top, per) @ model.doc, -30, 30)))
-            hit = p >= span_marginal
+            hit = p >= least
             head = np.flatnonzero(hit & ~(np.concatenate(([False], hit[:-1])) & np.concatenate(([False], row[1:] == row[:-1]))))
             tail = np.flatnonzero(hit & ~(np.concatenate((hit[1:], [False])) & np.concatenate((row[1:] == row[:-1], [False]))))
             chars = blocks.code_points(data)
