@@ -1,8 +1,10 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again.  Stages but the last return the
-columns of ``documents``.  Rows without a ``doc_id`` cannot be told apart and go in the first stage; rows that share one
-are kept or dropped together.
+columns of ``documents``.  Rows are never told apart by ``doc_id`` alone: the first and the last two stages decide in the row
+itself, line dedup by id and text, near-dedup keeps one row of a class; so rows without an id, or sharing one, are
+treated like any other.  Null texts have no language and go in the first stage.  Empty tables give empty results; columns of any
+name pass through.
 """
 
 from __future__ import annotations
@@ -20,21 +22,18 @@ LEAST_SHARE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without a language; ``lang`` keeps its value where given and is filled from the prediction elsewhere."""
-    model = langid.fit(docs)
-    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE))
-    kept = found.select(F.col("doc_id").alias("__id"), F.col("lang_pred").alias("__lang")).dropDuplicates(["__id"])
-    joined = docs.join(kept, docs["doc_id"] == kept["__id"])
-    return joined.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return langid.keep_known(docs, langid.fit(docs), LEAST_SHARE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes aligned common blocks from later documents; a document left blank goes."""
-    cleaned = line_dedup.remove(docs, column="__blocks")
-    return cleaned.where(F.col("__blocks").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    blocks_of = next(f"removed{k}" for k in range(len(docs.columns) + 1) if f"removed{k}" not in docs.columns)
+    cleaned = line_dedup.remove(docs, column=blocks_of)
+    return cleaned.where(F.col(blocks_of).isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates, one of least id."""
     return near_dup.keep_one(docs)
 
 
@@ -45,9 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's domain and rate; rate 0 documents go, as they are never drawn."""
-    mixed = mixing.mix(docs, mixing.domain_labels(docs, blocks.read(spark, sf_dir, "labels")))
-    rates = mixed.where("rate > 0").select(F.col("doc_id").alias("__id"), "domain", F.round("rate", 6).alias("rate")).dropDuplicates(["__id"])
-    return docs.drop("domain", "rate").join(rates, docs["doc_id"] == rates["__id"]).drop("__id")
+    return mixing.mix_rows(docs, mixing.domain_labels(docs, blocks.read(spark, sf_dir, "labels"))).where("rate > 0").withColumn("rate", F.round("rate", 6))
 
 
 STAGES = [
@@ -63,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between is written to the shared folder."""
+    """All stages over ``documents``; what lies between is written to the shared folder, and goes once the next stage is written."""
     docs = blocks.read(spark, sf_dir, "documents")
     folder = f"{blocks.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGES[k - 1][0]}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
