@@ -559,7 +559,7 @@ def test_mixing_rates_are_the_optimum(spark):
     off = (r * n) @ p - total * np.array([want[d] for d in "abc"])
     assert np.abs(off / total - residual).max() < 1e-9 and r.min() >= 0
     grad = p @ (off / share)
-    assert np.abs(grad[r > 1e-9]).max() < 1e-4 and grad[r <= 1e-9].min(initial=0) > -1e-4
+    assert np.abs(grad[r > 1e-9]).max() < 1e-3 and grad[r <= 1e-9].min(initial=0) > -1e-3
     rated, residual = mixing.rates(members, ("a", "b", "c"), want, rounds=1)
     assert np.abs(residual).max() > 1e-4
 
