@@ -95,6 +95,7 @@ def row_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_
             to = min(max(to, row + 1), batch.num_rows)
             yield batch.slice(row, to - row)
             row = to
+    pa.default_memory_pool().release_unused()
 
 
 def shards(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -121,6 +122,9 @@ def shards(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
                 held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+        held = []
+    # Workers live on for other tasks: what this one freed goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -270,29 +270,54 @@ def _hits(query: Phrases, block: pa.RecordBatch, text: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, block.schema.names)
 
 
-def _search(rows: DataFrame, text: int, benchmark: DataFrame, width: int, shard_bytes: int, block_phrases: int) -> DataFrame:
-    """``rows`` with columns renamed by position (c0, c1, ...) and the three of :data:`FOUND` behind them; the text is column ``text``."""
+def _search(rows: DataFrame, text: int, benchmark: DataFrame, width: int, shard_bytes: int, block_phrases: int, cut: bool = False) -> DataFrame:
+    """``rows`` with columns renamed by position (c0, c1, ...) and the three of :data:`FOUND` behind them; the text is column ``text``, and is cut if so asked."""
     named = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
     out = named.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ", 1) for x in FOUND.split(", "))))
     schema = out.schema
     nothing = Phrases(np.zeros(1, np.uint64), np.ones((1, width), np.int64), np.array([width]), [[]])
-    n = 0
-    for n, query in enumerate(phrase_blocks(benchmark, width, block_phrases), 1):
-        out = blocks.cut(out) if n > 1 and n % CHAIN == 1 else out
-        out = out.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(query), text, shard_bytes), schema)
-    return out if n else out.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(nothing), text, shard_bytes), schema)
+    queries = phrase_blocks(benchmark, width, block_phrases)
+    query, n = next(queries, nothing), 0
+    while query is not None:
+        following = next(queries, None)
+        shared = rows.sparkSession.sparkContext.broadcast(query)
+        out = (blocks.cut(out) if n and n % CHAIN == 0 else out).mapInArrow(_run(shared, text, shard_bytes, cut and following is None), schema)
+        query, n = following, n + 1
+    return out
 
 
-def _run(shared, text: int, shard_bytes: int):
+def _run(shared, text: int, shard_bytes: int, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = shared.value
         for block in blocks.shards(batches, text, shard_bytes):
-            yield _hits(query, block, text)
+            found = _hits(query, block, text)
+            yield _cut(found, text) if cut else found
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 8 << 20, block_phrases: int = 200_000) -> DataFrame:
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
+
+
+def _cut(block: pa.RecordBatch, text: int) -> pa.RecordBatch:
+    """The block with its spans cut out of the texts, without the rows that are left without a word."""
+    spans = block.column(block.num_columns - 2)
+    hit = pc.greater(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    if not hit.any():
+        return block
+    new, keep = block.column(text).to_pylist(), np.ones(block.num_rows, bool)
+    for i in np.flatnonzero(hit).tolist():
+        parts, at = [], 0
+        for s in spans[i].as_py():
+            parts.append(new[i][at : s["start"]])
+            at = s["end"]
+        new[i] = "".join(parts) + new[i][at:]
+        keep[i] = bool(_WORD.search(new[i]))
+    columns = [pa.array(new, pa.string()) if k == text else c for k, c in enumerate(block.columns)]
+    return pa.RecordBatch.from_arrays(columns, block.schema.names).filter(pa.array(keep))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 4 << 20, block_phrases: int = 200_000) -> DataFrame:
     """``doc_id, n_words, spans, items`` of each row of ``docs(doc_id, text)``, in as many rows.
 
     ``spans`` are merged removal spans in characters (end exclusive) with their first and last word; ``items``
@@ -308,43 +333,14 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 8 << 20, block_phrases: int = 200_000) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 4 << 20, block_phrases: int = 200_000) -> DataFrame:
     """``docs`` without its removal spans, same columns; a text left without any word goes, other rows stay as they are.
 
     ``n_chars`` follows the text.  The spans are cut out in the rows in which they were found: nothing is shuffled.
     """
     names = docs.columns
     text = names.index("text")
-    found = _search(docs, text, benchmark, width, shard_bytes, block_phrases)
-    cut = found.mapInArrow(_cut(text), found.drop("spans", "items").schema)
-    n_chars = F.when(F.col("n_words") >= 0, F.length(f"c{text}").cast("long"))
+    found = _search(docs, text, benchmark, width, shard_bytes, block_phrases, cut=True)
+    n_chars = F.when(F.size("spans") > 0, F.length(f"c{text}").cast("long"))
     made = [F.coalesce(n_chars, F.col(f"c{k}")).cast(docs.schema[k].dataType) if n == "n_chars" else F.col(f"c{k}") for k, n in enumerate(names)]
-    return cut.select(*made).toDF(*names)
-
-
-_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
-
-
-def _cut(text: int):
-    """Cuts the spans out of the texts; ``n_words`` becomes null where a text has none, and rows left without a word go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.shards(batches, text, blocks.BLOCK_BYTES):
-            spans = block.column(block.num_columns - 2)
-            hit = pc.greater(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
-            texts, keep = block.column(text), np.ones(block.num_rows, bool)
-            if hit.any():
-                new = texts.to_pylist()
-                for i in np.flatnonzero(hit).tolist():
-                    parts, at = [], 0
-                    for s in spans[i].as_py():
-                        parts.append(new[i][at : s["start"]])
-                        at = s["end"]
-                    new[i] = "".join(parts) + new[i][at:]
-                    keep[i] = bool(_WORD.search(new[i]))
-                texts = pa.array(new, pa.string())
-            columns = [texts if k == text else c for k, c in enumerate(block.columns[:-3])]
-            made = pa.RecordBatch.from_arrays([*columns, pa.array(np.where(hit, 1, 0), pa.int64(), mask=~hit)], block.schema.names[:-2])
-            yield made.filter(pa.array(keep))
-
-    return run
+    return found.select(*made).toDF(*names)
