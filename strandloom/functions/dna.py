@@ -123,26 +123,34 @@ def tube_label(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9_.-]+", "-")
 
 
-#: Nearest-neighbour duplex parameters (Allawi and SantaLucia 1997): enthalpy kcal/mol, entropy cal/(mol K).  Fixed values.
+#: Nearest-neighbour duplex parameters: enthalpy kcal/mol, entropy cal/(mol K) by step, by the pair at an end, and once a duplex.
+#: Allawi and SantaLucia 1997; SantaLucia and Hicks 2004.  Fixed values.
 NEAREST_NEIGHBOUR = {
-    "AA": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "GT": (-8.4, -22.4),
-    "CT": (-7.8, -21.0), "GA": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9),
+    "1997": {
+        "AA": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "GT": (-8.4, -22.4),
+        "CT": (-7.8, -21.0), "GA": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9),
+    },
+    "2004": {
+        "AA": (-7.6, -21.3), "AT": (-7.2, -20.4), "TA": (-7.2, -20.4), "CA": (-8.5, -22.7), "GT": (-8.4, -22.4),
+        "CT": (-7.8, -21.0), "GA": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.0),
+    },
 }
-#: Terminal pairs: enthalpy, entropy by the base at the end.
-NN_ENDS = {"A": (2.3, 4.1), "T": (2.3, 4.1), "C": (0.1, -2.8), "G": (0.1, -2.8)}
+NN_ENDS = {"1997": {"A": (2.3, 4.1), "T": (2.3, 4.1), "C": (0.1, -2.8), "G": (0.1, -2.8)}, "2004": {"A": (2.2, 6.9), "T": (2.2, 6.9), "C": (0.0, 0.0), "G": (0.0, 0.0)}}
+NN_ONCE = {"1997": (0.0, 0.0), "2004": (0.2, -5.7)}
 
 
-def melting_temperature(seq: Column, sodium_mm: float = 50.0, oligo_nm: float = 25.0) -> Column:
+def melting_temperature(seq: Column, sodium_mm: float = 50.0, oligo_nm: float = 25.0, table: str = "1997") -> Column:
     """Duplex Tm in Celsius, both strands at ``oligo_nm``, entropy salt correction; null below two bases."""
-    steps = NEAREST_NEIGHBOUR | {complement_text(k): v for k, v in NEAREST_NEIGHBOUR.items()}
-    dh = F.create_map(*[F.lit(x) for k, v in sorted(steps.items()) for x in (k, v[0])])
-    ds = F.create_map(*[F.lit(x) for k, v in sorted(steps.items()) for x in (k, v[1])])
-    eh = F.create_map(*[F.lit(x) for k, v in sorted(NN_ENDS.items()) for x in (k, v[0])])
-    es = F.create_map(*[F.lit(x) for k, v in sorted(NN_ENDS.items()) for x in (k, v[1])])
+    steps = NEAREST_NEIGHBOUR[table] | {complement_text(k): v for k, v in NEAREST_NEIGHBOUR[table].items()}
+    of = lambda values, part: F.create_map(*[F.lit(x) for k, v in sorted(values.items()) for x in (k, v[part])])
     pairs = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, 2))
     first, last = F.substring(seq, 1, 1), F.substring(seq, -1, 1)
-    add = lambda m, e: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(m, p)) + F.element_at(e, first) + F.element_at(e, last)
+
+    def add(part: int) -> Column:
+        ends, inside = of(NN_ENDS[table], part), of(steps, part)
+        return F.aggregate(pairs, F.lit(NN_ONCE[table][part]), lambda s, p: s + F.element_at(inside, p)) + F.element_at(ends, first) + F.element_at(ends, last)
+
     palindrome = seq == reverse_complement(seq)
-    entropy = add(ds, es) + F.when(palindrome, F.lit(-1.4)).otherwise(F.lit(0.0)) + 0.368 * (F.length(seq) - 1) * F.log(F.lit(sodium_mm / 1000.0))
+    entropy = add(1) + F.when(palindrome, F.lit(-1.4)).otherwise(F.lit(0.0)) + 0.368 * (F.length(seq) - 1) * F.log(F.lit(sodium_mm / 1000.0))
     strands = F.when(palindrome, F.lit(oligo_nm * 1e-9)).otherwise(F.lit((oligo_nm - oligo_nm / 2.0) * 1e-9))
-    return F.when((F.length(seq) > 1) & seq.rlike("^[ACGT]+$"), 1000.0 * add(dh, eh) / (entropy + 1.987 * F.log(strands)) - 273.15)
+    return F.when((F.length(seq) > 1) & seq.rlike("^[ACGT]+$"), 1000.0 * add(0) / (entropy + 1.987 * F.log(strands)) - 273.15)

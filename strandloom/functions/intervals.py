@@ -35,6 +35,13 @@ def circular_spacer(a0: Column, a1: Column, b0: Column, b1: Column, length: Colu
     return F.when(circular, F.least(straight, around)).otherwise(straight)
 
 
+def pair_span(a0: Column, a1: Column, b0: Column, b1: Column, length: Column, circular: Column) -> tuple[Column, Column]:
+    """The arc that bounds two arms, a before b: the one their separation is measured on, on a circle the shorter way round."""
+    around = length - (b1 - a0)
+    wraps = circular & (b1 <= length) & (around >= 0) & (around < b0 - a1)
+    return F.when(wraps, b0).otherwise(a0), F.when(wraps, a1 + length).otherwise(F.greatest(a1, b1))
+
+
 def rotate(position: Column, by: Column, length: Column) -> Column:
     """Position after the origin moves to ``by``."""
     return F.pmod(position - by, length)

@@ -21,7 +21,7 @@ PRESETS = [
     ("ecoli_expression", "bacterial_expression", "f2_near_perfect_repeats", 0.5),
 ]
 #: Words that mark a selection marker, and a recombination site: fixed values.
-MARKERS = ("kanr", "puror", "neor", "hygr", "zeor", "bler", "blastr", "bsdr", "cmr", "specr", "tetr", "confers resistance", "resistance gene", "beta-lactamase", "b-lactamase", "lactamase", "acetyltransferase", "aminoglycoside", "phosphotransferase", "nourseothricin")
+MARKERS = ("ampr", "kanr", "puror", "neor", "hygr", "zeor", "bler", "blastr", "bsdr", "cmr", "specr", "tetr", "confers resistance", "resistance gene", "beta-lactamase", "b-lactamase", "lactamase", "acetyltransferase", "aminoglycoside", "phosphotransferase", "nourseothricin")
 RECOMBINATION = ("attb", "attp", "attl", "attr", "loxp", "lox2272", "frt", "rox", "gateway")
 
 

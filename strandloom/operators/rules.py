@@ -55,12 +55,15 @@ def slots(spark: SparkSession) -> DataFrame:
 
 def gate() -> Column:
     """Whether a rule applies to a slot, over columns ``spec_id, role, host, modality``."""
-    bacterial = F.col("host").isin(*dims.BACTERIA)
-    spliced = ~F.col("modality").isin("bacterial_expression", "ivt_mrna") & ~F.col("host").isin(*dims.BACTERIA, *dims.YEASTS)
+    spec, modality, translated = F.col("spec_id"), F.col("modality"), F.col("role") != "propagation"
+    transcribed = ~modality.isin("bacterial_expression", "ivt_mrna")
     return (
-        F.when(F.col("spec_id").isin("b1_five_prime", "b2_structure_windows"), bacterial)
-        .when(F.col("spec_id") == "b8_kozak", ~bacterial & (F.col("role") != "propagation"))
-        .when(F.col("spec_id") == "d3_splicing", spliced)
+        F.when(spec.isin("b1_five_prime", "b2_structure_windows"), modality == "bacterial_expression")
+        .when(spec.isin("b8_kozak", "b9_out_of_frame_atg"), F.col("host").isin(*EUKARYOTES) & translated)
+        .when(spec.isin("c1_cai", "c3_min_max"), translated)
+        .when(spec == "d3_splicing", transcribed & ~F.col("host").isin(*dims.BACTERIA, *dims.YEASTS))
+        .when(spec == "d4_internal_polya", transcribed)
+        .when(spec.isin("d6_non_b_dna", "e2_gc_band"), modality != "ivt_mrna")
         .otherwise(F.lit(True))
     )
 
@@ -71,12 +74,24 @@ def enforcement_for() -> Column:
     return (
         F.when((spec == "d3_splicing") & modality.isin("lentiviral", "genome_integrated"), "HARD_REPAIR")
         .when((spec == "d4_internal_polya") & modality.isin("lentiviral", "aav", "genome_integrated"), "HARD_REPAIR")
-        .when((spec == "d6_non_b_dna") & F.col("host").isin(*dims.BACTERIA), "HARD_REPAIR")
+        .when((spec == "d6_non_b_dna") & (modality == "bacterial_expression"), "HARD_REPAIR")
         .when(spec == "d5_cryptic_transcription", "HARD_REPAIR")
         .otherwise(F.col("enforcement"))
     )
 
 
+def scored_objectives(matrix: DataFrame) -> DataFrame:
+    """``spec_id`` of the rules that are soft and stay soft in every gated slot of a context (:func:`gate_matrix` rows)."""
+    hard = F.max((F.col("gated_in") & (F.col("slot_enforcement") != "SOFT")).cast("int"))
+    made = matrix.groupBy("spec_id").agg(F.first("enforcement").alias("enforcement"), hard.alias("hard"))
+    return made.where("enforcement = 'SOFT' and hard = 0").select("spec_id")
+
+
+def null_size() -> Column:
+    """Variants of the null a rule is compared with, by its cost class."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in NULL_SIZES.items() for x in pair]), F.col("cost"))
+
+
 def gate_matrix(slot_rows: DataFrame) -> DataFrame:
     """Slots with every rule, ``gated_in`` and ``slot_enforcement``: the rule list is exploded onto each slot, not joined."""
     listed = F.array(*[F.struct(F.lit(r[0]).alias("spec_id"), F.lit(r[1]).alias("enforcement")) for r in RULES])
@@ -101,13 +116,20 @@ def evaluate(breaches: DataFrame) -> DataFrame:
     return breaches.groupBy("construct_id", "spec_id").agg(F.count(F.lit(1)).alias("n"), F.sum("magnitude").alias("magnitude"), F.max("magnitude").alias("worst"))
 
 
-def findings(breaches: DataFrame, enforcement: DataFrame, hard_at: float = 1.0) -> DataFrame:
+#: Least magnitude at which an evaluation fails, where it is not 1: fixed values.
+FAILS_AT = {"d3_splicing": 3.0}
+
+
+def findings(breaches: DataFrame, enforcement: DataFrame) -> DataFrame:
     """Breaches of failing evaluations with their effective enforcement and route.
 
-    A passing evaluation (no magnitude of ``hard_at``) contributes nothing.  ``enforcement`` has one row per rule, so it is
+    A passing evaluation (no magnitude of 1, or of :data:`FAILS_AT`) contributes nothing.  ``enforcement`` has one row per rule, so it is
     broadcast.
     """
-    failing = evaluate(breaches).where(F.col("worst") >= hard_at).select("construct_id", "spec_id")
+    at = F.lit(1.0)
+    for spec, least in FAILS_AT.items():
+        at = F.when(F.col("spec_id") == spec, least).otherwise(at)
+    failing = evaluate(breaches).where(F.col("worst") >= at).select("construct_id", "spec_id")
     routed = breaches.join(failing, ["construct_id", "spec_id"], "left_semi").join(F.broadcast(enforcement), "spec_id")
     route = F.when(F.col("enforcement") == "SOFT", "score").when(F.col("fixable"), "repair").otherwise("advise")
     return routed.withColumn("route", route)

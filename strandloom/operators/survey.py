@@ -6,6 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .scan import positions
+
+
+def nearest_downstream(targets: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
+    """As :func:`nearest_upstream`, on the other side."""
+    flip = lambda df: df.withColumn("strand", -F.col("strand"))
+    return nearest_upstream(flip(targets), flip(features), limit)
+
+
+def occurrences(arms: DataFrame, constructs: DataFrame, width: int) -> DataFrame:
+    """``construct_id, arm, position, strand`` of every place of ``arms(construct_id, arm, text, start)`` but its own, on either strand.
+
+    All texts have ``width`` bases.  An equi-join on construct and text, so a construct's arms meet its own positions alone.
+    """
+    found = positions(constructs, width).select("construct_id", "pos", F.col("kmer").alias("text"))
+    back = arms.where(F.col("text") != dna.reverse_complement(F.col("text"))).select("construct_id", "arm", dna.reverse_complement(F.col("text")).alias("text"), "start", F.lit(-1).alias("strand"))
+    both = arms.select("construct_id", "arm", "text", "start", F.lit(1).alias("strand")).unionByName(back)
+    return both.join(found, ["construct_id", "text"]).where("strand = -1 or pos <> start").select("construct_id", "arm", F.col("pos").alias("position"), "strand")
+
+
+def shared_arms(arms: DataFrame, least: int = 20) -> DataFrame:
+    """``construct_id, arm, other, offset``: pairs of a construct's arms with ``least`` common bases (all of the shorter arm, if it has fewer), on either strand.
+
+    ``offset`` is the first such base of the arm of the lower number.  Arms meet by their pieces, an equi-join.
+    """
+    pair = arms.alias("a").join(arms.alias("b"), (F.col("a.construct_id") == F.col("b.construct_id")) & (F.col("a.arm") < F.col("b.arm")))
+    k = F.least(F.lit(least), F.length("a.text"), F.length("b.text"))
+    pieces = lambda text: F.transform(F.sequence(F.lit(1), F.length(text) - F.col("k") + 1), lambda i: F.substring(text, i, F.col("k")))
+    made = pair.select("a.construct_id", "a.arm", F.col("b.arm").alias("other"), F.col("a.text").alias("x"), F.col("b.text").alias("y"), k.alias("k")).where("k > 0")
+    made = made.withColumn("mine", pieces(F.col("x"))).withColumn("theirs", pieces(F.col("y")))
+    either = F.concat("theirs", F.transform("theirs", dna.reverse_complement))
+    hit = F.array_position(F.transform("mine", lambda w: F.array_contains(either, w)), True)
+    return made.withColumn("hit", hit).where("hit > 0").select("construct_id", "arm", "other", (F.col("hit") - 1).cast("int").alias("offset"))
+
+
+def identical_repeats(segments: DataFrame) -> DataFrame:
+    """``construct_id, first, second, length``: exempt segments of one construct with the same text; they meet by its digest.
+
+    ``segments`` has ``construct_id, j, text``.
+    """
+    keyed = segments.select("construct_id", "j", F.sha2("text", 256).alias("key"), F.length("text").alias("length"))
+    other = keyed.select("construct_id", "key", F.col("j").alias("second"))
+    return keyed.join(other, ["construct_id", "key"]).where("j < second").select("construct_id", F.col("j").alias("first"), "second", "length")
 
 
 def nearest_upstream(targets: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
@@ -52,7 +95,7 @@ def homology_arms(df: DataFrame, lengths: tuple[int, int] = (15, 40), least_tm:
     rows = df.where(F.col("circular") & (F.col("length") >= 2 * lengths[1])).select("construct_id", "seq", "length", F.explode(F.sequence(F.lit(lengths[0]), F.lit(lengths[1]))).alias("n"))
     half = F.floor(F.col("n") / 2).cast("int")
     arm = F.concat(F.expr("right(seq, cast(floor(n / 2) as int))"), F.substring("seq", F.lit(1), F.col("n") - half))
-    made = rows.withColumn("arm", arm).withColumn("tm", dna.melting_temperature(F.col("arm")))
+    made = rows.withColumn("arm", arm).withColumn("tm", dna.melting_temperature(F.col("arm"), oligo_nm=250.0, table="2004"))
     around = F.concat("seq", F.expr("substring(seq, 1, n - 1)"))
     both = F.size(F.split(around, F.col("arm"), -1)) + F.size(F.split(around, dna.reverse_complement(F.col("arm")), -1)) - 2
     made = made.withColumn("unique", both == 1)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .. import dims, verify
 from ..functions import dna, intervals
 from ..operators import codons as codon_ops
-from ..operators import design, presets, rules, runs, scan, scoring, survey, transcript, vendors, windows
+from ..operators import design, evaluation, presets, rules, scoring, survey, transcript, vendors
 from ..streaming.scan import event_windows
 from .derived import CODING_SQL, CODONS_SQL, FEATURES_SQL, SQL, coding, constructs, features
 from .registry import query
-from .sequence import _gc_sql, _near, _starts_sql  # noqa: F401
+from .evaluate import ALL_SQL, RULES_SQL, segmented
+from .sequence import _starts_sql
 
 OVER = "greatest(0, least(a1, b1 + s) - greatest(a0, b0 + s))"
 
@@ -74,10 +75,11 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE_VALUES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in rules.RULES) + ") v(spec_id, enforcement))"
 SLOT_VALUES = "slots AS (SELECT role, host, table_id, modality FROM (VALUES " + ", ".join(f"('{h}', {t})" for h, t in sorted(dims.HOST_TABLE.items())) + ") h(host, table_id), (VALUES " + ", ".join(f"('{r}')" for r in dims.ROLES) + ") r(role), (VALUES " + ", ".join(f"('{m}')" for m in dims.MODALITIES) + ") m(modality))"
 MATRIX_SQL = f"""{RULE_VALUES}, {SLOT_VALUES}, matrix AS (SELECT role, host, modality, table_id, spec_id, enforcement,
-  CASE WHEN spec_id IN ('b1_five_prime', 'b2_structure_windows') THEN host LIKE 'e_coli%' WHEN spec_id = 'b8_kozak' THEN host NOT LIKE 'e_coli%' AND role <> 'propagation'
-       WHEN spec_id = 'd3_splicing' THEN modality NOT IN ('bacterial_expression', 'ivt_mrna') AND host NOT IN ('e_coli_k12', 'e_coli_bl21', 's_cerevisiae', 'p_pastoris') ELSE true END AS gated_in,
+  CASE WHEN spec_id IN ('b1_five_prime', 'b2_structure_windows') THEN modality = 'bacterial_expression' WHEN spec_id IN ('b8_kozak', 'b9_out_of_frame_atg') THEN host NOT LIKE 'e_coli%' AND role <> 'propagation' WHEN spec_id IN ('c1_cai', 'c3_min_max') THEN role <> 'propagation'
+       WHEN spec_id = 'd3_splicing' THEN modality NOT IN ('bacterial_expression', 'ivt_mrna') AND host NOT IN ('e_coli_k12', 'e_coli_bl21', 's_cerevisiae', 'p_pastoris') WHEN spec_id = 'd4_internal_polya' THEN modality NOT IN ('bacterial_expression', 'ivt_mrna')
+       WHEN spec_id IN ('d6_non_b_dna', 'e2_gc_band') THEN modality <> 'ivt_mrna' ELSE true END AS gated_in,
   CASE WHEN spec_id = 'd3_splicing' AND modality IN ('lentiviral', 'genome_integrated') THEN 'HARD_REPAIR' WHEN spec_id = 'd4_internal_polya' AND modality IN ('lentiviral', 'aav', 'genome_integrated') THEN 'HARD_REPAIR'
-       WHEN spec_id = 'd6_non_b_dna' AND host LIKE 'e_coli%' THEN 'HARD_REPAIR' WHEN spec_id = 'd5_cryptic_transcription' THEN 'HARD_REPAIR' ELSE enforcement END AS slot_enforcement FROM rules, slots)"""
+       WHEN spec_id = 'd6_non_b_dna' AND modality = 'bacterial_expression' THEN 'HARD_REPAIR' WHEN spec_id = 'd5_cryptic_transcription' THEN 'HARD_REPAIR' ELSE enforcement END AS slot_enforcement FROM rules, slots)"""
 
 
 @query("rule_gate_matrix", f"WITH {MATRIX_SQL} SELECT * FROM matrix")
@@ -92,31 +94,18 @@ def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.effective_enforcement(rules.gate_matrix(context))
 
 
+@query("scored_objectives", f"""WITH {MATRIX_SQL} SELECT spec_id FROM matrix WHERE host = 'human' AND modality = 'lentiviral' GROUP BY spec_id, enforcement HAVING enforcement = 'SOFT' AND NOT bool_or(gated_in AND slot_enforcement <> 'SOFT')""")
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scored_objectives(rules.gate_matrix(rules.slots(spark).where("host = 'human' and modality = 'lentiviral'")))
+
+
 def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaches of four rules on linear constructs: homopolymers, GC windows, polyA hexamers, promoter boxes."""
-    linear = constructs(spark, sf_dir).withColumn("circular", F.lit(False))
-    homo = runs.homopolymers(linear, 6).withColumn("limit", F.when(F.col("base").isin("A", "T"), 9).otherwise(5)).where("run > limit")
-    e1 = homo.select("construct_id", F.lit("e1_homopolymers").alias("spec_id"), "start", (F.col("start") + F.col("run")).alias("end"), (F.col("run") - F.col("limit")).cast("double").alias("magnitude"), F.lit(True).alias("fixable"), F.lit("").alias("side"))
-    dev = F.greatest(0.35 - F.col("gc"), F.col("gc") - 0.65)
-    flagged = windows.gc_windows(linear, 100).where("gc < 0.35 or gc > 0.65").withColumn("dev", dev)
-    f5 = windows.islands(flagged, 100, F.max("dev"), "dev").select("construct_id", F.lit("f5_at_window").alias("spec_id"), "start", "end", F.round(1 + 10 * F.col("dev"), 9).alias("magnitude"), F.lit(True).alias("fixable"), F.lit("gc").alias("side"))
-    hits = scan.near_hits(linear, "AATAAA")
-    d4 = hits.select("construct_id", F.lit("d4_internal_polya").alias("spec_id"), F.col("pos").alias("start"), (F.col("pos") + 6).alias("end"), F.lit(1.0).alias("magnitude"), (F.col("pos") % 7 != 0).alias("fixable"), F.lit("at").alias("side"))
-    d5 = transcript.promoters(linear).select("construct_id", F.lit("d5_cryptic_transcription").alias("spec_id"), F.col("minus35").alias("start"), (F.col("minus10") + 6).alias("end"), F.lit(1.0).alias("magnitude"), F.lit(True).alias("fixable"), F.lit("").alias("side"))
-    return e1.unionByName(f5).unionByName(d4).unionByName(d5)
-
-
-_S6 = _starts_sql(6, "s6", False)
-_S1 = _starts_sql(1, "s1", False)
-BREACH_SQL = f"""{SQL}, {_S6}, {_S1}, {_gc_sql(100, False)},
-hn AS (SELECT *, CASE WHEN kmer = lag(kmer) OVER (PARTITION BY construct_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM s1), hg AS (SELECT *, sum(nw) OVER (PARTITION BY construct_id ORDER BY pos) AS grp FROM hn),
-hr AS (SELECT construct_id, kmer AS base, min(pos) AS start, count(*) AS run FROM hg GROUP BY construct_id, grp, kmer), h AS (SELECT *, CASE WHEN base IN ('A', 'T') THEN 9 ELSE 5 END AS lim FROM hr),
-wf AS (SELECT *, greatest(0.35 - gc, gc - 0.65) AS dev FROM gcw WHERE gc < 0.35 OR gc > 0.65), wg AS (SELECT *, pos - row_number() OVER (PARTITION BY construct_id ORDER BY pos) AS grp FROM wf),
-m35 AS (SELECT construct_id, pos FROM s6 WHERE {_near('kmer', 'TTGACA')}), m10 AS (SELECT construct_id, pos FROM s6 WHERE {_near('kmer', 'TATAAT')}),
-breaches AS (SELECT construct_id, 'e1_homopolymers' AS spec_id, start, start + run AS stop, CAST(run - lim AS DOUBLE) AS magnitude, true AS fixable, '' AS side FROM h WHERE run > lim
- UNION ALL SELECT construct_id, 'f5_at_window', min(pos), max(pos) + 100, round(1 + 10 * max(dev), 9), true, 'gc' FROM wg GROUP BY construct_id, grp
- UNION ALL SELECT construct_id, 'd4_internal_polya', pos, pos + 6, 1.0, pos % 7 <> 0, 'at' FROM s6 WHERE {_near('kmer', 'AATAAA')}
- UNION ALL SELECT a.construct_id, 'd5_cryptic_transcription', a.pos, b.pos + 6, 1.0, true, '' FROM m35 a JOIN m10 b ON a.construct_id = b.construct_id AND b.pos - a.pos - 6 BETWEEN 15 AND 19)"""
+    """Breaches of all rules of one pass, with the side of the GC band that mending them pushes to."""
+    side = F.when(F.col("spec_id") == "d4_internal_polya", "at").when(F.col("spec_id") == "d8_cpg_depletion", "gc").otherwise("")
+    return evaluation.breaches(segmented(spark, sf_dir)).withColumn("side", side)
+
+
+BREACH_SQL = f"""{RULES_SQL}, breaches AS (SELECT construct_id, spec_id, start, stop, magnitude, fixable, CASE WHEN spec_id = 'd4_internal_polya' THEN 'at' WHEN spec_id = 'd8_cpg_depletion' THEN 'gc' ELSE '' END AS side FROM ({ALL_SQL}) x)"""
 
 
 @query("rule_evaluations", f"WITH {BREACH_SQL} SELECT construct_id, spec_id, count(*) AS n, round(sum(magnitude), 6) AS magnitude, max(magnitude) AS worst FROM breaches GROUP BY construct_id, spec_id")
@@ -125,7 +114,7 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("routed_findings", f"""WITH {BREACH_SQL}, {MATRIX_SQL}, k AS (SELECT *, CASE slot_enforcement WHEN 'SOFT' THEN 0 WHEN 'HARD_CHECK' THEN 1 WHEN 'HARD_REPAIR' THEN 2 ELSE 3 END AS sev FROM matrix WHERE gated_in AND host = 'human' AND modality = 'plasmid_transient'),
-e AS (SELECT spec_id, arg_max(slot_enforcement, sev) AS enforcement FROM k GROUP BY spec_id), f AS (SELECT construct_id, spec_id FROM breaches GROUP BY ALL HAVING max(magnitude) >= 1.0)
+e AS (SELECT spec_id, arg_max(slot_enforcement, sev) AS enforcement FROM k GROUP BY spec_id), f AS (SELECT construct_id, spec_id FROM breaches GROUP BY ALL HAVING max(magnitude) >= CASE WHEN spec_id = 'd3_splicing' THEN 3.0 ELSE 1.0 END)
 SELECT b.spec_id, e.enforcement, CASE WHEN e.enforcement = 'SOFT' THEN 'score' WHEN fixable THEN 'repair' ELSE 'advise' END AS route, count(*) AS n FROM breaches b JOIN f USING (construct_id, spec_id) JOIN e ON b.spec_id = e.spec_id GROUP BY ALL""")
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = rules.slots(spark).where("host = 'human' and modality = 'plasmid_transient'")
