@@ -34,7 +34,7 @@ def recurrence(df: DataFrame, k: int = 12) -> DataFrame:
 
 
 def landing_sites(df: DataFrame, k: int = 12, least: int = 3) -> DataFrame:
-    """``construct_id, kmer, sites`` of k-mers with at least ``least`` occurrences k or more bases apart (linear starts)."""
+    """``construct_id, kmer, sites`` of k-mers with at least ``least`` occurrences k or more bases apart (linear starts; on circles see :func:`.evaluation.recurrence`)."""
     w = Window.partitionBy("construct_id", "kmer").orderBy("pos")
     rows = positions(df.withColumn("circular", F.lit(False)), k)
     far = F.col("pos") - F.lag("pos").over(w)
@@ -108,42 +108,57 @@ def repeats_of(seq: str, k: int, cap: int = CAP) -> list[tuple[int, int, int, in
 def inverted_seeds(df: DataFrame, k: int = 8, max_loop: int = 100) -> DataFrame:
     """``construct_id, left, right, gap``: k-mers whose reverse complement begins 0 to ``max_loop`` bases behind them.
 
-    Equi-join on construct, k-mer and a bin of the position, so the pairs tried per key are bounded by the loop, not by how
-    often a k-mer occurs.
+    One map: a construct's k-mers are sorted by text and position, and every reverse complement takes its lefts as a range of them,
+    so the pairs tried are the pairs found.
     """
-    rows = positions(df.withColumn("circular", F.lit(False)), k).select("construct_id", "pos", "kmer")
-    width = max_loop + k
-    left = rows.select("construct_id", F.col("pos").alias("left"), "kmer", F.explode(F.array(F.floor(F.col("pos") / width), F.floor(F.col("pos") / width) + 1)).alias("bin"))
-    right = rows.select("construct_id", F.col("pos").alias("right"), dna.reverse_complement(F.col("kmer")).alias("kmer"), F.floor(F.col("pos") / width).alias("bin"))
-    return left.join(right, ["construct_id", "kmer", "bin"]).withColumn("gap", F.col("right") - F.col("left") - k).where(F.col("gap").between(0, max_loop)).select("construct_id", "left", "right", "gap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["construct_id", "left", "right", "gap"]
+        for batch in batches:
+            for cid, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, right = seed_pairs(seq, k, max_loop)
+                columns = [pa.array(np.full(len(left), cid, np.int64)), *(pa.array(x.astype(np.int32)) for x in (left, right, right - left - k))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.where(F.col("length") >= 2 * k).select("construct_id", "seq").mapInArrow(run, "construct_id long, left int, right int, gap int")
+
+
+_OTHER = np.zeros(256, np.uint8)
+_OTHER[list(b"ACGT")] = list(b"TGCA")
+
+
+def seed_pairs(seq: str, k: int, max_loop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of k-mers and of their reverse complements 0 to ``max_loop`` bases behind them."""
+    codes = _codes(seq)
+    words, back = _windows(codes, k), _windows(_OTHER[codes[::-1]], k)[::-1]
+    at = np.arange(len(words))
+    order = np.argsort(words, kind="stable")
+    distinct, rank = np.unique(words, return_inverse=True)
+    place = np.searchsorted(distinct, back)
+    known = np.flatnonzero(distinct[np.minimum(place, max(len(distinct) - 1, 0))] == back) if len(distinct) else at
+    # One sorted key of text and position; a range of it per right arm.
+    key = rank[order] * (len(words) + 1) + order
+    base = place[known] * (len(words) + 1)
+    lo = np.searchsorted(key, base + np.maximum(known - k - max_loop, 0))
+    hi = np.maximum(np.searchsorted(key, base + np.maximum(known - k + 1, 0)), lo)
+    n = hi - lo
+    pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return order[pick], np.repeat(known, n)
 
 
 def stems_of(seq: str, k: int, max_loop: int, cap: int = CAP) -> list[tuple[int, int, int, int]]:
     """(left, right, stem, loop) of maximal inverted repeats with stems of at least ``k``; contained ones go."""
     codes = _codes(seq)
-    other = np.zeros(256, np.uint8)
-    other[list(b"ACGT")] = list(b"TGCA")
     n = len(codes)
-    if n < 2 * k:
-        return []
-    words, back = _windows(codes, k), _windows(other[codes[::-1]], k)[::-1]
-    # back[i] is the reverse complement of the k-mer at i.
     found = set()
-    order = np.argsort(words, kind="stable")
-    ranked = words[order]
-    lo, hi = np.searchsorted(ranked, back, "left"), np.searchsorted(ranked, back, "right")
-    for right in np.flatnonzero(hi > lo).tolist():
-        for left in order[lo[right] : hi[right]].tolist():
-            gap = right - left - k
-            if not 0 <= gap <= max_loop:
-                continue
-            i, j, size = left, right + k, k
-            while i > 0 and j < n and codes[i - 1] == other[codes[j]]:
-                i, j, size = i - 1, j + 1, size + 1
-            inner = gap
-            while inner >= 2 and codes[i + size] == other[codes[j - size - 1]]:
-                size, inner = size + 1, inner - 2
-            found.add((i, j - size, size, inner))
+    for left, right in zip(*(x.tolist() for x in seed_pairs(seq, k, max_loop)), strict=True):
+        i, j, size = left, right + k, k
+        while i > 0 and j < n and codes[i - 1] == _OTHER[codes[j]]:
+            i, j, size = i - 1, j + 1, size + 1
+        inner = right - left - k
+        while inner >= 2 and codes[i + size] == _OTHER[codes[j - size - 1]]:
+            size, inner = size + 1, inner - 2
+        found.add((i, j - size, size, inner))
     out: list[tuple[int, int, int, int]] = []
     for s in sorted(found, key=lambda s: (-s[2], s[0], s[1])):
         if not any(o[0] <= s[0] and s[0] + s[2] <= o[0] + o[2] and o[1] <= s[1] and s[1] + s[2] <= o[1] + o[2] for o in out):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +32,31 @@ def _join_ends(runs: DataFrame) -> DataFrame:
     return kept.select("construct_id", "base", "start", F.when(F.col("_joins") & at_end, F.col("run") + F.col("_first")).otherwise(F.col("run")).alias("run"))
 
 
+def tracts_of(seq: str, units: tuple[int, int], least: int) -> list[tuple[int, int, int]]:
+    """(unit, start, tract) of one sequence on a line, at the least period of each."""
+    codes, kept = np.frombuffer(seq.encode(), np.uint8), []
+    for unit in range(1, units[1] + 1):
+        if len(codes) <= unit:
+            break
+        same = np.concatenate(([False], codes[:-unit] == codes[unit:], [False]))
+        edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        for a, b in edge[edge[:, 1] - edge[:, 0] + unit >= max(least, 2 * unit)].tolist():
+            if not any(u < unit and s <= a and b + unit <= s + t for u, s, t in kept):
+                kept.append((unit, a, b + unit - a))
+    return [x for x in kept if x[0] >= units[0]]
+
+
 def tandem_tracts(df: DataFrame, units: tuple[int, int] = (2, 6), least: int = 20) -> DataFrame:
     """``construct_id, unit, start, tract`` of linear tracts s[i] = s[i + unit] of at least ``least`` bases.
 
-    A tract inside one of a smaller unit is left out, so each keeps its minimal period.  One window pass per unit, all on
-    the same partitioning.
+    A tract inside one of a smaller unit is left out, so each keeps its minimal period.  One map: a construct's tracts are found
+    by shifted equality of its bases.
     """
-    w = Window.partitionBy("construct_id").orderBy("pos")
-    rows = bases(df.withColumn("circular", F.lit(False)), 0).select("construct_id", "pos", "base")
 
-    def of(unit: int) -> DataFrame:
-        same = rows.withColumn("_next", F.lead("base", unit).over(w)).where(F.col("base") == F.col("_next"))
-        runs = same.withColumn("_g", F.col("pos") - F.row_number().over(w)).groupBy("construct_id", "_g").agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + unit).cast("int").alias("tract"))
-        return runs.where(F.col("tract") >= max(least, 2 * unit)).select("construct_id", F.lit(unit).alias("unit"), "start", "tract")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(c, *t) for c, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in tracts_of(seq, units, least)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.int32()] * 3, strict=True)], ["construct_id", "unit", "start", "tract"])
 
-    tracts = reduce(DataFrame.unionByName, [of(u) for u in range(1, units[1] + 1)])
-    inner, outer = tracts.alias("i"), tracts.alias("o")
-    inside = (F.col("i.construct_id") == F.col("o.construct_id")) & (F.col("o.unit") < F.col("i.unit")) & (F.col("o.start") <= F.col("i.start")) & (F.col("i.start") + F.col("i.tract") <= F.col("o.start") + F.col("o.tract"))
-    return inner.join(outer, inside, "left_anti").where(F.col("unit") >= units[0]).select("construct_id", "unit", "start", "tract")
+    return df.where("length > 0").select("construct_id", "seq").mapInArrow(run, "construct_id long, unit int, start int, tract int")

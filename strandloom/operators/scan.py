@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import arrays, dna
 
 
 def _starts(text: Column, pattern: str, width: int) -> Column:
@@ -17,8 +17,7 @@ def _starts(text: Column, pattern: str, width: int) -> Column:
     A look-ahead splits the text before every match, so the cost is one regular-expression pass over the text, not one
     comparison per base; piece lengths then give the positions.
     """
-    pieces = F.split(text, f"(?={pattern})", -1)
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))))
+    ends = arrays.running_sums(F.transform(F.split(text, f"(?={pattern})", -1), F.length))
     found = F.filter(F.concat(F.array(F.lit(0)), ends), lambda at: F.substring(text, at + 1, width).rlike(f"^{pattern}$") & (F.length(text) - at >= width))
     return F.array_distinct(found)
 
@@ -30,14 +29,16 @@ PIECE = 256
 def positions(df: DataFrame, k: int) -> DataFrame:
     """``construct_id, length, circular, pos, kmer`` of every start, once round on circles; sequences shorter than ``k`` have none.
 
-    A substring is found by walking from the text's beginning, so texts are first cut in pieces of ``PIECE`` starts; the
-    work stays near linear in long sequences.
+    Texts are cut in pieces of ``PIECE`` starts in one pass, each with what a k-mer needs of the pieces behind it, so the work is linear
+    in long sequences.
     """
-    some = df.where(F.col("length") >= k).select("construct_id", "length", "circular", dna.haystack(F.col("seq"), F.col("circular"), k).alias("_hay"))
-    pieces = some.select("construct_id", "length", "circular", "_hay", F.explode(F.sequence(F.lit(0), F.length("_hay") - k, F.lit(PIECE))).alias("_from"))
-    pieces = pieces.select("construct_id", "length", "circular", "_from", F.expr(f"substring(_hay, _from + 1, {PIECE - 1 + k})").alias("_piece"))
-    each = pieces.select("*", F.explode(F.sequence(F.lit(0), F.length("_piece") - k)).alias("_at"))
-    return each.select("construct_id", "length", "circular", (F.col("_from") + F.col("_at")).alias("pos"), F.expr(f"substring(_piece, _at + 1, {k})").alias("kmer"))
+    width = max(PIECE, k)
+    hay = dna.haystack(F.col("seq"), F.col("circular"), k)
+    cut = F.regexp_extract_all(hay, F.lit(f"(.{{1,{width}}})"), F.lit(1))
+    whole = arrays.let(cut, lambda s: F.transform(s, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(s, i + 1), 1, k - 1), F.lit("")))))
+    pieces = df.where(F.col("length") >= k).select("construct_id", "length", "circular", F.posexplode(whole).alias("_nth", "_piece"))
+    each = pieces.where(F.length("_piece") >= k).select("*", F.explode(F.sequence(F.lit(0), F.least(F.length("_piece") - k, F.lit(width - 1)))).alias("_at"))
+    return each.select("construct_id", "length", "circular", (F.col("_nth") * width + F.col("_at")).alias("pos"), F.expr(f"substring(_piece, _at + 1, {k})").alias("kmer"))
 
 
 def near_hits(df: DataFrame, motif: str) -> DataFrame:
@@ -77,16 +78,10 @@ def sites(df: DataFrame, named: dict[str, str]) -> DataFrame:
     for name, pattern in sorted(named.items()):
         tokens, gaps = F.regexp_extract_all("seq", F.lit(f"({pattern})"), F.lit(1)), F.split("seq", pattern, -1)
         pairs = F.zip_with(tokens, F.slice(gaps, F.lit(1), F.size(tokens)), lambda t, g: F.struct(t.alias("t"), g.alias("g")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,start:int,end:int,text:string>>").alias("out"))
-
-        def step(acc: Column, p: Column, name: str = name) -> Column:
-            start = acc["at"] + F.length(p["g"])
-            end = start + F.length(p["t"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(name).alias("name"), start.alias("start"), end.alias("end"), p["t"].alias("text")))).alias("out"))
-
-        all_.append(_sited(pairs, zero, step))
+        all_.append(arrays.let(pairs, lambda p, name=name: _sited(p, name)))
     return df.select("construct_id", F.explode(F.concat(*all_)).alias("h")).select("construct_id", "h.name", "h.start", "h.end", "h.text")
 
 
-def _sited(pairs: Column, zero: Column, step) -> Column:
-    return F.aggregate(pairs, zero, lambda a, p: step(a, p), lambda a: a["out"])
+def _sited(pairs: Column, name: str) -> Column:
+    ends = arrays.running_sums(F.transform(pairs, lambda p: F.length(p["g"]) + F.length(p["t"])))
+    return F.zip_with(pairs, ends, lambda p, e: F.struct(F.lit(name).alias("name"), (e - F.length(p["t"])).alias("start"), e.alias("end"), p["t"].alias("text")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,36 @@ def variants(cds: DataFrame, n: int, table_id: int, uniform: Column | None = Non
     return made.groupBy("construct_id", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "pick"))), lambda x: x["pick"]), "").alias("cds"))
 
 
+def additive_null(cds: DataFrame, n: int, table_id: int, of_codon: dict[str, float], steps: tuple[int, int, int, int] = (7919, 104729, 1299709, 1000003)) -> DataFrame:
+    """``construct_id, variant, value`` of ``n`` synonymous variants: the sum of ``of_codon`` over the codons drawn, by the bases.
+
+    A null of a sum needs no variant's text: one map draws all variants of a construct by number.  The draw of codon i of
+    variant v is ((id * a + v * b + i * c) mod m) / m with ``steps`` = (a, b, c, m), so it depends on nothing else.
+    """
+    code = dims.genetic_code(table_id)
+    codons = sorted(code)
+    options = [[c] if code[c] == "*" or c not in dims.synonyms(table_id)[code[c]] else dims.synonyms(table_id)[code[c]] for c in codons]
+    sizes = np.array([len(o) for o in options])
+    table = np.zeros((len(codons), sizes.max()))
+    for k, o in enumerate(options):
+        table[k, : len(o)] = [of_codon[x] for x in o]
+    index = {c: k for k, c in enumerate(codons)}
+    a, b, c, m = steps
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = np.array([index[text[i : i + 3]] for i in range(0, len(text) - 2, 3)], np.int64)
+                i = np.arange(len(row), dtype=np.int64) * c
+                values = np.empty(n)
+                for v in range(n):
+                    u = (cid * a + v * b + i) % m / m
+                    values[v] = table[row, (u * sizes[row]).astype(np.int64)].sum() / max(1, 3 * len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cid, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(values)], ["construct_id", "variant", "value"])
+
+    return cds.select("construct_id", "cds").mapInArrow(run, "construct_id long, variant int, value double")
+
+
 def percentile(null: DataFrame, scores: DataFrame, direction: str, band: tuple[float, float] | None = None) -> DataFrame:
     """``construct_id, raw, n, mean, sd, percentile``: share of the null that is worse, ties counting half.
 

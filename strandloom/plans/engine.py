@@ -181,12 +181,13 @@ p AS (SELECT construct_id, variant, i, options[CAST(floor({UNIFORM_SQL} * len(op
 nulls AS (SELECT construct_id, variant, sum(3 - length(replace(replace(pick, 'G', ''), 'C', ''))) / (3 * count(*)) AS value FROM p GROUP BY construct_id, variant)"""
 
 
-@query("percentile_vs_null", f"""WITH {NULL_SQL}, s AS (SELECT construct_id, (length(cds) - length(replace(replace(cds, 'G', ''), 'C', ''))) / length(cds) AS raw FROM coding),
+@query("percentile_vs_null", f"""WITH {NULL_SQL.replace('range(0, 5)', 'range(0, 200)')}, s AS (SELECT construct_id, (length(cds) - length(replace(replace(cds, 'G', ''), 'C', ''))) / length(cds) AS raw FROM coding),
 j AS (SELECT construct_id, raw, value, greatest(0.45 - raw, raw - 0.55, 0) AS x, greatest(0.45 - value, value - 0.55, 0) AS y FROM nulls JOIN s USING (construct_id))
 SELECT construct_id, raw, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd, sum(CASE WHEN y > x THEN 1.0 WHEN y = x THEN 0.5 ELSE 0.0 END) / count(*) AS percentile FROM j GROUP BY construct_id, raw""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = coding(spark, sf_dir)
-    null = scoring.variants(cds, 5, 1, _uniform()).select("construct_id", dna.gc_fraction(F.col("cds")).alias("value"))
+    gc = {c: float(sum(b in "GC" for b in c)) for c in dims.CODONS}
+    null = scoring.additive_null(cds, rules.NULL_SIZES["cheap"], 1, gc).select("construct_id", "value")
     scores = cds.select("construct_id", dna.gc_fraction(F.col("cds")).alias("raw"))
     out = scoring.percentile(null, scores, "BAND", (0.45, 0.55))
     return out.withColumn("mean", F.round("mean", 9)).withColumn("sd", F.round("sd", 9))
