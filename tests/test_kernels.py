@@ -1,6 +1,7 @@
 """Kernels against brute force and known answers."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -9,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom import dims, verify
-from strandloom.functions import dna, intervals
-from strandloom.operators import design, kmers, runs, scan, scoring, solver, transcript, vendors, windows
+from strandloom.functions import arrays, dna, intervals
+from strandloom.operators import design, evaluation, kmers, presets, runs, scan, scoring, solver, transcript, vendors, windows
 
 DNA = st.text("ACGT", min_size=3, max_size=60)
 AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -211,3 +212,142 @@ def test_registered_designs_are_repaired(spark, tmp_path):
         gc[repair] = {(r.design_id, r.lean): r.cds and round(sum(c in "GC" for c in r.cds) / len(r.cds), 6) for r in rows}
     assert gc[False] != gc[True]
     assert {(r.design_id, r.lean): r.gc for r in engine.lattice(spark, str(tmp_path)).collect()} == gc[True]
+
+
+def _random_dna(rng, n, letters="ACGT"):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_seed_pairs_and_tracts_equal_brute_force():
+    rng = random.Random(21)
+    for _ in range(25):
+        seq = _random_dna(rng, rng.randrange(0, 160), rng.choice(("ACGT", "AT", "ACG")))
+        k, loop = rng.choice((3, 5)), rng.choice((0, 4, 30))
+        want = {(i, j) for i in range(len(seq) - k + 1) for j in range(i + k, min(i + k + loop, len(seq) - k) + 1) if seq[j : j + k] == dna.complement_text(seq[i : i + k])}
+        left, right = kmers.seed_pairs(seq, k, loop)
+        assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == sorted(want)
+        found = []
+        for unit in range(1, 5):
+            i = 0
+            while i + unit < len(seq):
+                j = i
+                while j + unit < len(seq) and seq[j] == seq[j + unit]:
+                    j += 1
+                if j > i and j + unit - i >= max(8, 2 * unit) and not any(u < unit and s <= i and j + unit <= s + t for u, s, t in found):
+                    found.append((unit, i, j + unit - i))
+                i = max(j, i + 1)
+        assert sorted(runs.tracts_of(seq, (2, 4), 8)) == sorted(x for x in found if x[0] >= 2)
+
+
+def test_stems_are_maximal_inverted_repeats():
+    rng = random.Random(22)
+    for _ in range(20):
+        seq = _random_dna(rng, 120)
+        for left, right, stem, loop in kmers.stems_of(seq, 4, 20):
+            assert seq[right : right + stem] == dna.complement_text(seq[left : left + stem]) and right - left - stem == loop <= 20
+            assert left == 0 or right + stem == len(seq) or seq[left - 1] != dna.complement_text(seq[right + stem])
+        best = max((s[2] for s in kmers.stems_of(seq, 4, 20)), default=0)
+        want = max((n for n in range(4, 61) for i in range(len(seq) - n) for j in range(i + n, min(i + n + 20, len(seq) - n) + 1) if seq[j : j + n] == dna.complement_text(seq[i : i + n])), default=0)
+        assert best == want
+
+
+def test_direct_repeats_are_exact_and_maximal():
+    rng = random.Random(23)
+    for _ in range(20):
+        core = _random_dna(rng, 18)
+        seq = _random_dna(rng, 40) + core + _random_dna(rng, 30) + core + _random_dna(rng, 20)
+        found = kmers.repeats_of(seq, 12)
+        assert found and found[0][2] >= 18
+        for a, b, n, spacer in found:
+            assert seq[a : a + n] == seq[b : b + n] and spacer == b - a - n
+            assert a == 0 or n == b - a or seq[a - 1] != seq[b - 1]
+
+
+def test_g4hunter_peak_equals_plain_windows():
+    def plain(seq, width=25):
+        best = 0.0
+        for i in range(max(1, len(seq) - width + 1)):
+            total, text = 0, seq[i : i + width]
+            for base, group in itertools.groupby(text):
+                n = len(list(group))
+                total += {"G": 1, "C": -1}.get(base, 0) * min(n, 4) * n
+            mean = total / len(text) if text else 0.0
+            best = mean if abs(mean) > abs(best) else best
+        return best
+
+    rng = random.Random(24)
+    for n in (0, 1, 10, 25, 90):
+        seq = _random_dna(rng, n, "GGGCATG")
+        assert abs(transcript.g4hunter(seq) - plain(seq)) < 1e-12
+
+
+def test_melting_temperature_of_both_tables(spark):
+    def plain(seq, na, nm, table):
+        steps = dna.NEAREST_NEIGHBOUR[table] | {dna.complement_text(k): v for k, v in dna.NEAREST_NEIGHBOUR[table].items()}
+        h, s = dna.NN_ONCE[table]
+        for end in (seq[0], seq[-1]):
+            h, s = h + dna.NN_ENDS[table][end][0], s + dna.NN_ENDS[table][end][1]
+        for i in range(len(seq) - 1):
+            h, s = h + steps[seq[i : i + 2]][0], s + steps[seq[i : i + 2]][1]
+        same = seq == dna.complement_text(seq)
+        s += (-1.4 if same else 0) + 0.368 * (len(seq) - 1) * math.log(na / 1000)
+        return 1000 * h / (s + 1.987 * math.log((nm if same else nm / 2) * 1e-9)) - 273.15
+
+    rng = random.Random(25)
+    seqs = [_random_dna(rng, n) for n in (2, 15, 20, 40)] + ["GAATTC"]
+    rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", dna.melting_temperature(F.col("s")).alias("a"), dna.melting_temperature(F.col("s"), 50.0, 250.0, "2004").alias("b"))
+    for r in rows.collect():
+        assert abs(r.a - plain(r.s, 50, 25, "1997")) < 1e-6 and abs(r.b - plain(r.s, 50, 250, "2004")) < 1e-6
+
+
+def test_additive_null_equals_built_variants(spark):
+    rng = random.Random(26)
+    cds = spark.createDataFrame([(k, _random_dna(rng, 3 * rng.randrange(1, 30))) for k in range(6)], "construct_id long, cds string")
+    gc = {c: float(sum(b in "GC" for b in c)) for c in dims.CODONS}
+    uniform = F.expr("((construct_id * 7919 + variant * 104729 + cast(i as bigint) * 1299709) % 1000003) / 1000003.0d")
+    built = {(r.construct_id, r.variant): r.cds for r in scoring.variants(cds, 7, 1, uniform).collect()}
+    got = scoring.additive_null(cds, 7, 1, gc).collect()
+    assert len(got) == 42
+    for r in got:
+        text = built[r.construct_id, r.variant]
+        assert abs(r.value - sum(b in "GC" for b in text) / len(text)) < 1e-12
+
+
+def test_segments_decide_what_counts(spark):
+    """An exempt region hides its repeats, a designable one makes breaches mendable, round the origin too."""
+    seq = "GAATTC" + "ACGTTGCATG" * 3 + "TTTTTTTTTTTT" + "GATTACAGATTACAGATTACA" + "GAA"
+    part = [{"start": len(seq) - 10, "end": len(seq) + 2, "kind": evaluation.DESIGNABLE}, {"start": 6, "end": 36, "kind": evaluation.REPEAT}]
+    c = evaluation.Construct(seq, True, part)
+    assert [b[:3] + b[5:] for b in evaluation.restriction_sites(c)] == [("EcoRI", 0, 6, True)]
+    assert [b[:3] + b[5:] for b in evaluation.homopolymer_runs(c)] == [("T", 36, 48, False)]
+    rows = spark.createDataFrame([(1, seq, True, part), (2, seq, True, []), (3, "", False, [])], f"construct_id long, seq string, circular boolean, segments {evaluation.SEGMENTS}")
+    got = {r.construct_id: r for r in evaluation.recurrence(rows).collect()}
+    assert got[1].recurring < got[2].recurring and got[1].scored < got[2].scored == len(seq) and got[3].scored == 0
+    assert evaluation.breaches(rows).where("construct_id = 3").count() == 0
+
+
+def test_v5_tags_make_donors_strong():
+    tag = solver.back_translate(evaluation.V5, 1, stop=False)
+    seq = "ATGGCA" + tag + "AAAGTAAGCCC" * 2 + "TAA"
+    whole = evaluation.Construct(seq, False, [{"start": 0, "end": len(seq) // 3 * 3, "kind": evaluation.DESIGNABLE}])
+    inside = [b for b in evaluation.splice_sites(whole, acceptors=False) if b[1] < 6 + len(tag) and b[2] > 6]
+    assert all(b[4] == 3.0 for b in inside)
+    assert {b[4] for b in evaluation.splice_sites(whole, acceptors=False) if b[1] >= 6 + len(tag)} <= {1.0, 3.0}
+
+
+def test_markers_by_every_token(spark):
+    rows = spark.createDataFrame([(m.upper(),) for m in presets.MARKERS], "label string")
+    assert rows.where(presets.is_marker(F.col("label"))).count() == len(presets.MARKERS) and "ampr" in presets.MARKERS
+
+
+def test_running_sums_and_pieces_of_long_texts(spark):
+    rng = random.Random(27)
+    numbers = [rng.randrange(-5, 9) for _ in range(1000)]
+    rows = spark.createDataFrame([(numbers[:n],) for n in (0, 1, 63, 64, 65, 1000)], "x array<int>").select("x", arrays.running_sums(F.col("x")).alias("s"))
+    assert all(list(itertools.accumulate(r.x)) == r.s for r in rows.collect())
+    for n in (5, 256, 257, 700):
+        for k in (1, 4, 300):
+            seq = _random_dna(rng, n)
+            got = sorted((r.pos, r.kmer) for r in scan.positions(frame(spark, [(seq, True)]), k).collect())
+            around = seq + seq[: k - 1]
+            assert got == ([(i, around[i : i + k]) for i in range(n)] if n >= k else [])
