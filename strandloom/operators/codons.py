@@ -48,9 +48,15 @@ def family_stats(counts: DataFrame) -> DataFrame:
     return counts.where("aa <> '*'").groupBy("aa").agg(F.avg("n").alias("mean"), F.max("n").alias("top"), F.min("n").alias("low"), F.count(F.lit(1)).alias("_k")).where("_k > 1 and low > 0").drop("_k")
 
 
-def repeat_risk(length: Column, spacer: Column) -> Column:
-    """Low, moderate or high by length and spacer of a direct repeat."""
-    return F.when((length >= 200) | ((length >= 25) & (spacer <= 1000)), "high").when((length >= 20) | (spacer <= 100), "moderate").otherwise("low")
+#: Bases of the risk bands of direct repeats: fixed values.
+UNIQUE_BP, SUBSTANTIAL_BP, RECA_BP, NEAR_BP, FAR_BP = 20, 100, 200, 100, 1000
+
+
+def repeat_risk(length: Column, spacer: Column, tandem: Column | None = None) -> Column:
+    """Low, moderate or high by length and spacer of a direct repeat; copies that touch (``tandem``) are never low."""
+    touch = F.lit(False) if tandem is None else tandem
+    apart = F.when(spacer <= F.when(length >= RECA_BP, FAR_BP).otherwise(NEAR_BP), "high").when((spacer <= FAR_BP) | (length >= SUBSTANTIAL_BP), "moderate").otherwise("low")
+    return F.when(touch, F.when(length >= UNIQUE_BP, "high").otherwise("moderate")).when(length < UNIQUE_BP, "low").otherwise(apart)
 
 
 def reachable_gc(protein_rows: DataFrame, table_id: int, window: int = 50) -> DataFrame:

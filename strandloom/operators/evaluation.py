@@ -341,7 +341,7 @@ def open_frames(constructs: DataFrame, table_id: int, least_aa: int = 80) -> Dat
                 n = len(seq)
                 for strand in (1, -1):
                     once = seq if strand == 1 else dna.complement_text(seq)
-                    text = once * 2 if circular else once
+                    text = once * 3 if circular else once  # three turns hold every frame
                     ids = _kmer_ids(text, 3)
                     code = {s: _kmer_ids(s, 3)[0] for s in ("ATG", *stops)}
                     is_stop = np.isin(ids, [code[s] for s in stops])

@@ -9,10 +9,39 @@ from ..functions import dna
 from .scan import positions
 
 
+def nearest(targets: DataFrame, elements: DataFrame, limit: int | None = None) -> DataFrame:
+    """``construct_id, j, element, feature, distance, f_start, f_end``: the closest feature of each named element on a target's strand.
+
+    ``targets`` has ``construct_id, j, start, end, strand, length, circular``; ``elements`` the same columns and ``element, upstream``.
+    An as-of join without pairs: both lie on an axis that points to the target, and a running maximum carries the last feature
+    on.  On a circle every feature lies there twice, a turn apart, and one over half a turn away points the other way; on a line
+    only ``limit`` bounds the distance.  Ties go to the lower feature number.
+    """
+    side = F.when(F.col("upstream"), F.col("strand")).otherwise(-F.col("strand")).alias("_side")
+    on_axis = lambda ahead, behind: F.when(F.col("circular"), F.pmod(F.when(F.col("_side") > 0, ahead).otherwise(-behind), F.col("length"))).otherwise(F.when(F.col("_side") > 0, ahead).otherwise(-behind))
+    named = elements.select("construct_id", "element", "upstream", side, "length", "circular", F.col("j").alias("feature"), F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    named = named.withColumn("_at", on_axis(F.col("f_end"), F.col("f_start")))
+    turns = F.explode(F.when(F.col("circular"), F.array("_at", F.col("_at") - F.col("length"))).otherwise(F.array("_at")))
+    named = named.withColumn("_at", turns).select("construct_id", "element", "_side", "_at", F.struct("_at", (-F.col("feature")).alias("minus"), "f_start", "f_end").alias("_last"))
+    wanted = elements.select("construct_id", "element", "upstream").distinct()
+    asked = targets.join(wanted, "construct_id").withColumn("_side", F.when(F.col("upstream"), F.col("strand")).otherwise(-F.col("strand")))
+    asked = asked.select("construct_id", "element", "_side", on_axis(F.col("start"), F.col("end")).alias("_at"), "j", "length", "circular")
+    w = Window.partitionBy("construct_id", "element", "_side").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(named, allowMissingColumns=True).withColumn("_near", F.max("_last").over(w)).where("j is not null and _near is not null")
+    found = both.withColumn("distance", F.col("_at") - F.col("_near._at")).where(F.when(F.col("circular"), F.col("distance") <= F.floor(F.col("length") / 2)).otherwise(True))
+    if limit is not None:
+        found = found.where(F.col("distance") <= limit)
+    return found.select("construct_id", "j", "element", (-F.col("_near.minus")).alias("feature"), F.col("distance").cast("int").alias("distance"), "_near.f_start", "_near.f_end")
+
+
+def nearest_upstream(targets: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
+    """``construct_id, j, feature, distance``: the closest feature upstream on the same strand (see :func:`nearest`)."""
+    return nearest(targets, features.withColumn("element", F.lit("")).withColumn("upstream", F.lit(True)), limit).select("construct_id", "j", "feature", "distance")
+
+
 def nearest_downstream(targets: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
     """As :func:`nearest_upstream`, on the other side."""
-    flip = lambda df: df.withColumn("strand", -F.col("strand"))
-    return nearest_upstream(flip(targets), flip(features), limit)
+    return nearest(targets, features.withColumn("element", F.lit("")).withColumn("upstream", F.lit(False)), limit).select("construct_id", "j", "feature", "distance")
 
 
 def occurrences(arms: DataFrame, constructs: DataFrame, width: int) -> DataFrame:
@@ -51,21 +80,6 @@ def identical_repeats(segments: DataFrame) -> DataFrame:
     return keyed.join(other, ["construct_id", "key"]).where("j < second").select("construct_id", F.col("j").alias("first"), "second", "length")
 
 
-def nearest_upstream(targets: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
-    """``construct_id, j, feature, distance``: the closest feature upstream on the same strand, at most half a circle away.
-
-    As-of join: equal construct and strand, the least distance, ties to the lower feature number.
-    """
-    other = features.select("construct_id", "strand", F.col("j").alias("feature"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    plus, minus = F.col("start") - F.col("_e"), F.col("_s") - F.col("end")
-    raw = F.when(F.col("strand") > 0, plus).otherwise(minus)
-    gap = F.when(F.col("circular"), F.pmod(raw, F.col("length"))).otherwise(raw)
-    bound = F.least(F.floor(F.col("length") / 2), F.lit(limit)) if limit is not None else F.floor(F.col("length") / 2)
-    near = targets.join(other, ["construct_id", "strand"]).withColumn("distance", gap).where(F.col("distance").between(0, bound))
-    best = near.groupBy("construct_id", "j").agg(F.min(F.struct("distance", "feature")).alias("b"))
-    return best.select("construct_id", "j", "b.feature", F.col("b.distance").cast("int").alias("distance"))
-
-
 def painted(features: DataFrame) -> DataFrame:
     """``construct_id, start, end, j``: segments after painting features in order, later ones over earlier ones."""
     at = F.explode(F.sequence(F.col("start"), F.col("end") - 1))

@@ -39,7 +39,7 @@ def exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nearest_upstream_feature", f"""WITH {SQL}, {FEATURES_SQL}, p AS (SELECT a.construct_id, a.j, b.j AS feature, CASE WHEN a.strand > 0 THEN a.start - b."end" ELSE b.start - a."end" END AS raw, a.length, a.circular FROM features a JOIN features b ON a.construct_id = b.construct_id AND a.strand = b.strand WHERE a.j < 3 AND b.j >= 3),
-d AS (SELECT construct_id, j, feature, CASE WHEN circular THEN ((raw % length) + length) % length ELSE raw END AS distance, length FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY construct_id, j ORDER BY distance, feature) AS n FROM d WHERE distance >= 0 AND distance <= length // 2)
+d AS (SELECT construct_id, j, feature, CASE WHEN circular THEN ((raw % length) + length) % length ELSE raw END AS distance, length, circular FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY construct_id, j ORDER BY distance, feature) AS n FROM d WHERE distance >= 0 AND (NOT circular OR distance <= length // 2))
 SELECT construct_id, j, feature, CAST(distance AS INT) AS distance FROM r WHERE n = 1""")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)

@@ -139,7 +139,7 @@ def recurrence_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.recurrence(segmented(spark, sf_dir))
 
 
-_ORF = f"""orf_t AS (SELECT construct_id, length, circular, strand, CASE WHEN circular THEN repeat(once, 2) ELSE once END AS hay FROM (SELECT construct_id, length, circular, 1 AS strand, seq AS once FROM constructs UNION ALL SELECT construct_id, length, circular, -1, {_RC} FROM constructs) o WHERE length >= 3),
+_ORF = f"""orf_t AS (SELECT construct_id, length, circular, strand, CASE WHEN circular THEN repeat(once, 3) ELSE once END AS hay FROM (SELECT construct_id, length, circular, 1 AS strand, seq AS once FROM constructs UNION ALL SELECT construct_id, length, circular, -1, {_RC} FROM constructs) o WHERE length >= 3),
 orf_p AS (SELECT * EXCLUDE (hay), substring(hay, pos + 1, 3) AS codon FROM (SELECT *, unnest(range(0, length(hay) - 2)) AS pos FROM orf_t) p), orf_c AS (SELECT * FROM orf_p WHERE codon IN ('ATG', 'TAA', 'TAG', 'TGA')),
 orf_n AS (SELECT *, min(CASE WHEN codon <> 'ATG' THEN pos END) OVER (PARTITION BY construct_id, strand, pos % 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM orf_c),
 orfs AS (SELECT construct_id, strand, length, min(pos) AS s, stop FROM orf_n WHERE codon = 'ATG' AND pos < length AND stop IS NOT NULL GROUP BY construct_id, strand, length, stop)"""
@@ -161,7 +161,7 @@ def orfs_80(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nearest_downstream_feature", f"""WITH {SQL}, {FEATURES_SQL}, p AS (SELECT a.construct_id, a.j, b.j AS feature, CASE WHEN a.strand > 0 THEN b.start - a."end" ELSE a.start - b."end" END AS raw, a.length, a.circular FROM features a JOIN features b ON a.construct_id = b.construct_id AND a.strand = b.strand WHERE a.j < 3 AND b.j >= 3),
-d AS (SELECT construct_id, j, feature, CASE WHEN circular THEN ((raw % length) + length) % length ELSE raw END AS distance, length FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY construct_id, j ORDER BY distance, feature) AS n FROM d WHERE distance >= 0 AND distance <= least(length // 2, 5000))
+d AS (SELECT construct_id, j, feature, CASE WHEN circular THEN ((raw % length) + length) % length ELSE raw END AS distance, length, circular FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY construct_id, j ORDER BY distance, feature) AS n FROM d WHERE distance BETWEEN 0 AND 5000 AND (NOT circular OR distance <= length // 2))
 SELECT construct_id, j, feature, CAST(distance AS INT) AS distance FROM r WHERE n = 1""")
 def downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)

@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
-from . import engine, evaluate, registry, sequence  # noqa: F401
+from . import engine, evaluate, placement, registry, sequence  # noqa: F401
 
 QUERIES = registry.QUERIES

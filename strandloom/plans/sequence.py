@@ -228,7 +228,7 @@ def inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("direct_repeats")
 def direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kmers.direct_repeats(constructs(spark, sf_dir))
-    return found.withColumn("risk", codon_ops.repeat_risk(F.col("length"), F.col("spacer")))
+    return found.withColumn("risk", codon_ops.repeat_risk(F.col("length"), F.col("spacer"), F.col("spacer") == 0))
 
 
 @query("inverted_repeats")
