@@ -8,8 +8,9 @@ byte classes are enough for the ASCII-delimited tokens the operators use.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and behind it what its task freed goes back to the machine: Python workers live on for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        # Arrays come from the C library, which keeps freed pages; only some libraries can be told to return them.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def text_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (int64, from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -498,9 +498,9 @@ def score(docs: DataFrame, train: Column, buckets: int | None = None) -> DataFra
     buckets = buckets or max(least, size // (6 * TOKENS_PER_BUCKET) + 1)
     pair_buckets = max(buckets, size // (6 * PAIRS_PER_BUCKET) + 1)
     keyed = lambda df, n: df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "block")
-    parts = rows.mapInArrow(_unigram_parts(buckets), PART)
+    parts = rows.mapInArrow(blocks.freeing(_unigram_parts(buckets)), PART)
     texts = blocks.cut(parts.where("kind = 1"))
-    unigrams = blocks.cut(keyed(parts.where("kind = 0"), buckets).mapInArrow(_answer_unigrams(buckets), PART))
+    unigrams = blocks.cut(keyed(parts.where("kind = 0"), buckets).mapInArrow(blocks.freeing(_answer_unigrams(buckets)), PART))
     n_all = n_distinct = 0
     often: list[tuple[int, int]] = []
     for r in unigrams.where("kind = 3").select("body").toLocalIterator():
@@ -512,9 +512,9 @@ def score(docs: DataFrame, train: Column, buckets: int | None = None) -> DataFra
         often = [x for x in often if x[1] * 4 * buckets > n_all]
     ends = rows.where("train").count()
     hot = {w: c for w, c in often if w != int(END)} | {int(BEGIN): ends}
-    pairs = keyed(rows.mapInArrow(_pair_parts(pair_buckets, np.array(sorted(hot), np.uint64)), PART), pair_buckets)
-    answered = blocks.cut(pairs.mapInArrow(_answer_pairs(buckets, hot), PART))
-    unseen = keyed(answered.where("kind = 5").unionByName(unigrams.where("kind = 2")), buckets).mapInArrow(_answer_unseen, PART)
+    pairs = keyed(rows.mapInArrow(blocks.freeing(_pair_parts(pair_buckets, np.array(sorted(hot), np.uint64))), PART), pair_buckets)
+    answered = blocks.cut(pairs.mapInArrow(blocks.freeing(_answer_pairs(buckets, hot)), PART))
+    unseen = keyed(answered.where("kind = 5").unionByName(unigrams.where("kind = 2")), buckets).mapInArrow(blocks.freeing(_answer_unseen), PART)
     every = texts.unionByName(unigrams.where("kind = 0")).unionByName(answered.where("kind = 4")).unionByName(unseen)
-    gathered = every.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(_gather(n_all, n_distinct), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    gathered = every.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(blocks.freeing(_gather(n_all, n_distinct)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return gathered.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
