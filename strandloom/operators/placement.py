@@ -255,3 +255,15 @@ def repeat_regions(pairs: DataFrame, least: int = 20) -> DataFrame:
         "construct_id", "start", "end", "pairs", "longest", "tandem", F.when(F.col("w.high"), "high").otherwise("moderate").alias("risk"),
         (-F.col("w.first")).alias("worst_first"), (-F.col("w.second")).alias("worst_second"), F.col("w.length").alias("worst_length"), (F.col("w.length") >= codons.RECA_BP).alias("strain_helps"),
     )
+
+
+def crossing_repeats(pairs: DataFrame, inserts: DataFrame) -> DataFrame:
+    """Direct repeats with one copy inside the insert ``(construct_id, start, end)`` and the other not: a second place to anneal."""
+    inside = lambda at: (F.col("start") <= F.col(at)) & (F.col(at) + F.col("length") <= F.col("end"))
+    return pairs.join(inserts.select("construct_id", "start", "end"), "construct_id").where(inside("first") != inside("second")).drop("start", "end")
+
+
+def introns_inside(features: DataFrame, sites: DataFrame) -> DataFrame:
+    """``construct_id, j, label``: introns that touch the site ``(construct_id, start, end, length)``; a design must not start on those."""
+    introns = features.where(_kind() == "intron").select("construct_id", "j", _label().alias("label"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return intervals.overlap_join(sites.select("construct_id", "start", "end", "length", F.lit(True).alias("circular")), introns).select("construct_id", "j", "label").distinct()

@@ -41,6 +41,8 @@ FIELDS = "spec_id string, enforcement string, evidence string, direction string,
 SEVERITY = ("SOFT", "HARD_CHECK", "HARD_REPAIR", "HARD_LATTICE")
 #: Null sample sizes by cost class: fixed values.
 NULL_SIZES = {"cheap": 200, "moderate": 40, "expensive": 0}
+#: Rules whose thresholds were measured on one folding engine and its parameters: fixed values.
+CALIBRATED = {"b1_five_prime": "viennarna:rna_turner2004", "b2_structure_windows": "viennarna:rna_turner2004"}
 EUKARYOTES = tuple(sorted(set(dims.HOST_TABLE) - set(dims.BACTERIA)))
 
 
@@ -48,6 +50,21 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, FIELDS)
 
 
+def rule_set(context: DataFrame, engine: str | None = None) -> DataFrame:
+    """``spec_id, status`` of the rules over the slots of a context: ``run``, ``gated_out`` or ``unrunnable``.
+
+    Rules that rest on folklore are left out.  Those of :data:`CALIBRATED` run on one folding engine: without an engine they are
+    unrunnable, which is reported; on another it is an error, as their thresholds would mean nothing there.
+    """
+    wrong = sorted(k for k, v in CALIBRATED.items() if engine not in (None, v))
+    if wrong:
+        raise ValueError(f"the folding engine is {engine}, but thresholds were measured on another: {', '.join(wrong)}")
+    unready = F.col("spec_id").isin(*CALIBRATED) if engine is None else F.lit(False)
+    folklore = [r[0] for r in RULES if r[2] == "FOLKLORE"]
+    made = gate_matrix(context).where(~F.col("spec_id").isin(*folklore)).groupBy("spec_id").agg(F.max("gated_in").alias("_in"))
+    return made.select("spec_id", F.when(unready, "unrunnable").when(F.col("_in"), "run").otherwise("gated_out").alias("status"))
+
+
 def slots(spark: SparkSession) -> DataFrame:
     """Every context slot: ``role, host, modality, table_id``; the genetic code is locked to the host."""
     return spark.createDataFrame([(r, h, m, t) for r in dims.ROLES for h, t in sorted(dims.HOST_TABLE.items()) for m in dims.MODALITIES], "role string, host string, modality string, table_id int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -104,16 +104,38 @@ def rank_sites(candidates: DataFrame, cap: int = 5) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
+def junction_arms(df: DataFrame, lengths: tuple[int, int] = (15, 40), least_tm: float = 48.0) -> DataFrame:
+    """``construct_id, junction, start, end, arm, tm, unique, usable`` of ``df(construct_id, seq, length, circular, junction, at)``.
+
+    Arms are centred on the junction ``at``.  The shortest one that is warm enough and occurs nowhere else, on either strand, is
+    taken, else the longest there is; a junction too near the end of a line, or a construct shorter than the arms, has nulls.  All
+    lengths are tried within the row, so a sequence is not copied for each.
+    """
+    least, most = lengths
+
+    def arm(n: Column) -> Column:
+        raw = F.col("at") - F.floor(n / 2).cast("int")
+        start = F.when(F.col("circular"), F.pmod(raw, F.col("length"))).otherwise(raw).cast("int")
+        there = (n <= F.col("length")) & (F.col("circular") | (start >= 0) & (start + n <= F.col("length")))
+        return F.when(there, F.struct(start.alias("start"), F.substring("_twice", start + 1, n).alias("arm"), n.alias("n")))
+
+    def measured(x: Column) -> Column:
+        around = F.when(F.col("circular"), F.substring("_twice", F.lit(1), F.col("length") + x["n"] - 1)).otherwise(F.col("seq"))
+        back = dna.reverse_complement(x["arm"])
+        before = F.position(x["arm"], around) != x["start"] + 1
+        behind = F.position(x["arm"], around, x["start"] + 2) > 0
+        unique = ~(before | behind | (back != x["arm"]) & (F.position(back, around) > 0))
+        return F.struct(x["start"], x["arm"], x["n"], dna.melting_temperature(x["arm"], oligo_nm=250.0, table="2004").alias("tm"), unique.alias("unique"))
+
+    rows = df.withColumn("_twice", F.concat("seq", F.when(F.col("circular"), F.substring("seq", 1, most)).otherwise("")))
+    rows = rows.withColumn("_arms", F.array_compact(F.transform(F.sequence(F.lit(least), F.lit(most)), arm))).withColumn("_arms", F.transform("_arms", measured))
+    good = F.filter("_arms", lambda x: x["unique"] & (x["tm"] >= least_tm))
+    rows = rows.withColumn("b", F.coalesce(F.get(good, F.lit(0)), F.try_element_at("_arms", F.lit(-1))))
+    usable = F.coalesce(F.col("b.unique") & (F.col("b.tm") >= least_tm), F.lit(False))
+    return rows.select("construct_id", "junction", "b.start", (F.col("b.start") + F.col("b.n")).alias("end"), "b.arm", "b.tm", "b.unique", usable.alias("usable"))
+
+
 def homology_arms(df: DataFrame, lengths: tuple[int, int] = (15, 40), least_tm: float = 48.0) -> DataFrame:
-    """``construct_id, arm_length, arm, tm, unique``: the shortest arm centred on the origin that is warm enough and occurs once, else the longest."""
-    rows = df.where(F.col("circular") & (F.col("length") >= 2 * lengths[1])).select("construct_id", "seq", "length", F.explode(F.sequence(F.lit(lengths[0]), F.lit(lengths[1]))).alias("n"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    arm = F.concat(F.expr("right(seq, cast(floor(n / 2) as int))"), F.substring("seq", F.lit(1), F.col("n") - half))
-    made = rows.withColumn("arm", arm).withColumn("tm", dna.melting_temperature(F.col("arm"), oligo_nm=250.0, table="2004"))
-    around = F.concat("seq", F.expr("substring(seq, 1, n - 1)"))
-    both = F.size(F.split(around, F.col("arm"), -1)) + F.size(F.split(around, dna.reverse_complement(F.col("arm")), -1)) - 2
-    made = made.withColumn("unique", both == 1)
-    usable = (F.col("tm") >= least_tm) & F.col("unique")
-    rank = F.when(usable, F.col("n")).otherwise(1000 - F.col("n"))
-    best = made.groupBy("construct_id").agg(F.min_by(F.struct("n", "arm", "tm", "unique"), rank).alias("b"))
-    return best.select("construct_id", F.col("b.n").alias("arm_length"), "b.arm", "b.tm", "b.unique")
+    """``construct_id, arm_length, arm, tm, unique``: the arm over the origin of each circle of at least two longest arms."""
+    rows = df.where(F.col("circular") & (F.col("length") >= 2 * lengths[1])).select("construct_id", "seq", "length", "circular", F.lit("origin").alias("junction"), F.lit(0).alias("at"))
+    return junction_arms(rows, lengths, least_tm).select("construct_id", F.length("arm").alias("arm_length"), "arm", "tm", "unique")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, kmers, placement, presets
+from ..operators import evaluation, kmers, placement, presets, rules, survey
 from .derived import FEATURES_SQL, SQL, constructs, features
+from .engine import MATRIX_SQL
 from .evaluate import _ORF
 from .registry import query
 
@@ -144,3 +145,30 @@ def utr_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("repeat_regions")
 def repeat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.repeat_regions(kmers.direct_repeats(constructs(spark, sf_dir), 20))
+
+
+@query("introns_inside_sites", f"""WITH {SQL}, {ANNOTATED_SQL}, {_SITE_SQL} SELECT construct_id, f.j, f.label FROM ann_t f JOIN site s USING (construct_id) WHERE k = 'intron' AND (least(b, f."end") > greatest(a, f.start) OR least(b, f."end" - s.length) > greatest(a, f.start - s.length))""")
+def introns_inside_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _site(constructs(spark, sf_dir).where("length >= 300")).withColumnsRenamed({"site_start": "start", "site_end": "end"})
+    return placement.introns_inside(annotated(spark, sf_dir), sites)
+
+
+@query("junction_arms")
+def junction_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms at both ends of an insert of the middle third."""
+    rows = constructs(spark, sf_dir).where("length >= 9")
+    ends = F.explode(F.array(F.struct(F.lit("5'").alias("junction"), F.expr("cast(div(length, 3) as int)").alias("at")), F.struct(F.lit("3'").alias("junction"), F.expr("cast(div(length, 3) + 3 * div(length, 9) as int)").alias("at"))))
+    return survey.junction_arms(rows.withColumn("e", ends).select("construct_id", "seq", "length", "circular", "e.junction", "e.at"))
+
+
+@query("insert_shared_repeats")
+def insert_shared_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = constructs(spark, sf_dir)
+    inserts = _site(base).select("construct_id", F.col("site_start").alias("start"), F.col("site_end").alias("end"))
+    return placement.crossing_repeats(kmers.direct_repeats(base, 20), inserts)
+
+
+@query("rule_set_lentiviral_human", f"""WITH {MATRIX_SQL} SELECT spec_id, CASE WHEN spec_id IN ('b1_five_prime', 'b2_structure_windows') THEN 'unrunnable' WHEN bool_or(gated_in) THEN 'run' ELSE 'gated_out' END AS status FROM matrix WHERE host = 'human' AND modality = 'lentiviral' GROUP BY spec_id""")
+def rule_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No folding engine is here, so its rules are reported as unrunnable."""
+    return rules.rule_set(rules.slots(spark).where("host = 'human' and modality = 'lentiviral'"))

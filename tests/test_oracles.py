@@ -49,6 +49,8 @@ COLUMNS = {
     "homology_arms": {"construct_id", "arm_length", "arm", "tm", "unique"},
     "inverted_repeats": {"construct_id", "left", "right", "stem", "loop"},
     "near_perfect_repeats": {"construct_id", "first", "second", "length", "mismatches", "risk"},
+    "insert_shared_repeats": {"construct_id", "first", "second", "length", "spacer"},
+    "repeat_regions": {"construct_id", "start", "end", "pairs", "longest", "tandem", "risk"},
     "score_report": {"candidate", "report", "complete"},
 }
 

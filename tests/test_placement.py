@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import codons, evaluation, placement
+from strandloom.operators import codons, evaluation, placement, rules, survey
 from strandloom.functions import dna
 
 FEATURE = "construct_id long, length int, circular boolean, j int, kind string, label string, note string, regulatory_class string, start int, end int, strand int"
@@ -167,3 +167,51 @@ def test_frames_of_more_than_two_turns(spark):
     got = evaluation.open_frames(spark.createDataFrame(rows, "construct_id long, seq string, circular boolean"), 1, 2).collect()
     for i, s, circular in rows:
         assert {(r.start, r.end, r.strand) for r in got if r.construct_id == i} == _plain_frames(s, circular, 2), s
+
+
+def test_junction_arms_equal_plain_search(spark):
+    """Every length is tried; an arm counts as unique if it lies nowhere else on either strand."""
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (10, 14, 15, 39, 60, 200, 400)]
+    block = "".join(rng.choice("ACGT") for _ in range(50))
+    seqs += [block * 4, block + "ACCA" + dna.complement_text(block) + "GGCATT", "AT" * 60, "A" * 80 + "GC" * 40, block[:25] + dna.complement_text(block[:25]) + "C" * 60]
+    rows = [(2 * i + c, s, len(s), bool(c), str(at), at) for i, s in enumerate(seqs) for c in (0, 1) for at in (0, 5, len(s) // 3, 25, len(s) - 8) if 0 <= at < len(s)]
+    df = spark.createDataFrame(rows, "construct_id long, seq string, length int, circular boolean, junction string, at int")
+    tm = {}
+    want = {}
+    for cid, s, n, circular, name, at in rows:
+        options = []
+        for size in range(15, 41):
+            start = at - size // 2
+            start = start % n if circular else start
+            if size > n or start < 0 or not circular and start + size > n:
+                continue
+            arm = (s * 2)[start : start + size]
+            places = range(n if circular else n - size + 1)
+            text = s * 2 if circular else s
+            other = [i for i in places if text[i : i + size] == arm and i != start or arm != dna.complement_text(arm) and text[i : i + size] == dna.complement_text(arm)]
+            options.append((start, size, arm, not other))
+        want[cid, name] = options
+        tm |= {o[2]: None for o in options}
+    arms = spark.createDataFrame([(a,) for a in tm], "a string")
+    tm = dict(arms.select("a", dna.melting_temperature(F.col("a"), oligo_nm=250.0, table="2004")).collect())
+    for r in survey.junction_arms(df).collect():
+        options = want[r.construct_id, r.junction]
+        if not options:
+            assert (r.arm, r.start, r.usable) == (None, None, False)
+            continue
+        best = next((o for o in options if o[3] and tm[o[2]] >= 48), options[-1])
+        assert (r.start, r.end - r.start, r.arm, r.unique) == best
+        assert r.usable == (best[3] and tm[best[2]] >= 48)
+
+
+def test_repeats_that_cross_and_rule_sets(spark):
+    pairs = spark.createDataFrame([(1, 0, 100, 20, 80), (1, 100, 150, 20, 30), (1, 95, 300, 20, 185), (1, 300, 400, 20, 80), (2, 0, 100, 20, 80)], "construct_id long, first int, second int, length int, spacer int")
+    inserts = spark.createDataFrame([(1, 100, 200)], "construct_id long, start int, end int")
+    assert [(r.first, r.second) for r in placement.crossing_repeats(pairs, inserts).collect()] == [(0, 100)]
+    context = rules.slots(spark).where("host = 'e_coli_k12' and modality = 'bacterial_expression'")
+    none = dict(rules.rule_set(context).collect())
+    right = dict(rules.rule_set(context, "viennarna:rna_turner2004").collect())
+    assert (none["b1_five_prime"], right["b1_five_prime"], none["d3_splicing"], none["e1_homopolymers"]) == ("unrunnable", "run", "gated_out", "run")
+    with pytest.raises(ValueError, match="b1_five_prime"):
+        rules.rule_set(context, "other:1")
