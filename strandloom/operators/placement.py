@@ -55,35 +55,25 @@ def frame_scores(frames: DataFrame, features: DataFrame) -> DataFrame:
     Every signal is a row of points; a frame's rows are summed.  ``reasons`` lists them as ``signal:points``, sorted.  Promoters
     and polyA signals are looked for on a line, as positions are written; overlap runs round the origin.
     """
-    aa = F.floor((F.col("end") - F.col("start")) / 3)
-    keyed = frames.withColumn("circular", F.col("end") > F.col("length")).withColumn("frame", F.struct("start", "end", "strand"))
-    marks = features.select("construct_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), _kind().alias("kind"), _text().alias("text"))
+    keyed = frames.withColumn("frame", F.struct("start", "end", "strand"))
+    marks = features.select("construct_id", F.col("start").alias("f_start"), F.col("end").alias("f_end"), _kind().alias("kind"), _text().alias("text"))
     signal = lambda name, points: F.struct(F.lit(name).alias("signal"), F.lit(points).alias("points"))
 
-    bonus = F.least(F.lit(MOST_FOR_LENGTH), F.floor(aa / 100) * PER_100_AA).cast("int")
-    rows = [keyed.select("construct_id", "frame", F.struct(F.lit("length").alias("signal"), bonus.alias("points")).alias("s"))]
-
-    # A feature may run over the origin though the frame does not, so overlap is looked for on a circle in any case.
-    over = intervals.overlap_join(
-        keyed.select("construct_id", "start", "end", "strand", "length", F.lit(True).alias("circular"), "frame"),
-        marks.where(F.col("kind").isin("cds", "rep_origin")).withColumn("r_j", F.monotonically_increasing_id()),
+    # One join finds the features that overlap a frame or lie within a codon of its start; which of them count is seen on the
+    # pair.  A feature may run over the origin though the frame does not, so the join is that of a circle.
+    wanted = F.col("kind").isin("cds", "rep_origin", "sig_peptide") | (F.col("kind") == "regulatory") & F.lower("text").contains("kozak")
+    wide = marks.where(wanted).withColumn("r_j", F.monotonically_increasing_id()).withColumn("r_start", F.greatest(F.col("f_start") - 4, F.lit(0))).withColumn("r_end", F.col("f_end") + 4)
+    near = intervals.overlap_join(keyed.select("construct_id", "start", (F.col("end") + 1).alias("end"), "strand", "length", F.lit(True).alias("circular"), "frame"), wide)
+    held = intervals.overlap_length(F.col("frame.start"), F.col("frame.end"), F.col("f_start"), F.col("f_end"), F.col("length"), F.lit(True)) > 0
+    first = F.when(F.col("strand") == 1, F.col("frame.start")).otherwise(F.col("frame.end"))
+    edge = F.when(F.col("strand") == 1, F.col("f_start")).otherwise(F.col("f_end"))
+    what = (
+        F.when((F.col("kind") == "rep_origin") & held, signal("origin", ORIGIN))
+        .when((F.col("kind") == "cds") & held, F.when(presets.is_marker(F.col("text")), signal("marker", MARKER)).otherwise(signal("cds", OVERLAPS_CDS)))
+        .when((F.col("kind") == "regulatory") & first.between(F.col("f_start") - 3, F.col("f_end") + 3), signal("kozak", KOZAK))
+        .when((F.col("kind") == "sig_peptide") & (F.abs(edge - first) <= 3), signal("signal_peptide", SIGNAL_PEPTIDE))
     )
-    held = F.when(F.col("kind") == "rep_origin", signal("origin", ORIGIN)).when(presets.is_marker(F.col("text")), signal("marker", MARKER)).otherwise(signal("cds", OVERLAPS_CDS))
-    rows.append(over.select("construct_id", "frame", held.alias("s")))
-
-    width = 500
-    first = F.when(F.col("strand") == 1, F.col("start")).otherwise(F.col("end"))
-    begins = keyed.select("construct_id", "frame", "strand", first.alias("first")).withColumn("bin", F.floor(F.col("first") / width))
-    near = marks.where((F.col("kind") == "sig_peptide") | (F.col("kind") == "regulatory") & F.lower("text").contains("kozak"))
-    near = near.withColumn("bin", F.explode(F.sequence(F.floor((F.col("r_start") - 3) / width), F.floor((F.col("r_end") + 3) / width))))
-    edge = F.when(F.col("strand") == 1, F.col("r_start")).otherwise(F.col("r_end"))
-    touches = F.when(F.col("kind") == "regulatory", F.col("first").between(F.col("r_start") - 3, F.col("r_end") + 3)).otherwise(F.abs(edge - F.col("first")) <= 3)
-    at_start = begins.join(near, ["construct_id", "bin"]).where(touches)
-    rows.append(at_start.select("construct_id", "frame", F.when(F.col("kind") == "regulatory", signal("kozak", KOZAK)).otherwise(signal("signal_peptide", SIGNAL_PEPTIDE)).alias("s")))
-
-    whitelisted = _kind().isin(*REPEAT_KINDS) | F.lower(_label()).rlike("|".join(REPEAT_LABELS))
-    arms = features.where(whitelisted).groupBy("construct_id").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("lo"), F.max("start").alias("hi")).where("n >= 2")
-    rows.append(keyed.join(arms, "construct_id").where("lo <= start and end <= hi").select("construct_id", "frame", signal("payload", PAYLOAD).alias("s")))
+    rows = [near.select("construct_id", "frame", what.alias("s")).where("s is not null")]
 
     targets = keyed.select("construct_id", F.col("frame").alias("j"), "start", "end", "strand", "length", F.lit(False).alias("circular"))
     kinds = {"promoter": (_kind() == "promoter") & ~presets.is_marker(_text()), "polya": _kind().isin(*ELEMENTS["polya"][0])}
@@ -92,9 +82,14 @@ def frame_scores(frames: DataFrame, features: DataFrame) -> DataFrame:
     found = survey.nearest(targets, elements).where(F.col("distance") <= F.when(F.col("element") == "promoter", PROMOTER_BP).otherwise(POLYA_BP))
     rows.append(found.select("construct_id", F.col("j").alias("frame"), F.when(F.col("element") == "promoter", signal("promoter", PROMOTER)).otherwise(signal("polya", POLYA)).alias("s")))
 
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
+    whitelisted = _kind().isin(*REPEAT_KINDS) | F.lower(_label()).rlike("|".join(REPEAT_LABELS))
+    arms = features.where(whitelisted).groupBy("construct_id").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("lo"), F.max("start").alias("hi")).where("n >= 2")
+    aa = F.floor((F.col("end") - F.col("start")) / 3).cast("int")
+    bonus = F.struct(F.lit("length").alias("signal"), F.least(F.lit(MOST_FOR_LENGTH), F.floor(aa / 100) * PER_100_AA).cast("int").alias("points"))
+    payload = F.when((F.col("lo") <= F.col("start")) & (F.col("end") <= F.col("hi")), signal("payload", PAYLOAD))
+    own = keyed.join(arms, "construct_id", "left").select("construct_id", "frame", F.explode(F.array_compact(F.array(bonus, payload))).alias("s"))
+
+    every = own.unionByName(rows[0]).unionByName(rows[1])
     why = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "s.signal", "s.points"))), ",")
     made = every.groupBy("construct_id", "frame").agg(F.sum("s.points").cast("int").alias("score"), why.alias("reasons"))
     size = F.floor((F.col("frame.end") - F.col("frame.start")) / 3).cast("int")

@@ -128,9 +128,10 @@ def junction_arms(df: DataFrame, lengths: tuple[int, int] = (15, 40), least_tm:
         return F.struct(x["start"], x["arm"], x["n"], dna.melting_temperature(x["arm"], oligo_nm=250.0, table="2004").alias("tm"), unique.alias("unique"))
 
     rows = df.withColumn("_twice", F.concat("seq", F.when(F.col("circular"), F.substring("seq", 1, most)).otherwise("")))
-    rows = rows.withColumn("_arms", F.array_compact(F.transform(F.sequence(F.lit(least), F.lit(most)), arm))).withColumn("_arms", F.transform("_arms", measured))
-    good = F.filter("_arms", lambda x: x["unique"] & (x["tm"] >= least_tm))
-    rows = rows.withColumn("b", F.coalesce(F.get(good, F.lit(0)), F.try_element_at("_arms", F.lit(-1))))
+    none = F.lit(None).cast("struct<start:int,arm:string,n:int,tm:double,unique:boolean>")
+    # Once an arm will do, the longer ones are not measured.
+    pick = F.aggregate(F.array_compact(F.transform(F.sequence(F.lit(least), F.lit(most)), arm)), none, lambda best, x: F.when(best["unique"] & (best["tm"] >= least_tm), best).otherwise(measured(x)))
+    rows = rows.withColumn("b", pick)
     usable = F.coalesce(F.col("b.unique") & (F.col("b.tm") >= least_tm), F.lit(False))
     return rows.select("construct_id", "junction", "b.start", (F.col("b.start") + F.col("b.n")).alias("end"), "b.arm", "b.tm", "b.unique", usable.alias("usable"))
 
