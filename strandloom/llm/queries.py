@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontam, html_extract, langid, line_dedup, lm_score, media, mixing, near_dup, pii, toxicity
+from . import blocks, decontam, exact_dedup, filter_audit, html_extract, langid, line_dedup, lm_score, media, mixing, near_dup, pii, ranked_search, toxicity
 
 
 def _remainder(n: int) -> Column:
@@ -64,6 +64,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(blocks.read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(blocks.read(spark, sf_dir, "documents"), blocks.read(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.grouped(blocks.read(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(blocks.read(spark, sf_dir, "documents"), blocks.read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,9 +84,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontaminate, op4_main_text, op5_language_model, op6_media, op7_line_dedup, op8_language, op9_near_duplicates, op10_personal_data, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontaminate, op4_main_text, op5_language_model, op6_media, op7_line_dedup, op8_language, op9_near_duplicates, op10_personal_data, op11_filter_audit, op12_exact_dedup, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be said in SQL that is fast on whole tables; ``tests/llm`` hold them against brute force."""
-    return {}
+    """SQL of the operators that it can express; ``tests/llm`` hold the others against brute force."""
+    return {"op11_filter_audit": filter_audit.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_ranked_search": ranked_search.SQL}
