@@ -16,7 +16,6 @@ good if any says so, toxic if any says so.  Empty tables give no rows.  Extra co
 from __future__ import annotations
 
 import itertools
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,8 @@ from . import exact_dedup
 FILTERS = "ABCDE"
 #: Fixed values of the filters: fewest words; least percentage of distinct words; largest percentage of capitals; odd characters.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, ODD = 50, 65, 5, "[#$%&*|]"
+#: White space between words.
+SPACE = r"[\x20\x09-\x0D]"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 SCHEMA = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -36,11 +37,11 @@ SCHEMA = "part string, filter_order string, step int, " + ", ".join(f"{c} long"
 def text_mask(text: Column) -> Column:
     """Bits 0 to 3: whether ``text`` fails A, B, C, D."""
     text = exact_dedup.plain(text)
-    pieces = F.split(text, r"[\x20\x09-\x0D]+")  # at most the first and last piece are empty
-    blank = F.size(F.filter(F.array(F.get(pieces, 0), F.get(pieces, F.size(pieces) - 1)), lambda w: w == ""))
-    n = F.when(F.size(pieces) == 1, F.when(F.get(pieces, 0) == "", 0).otherwise(1)).otherwise(F.size(pieces) - blank)
-    different = F.size(F.array_distinct(pieces)) - F.when(blank > 0, 1).otherwise(0)
-    capitals = F.char_length(text) - F.char_length(F.translate(text, string.ascii_uppercase, ""))
+    pieces = F.split(text, SPACE + "+")  # words, and an empty piece before a leading and behind a trailing space
+    before, behind, none = (c.cast("int") for c in (text.rlike(f"^{SPACE}"), text.rlike(rf"{SPACE}\z"), text == ""))
+    n = F.size(pieces) - before - behind - none
+    different = F.size(F.array_distinct(pieces)) - F.greatest(before, behind, none)
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     fails = (n < LEAST_WORDS, 100 * different.cast("long") < LEAST_DISTINCT * n.cast("long"), 100 * capitals.cast("long") > MOST_CAPITALS * F.char_length(text), text.rlike(ODD))
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
 
