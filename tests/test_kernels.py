@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom import dims, verify
 from strandloom.functions import arrays, dna, intervals
-from strandloom.operators import design, evaluation, kmers, presets, runs, scan, scoring, solver, transcript, vendors, windows
+from strandloom.operators import catalog, design, evaluation, kmers, presets, repair, runs, scan, scoring, solver, transcript, vendors, windows
 
 DNA = st.text("ACGT", min_size=3, max_size=60)
 AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -99,10 +99,14 @@ def test_band_and_greedy_and_repair():
     greedy = solver.greedy_back_translate(protein, 1, cost, ["GAATTC"])
     assert "GAATTC" not in greedy and len(greedy) == 3 * len(protein)
     start = solver.back_translate("M" + "K" * 6 + "GGGGS" * 6, 1, {c: -c.count("A") for c in dims.CODONS}, stop=False)
-    fixed, still = solver.repair(start, "M" + "K" * 6 + "GGGGS" * 6, 1, max_at=5, repeat=12)
+    protein = "M" + "K" * 6 + "GGGGS" * 6
+    whole = evaluation.Construct(start, False, [{"start": 0, "end": len(start), "kind": evaluation.DESIGNABLE}])
+    rules_ = {"e1_homopolymers": {"max_at": 5}, "f1_direct_repeats": {"min_len": 8, "hard_len": 12}}
+    count = lambda seq: len([b for s in rules_ for b in catalog.rule_set([s], rules_)[s](evaluation.Construct(seq, False, whole.segments)) if catalog.CATALOG[s].fails(*b[:3], b[4])])
+    made = repair.repair(whole, 0, protein, 1, tuple(rules_), rules_)
     code = dims.genetic_code(1)
-    assert "".join(code[fixed[i : i + 3]] for i in range(0, len(fixed), 3)) == "M" + "K" * 6 + "GGGGS" * 6
-    assert len(still) < len(solver.find_breaches(start, max_at=5, repeat=12))
+    assert "".join(code[made.cds[i : i + 3]] for i in range(0, len(made.cds), 3)) == protein
+    assert count(made.seq) < count(start)
 
 
 def test_design_needs_a_verdict(spark):
