@@ -142,13 +142,13 @@ def window_shares(codes: np.ndarray, circular: bool, width: int) -> np.ndarray:
     return (total[width:] - total[:-width]) / width
 
 
-def at_regions(share: np.ndarray, circular: bool, starts: np.ndarray, lo: float, hi: float) -> list[tuple[int, str, float]]:
-    """(start, kind, magnitude) of each run of windows outside the preferred band among ``starts`` (neighbours in order).
+def at_regions(share: np.ndarray, circular: bool, starts: np.ndarray, lo: float, hi: float, band: tuple[float, float] = AT_SOFT) -> list[tuple[int, str, float]]:
+    """(start, kind, magnitude) of each run of windows outside ``band`` among ``starts`` (neighbours in order).
 
     Where ``starts`` is a whole circle its last run joins its first.
     """
     value = share[starts]
-    off = (value < AT_SOFT[0]) | (value > AT_SOFT[1])
+    off = (value < band[0]) | (value > band[1])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], off.astype(np.int8), [0])))).reshape(-1, 2).tolist()
     groups = [starts[a:b] for a, b in edge]
     if circular and len(starts) == len(share) and len(groups) > 1 and off[0] and off[-1]:
