@@ -163,18 +163,42 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return blocks.span_hashes(data, starts, ends)[0], starts, ends, bounds, data, offsets
 
 
+def phrases(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``phrase, item`` of ``benchmark(item_id, text)``, each pair once: a phrase is its words' hashes, 8 bytes each.
+
+    An item without an id has a null ``item``; null texts and texts without words have no phrase.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.row_blocks(batches, "text"):
+            hashes, _, _, bounds, _, _ = _tokens(block.column(1))
+            size = np.diff(bounds)
+            many = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+            row = np.repeat(np.arange(len(size)), many)
+            first = bounds[:-1][row] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            body = hashes.tobytes()
+            made = [body[8 * a : 8 * b] for a, b in zip(first.tolist(), np.minimum(first + width, bounds[1:][row]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), block.column(0).take(pa.array(row))], ["phrase", "item"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "phrase binary, item string").distinct()
+
+
 def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_phrases: int = 200_000) -> Iterator[Phrases]:
-    """The distinct phrases of ``benchmark(item_id, text)`` in blocks; an item's phrases may span blocks."""
+    """The distinct phrases of ``benchmark(item_id, text)`` in blocks; an item's phrases may span blocks.
+
+    Phrases are made and told apart by Spark and come to the driver a partition at a time.  A block has at most ``block_phrases``
+    phrases and four times as many item ids, and so has what is broadcast: a phrase of more items is in several blocks.
+    """
     found: dict[bytes, set[str]] = {}
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").toLocalIterator():
-        hashes, *_ = _tokens(pa.array([r["text"]], pa.string()))
-        if not len(hashes):
-            continue
-        for k in range(max(1, len(hashes) - width + 1)):
-            found.setdefault(hashes[k : k + width].tobytes(), set()).add(r["i"])
-            if len(found) >= block_phrases:
-                yield _pack(found, width)
-                found = {}
+    pairs = 0
+    for r in phrases(benchmark, width).repartition("phrase").sortWithinPartitions("phrase", "item").toLocalIterator():
+        if r["phrase"] not in found and len(found) >= block_phrases or pairs >= 4 * block_phrases:
+            yield _pack(found, width)
+            found, pairs = {}, 0
+        named = found.setdefault(bytes(r["phrase"]), set())
+        if r["item"] is not None:
+            named.add(r["item"])
+        pairs += 1
     if found:
         yield _pack(found, width)
 
@@ -320,6 +344,9 @@ def _cut(block: pa.RecordBatch, text: int) -> pa.RecordBatch:
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = 4 << 20, block_phrases: int = 200_000) -> DataFrame:
     """``doc_id, n_words, spans, items`` of each row of ``docs(doc_id, text)``, in as many rows.
 
+    Items without an id are searched for like any other: their words are hit, but there is no id to name.  Rows of one ``item_id`` are one
+    item of several texts.
+
     ``spans`` are merged removal spans in characters (end exclusive) with their first and last word; ``items``
     are the ids of benchmark items with an occurring phrase, sorted as strings.
     """

@@ -299,6 +299,21 @@ def brute_blocks(rows, min_words=25):
     return gone
 
 
+def test_decontamination_of_odd_items(spark):
+    """Null ids hit without a name, alone or beside a named item of the same phrase; repeats and shared ids are one item; any block size."""
+    long = "one two three four five six seven eight nine ten eleven"
+    items = [(None, long), (1, long), (1, long), (2, "a rare pair"), (2, "other words"), (None, "only nameless"), (3, None), (4, ""), (5, "--- ..."), *[(100 + k, "common phrase") for k in range(30)]]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("phrase", F.lit(1)).withColumn("item", F.lit(2))
+    texts = [long + " tail", "x a rare pair, other words", "ONLY nameless here", "a common phrase", "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hundred = sorted(str(100 + k) for k in range(30))
+    for size in (200_000, 2):
+        got = {r.doc_id: (r.n_words, sum(s.last_word - s.first_word + 1 for s in r.spans), list(r["items"])) for r in decontam.find(docs, bench, block_phrases=size).collect()}
+        assert got == {0: (12, 11, ["1"]), 1: (6, 5, ["2"]), 2: (3, 2, []), 3: (3, 2, hundred), 4: (1, 0, []), 5: (0, 0, [])}
+        counts = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.report(decontam.find(docs, bench, block_phrases=size)).collect()}
+        assert counts[2] == (2, 0, True) and counts[0] == (11, 1, True) and counts[5] == (0, 0, False)
+
+
 def test_line_dedup(spark, docs):
     rng = random.Random(2)
     passage = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(20)) + f" {k}" for k in range(4)]
