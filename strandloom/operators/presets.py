@@ -36,6 +36,15 @@ def resolve(presets: DataFrame, implemented: DataFrame) -> DataFrame:
     return presets.join(F.broadcast(known), "spec_id", "left").select("preset_id", "spec_id", "weight", status.alias("status"))
 
 
+def resolve_slots(presets: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Like :func:`resolve`, by the slots a preset meets: the rows of ``matrix`` (:func:`rules.gate_matrix`) of its modality, with what else they hold.
+
+    A weight on a rule that is hard in the slot is ``hard``, whatever the rule's class says.
+    """
+    slot = F.when(F.col("slot_enforcement") != "SOFT", "hard").otherwise("weighted")
+    return matrix.join(F.broadcast(presets), ["modality", "spec_id"]).withColumn("status", slot)
+
+
 def weights_for(scores: DataFrame, preset_id: str | None) -> DataFrame:
     """Score rows with ``weight``: the preset's where it names the rule, else the rule's default."""
     spark = scores.sparkSession

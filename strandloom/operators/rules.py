@@ -50,8 +50,8 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, FIELDS)
 
 
-def rule_set(context: DataFrame, engine: str | None = None) -> DataFrame:
-    """``spec_id, status`` of the rules over the slots of a context: ``run``, ``gated_out`` or ``unrunnable``.
+def rule_set(context: DataFrame, engine: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``spec_id, status`` of the rules over the slots of a context (of each, told apart by the columns ``by``): ``run``, ``gated_out`` or ``unrunnable``.
 
     Rules that rest on folklore are left out.  Those of :data:`CALIBRATED` run on one folding engine: without an engine they are
     unrunnable, which is reported; on another it is an error, as their thresholds would mean nothing there.
@@ -61,8 +61,8 @@ def rule_set(context: DataFrame, engine: str | None = None) -> DataFrame:
         raise ValueError(f"the folding engine is {engine}, but thresholds were measured on another: {', '.join(wrong)}")
     unready = F.col("spec_id").isin(*CALIBRATED) if engine is None else F.lit(False)
     folklore = [r[0] for r in RULES if r[2] == "FOLKLORE"]
-    made = gate_matrix(context).where(~F.col("spec_id").isin(*folklore)).groupBy("spec_id").agg(F.max("gated_in").alias("_in"))
-    return made.select("spec_id", F.when(unready, "unrunnable").when(F.col("_in"), "run").otherwise("gated_out").alias("status"))
+    made = gate_matrix(context).where(~F.col("spec_id").isin(*folklore)).groupBy(*by, "spec_id").agg(F.max("gated_in").alias("_in"))
+    return made.select(*by, "spec_id", F.when(unready, "unrunnable").when(F.col("_in"), "run").otherwise("gated_out").alias("status"))
 
 
 def slots(spark: SparkSession) -> DataFrame:
@@ -97,11 +97,11 @@ def enforcement_for() -> Column:
     )
 
 
-def scored_objectives(matrix: DataFrame) -> DataFrame:
+def scored_objectives(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``spec_id`` of the rules that are soft and stay soft in every gated slot of a context (:func:`gate_matrix` rows)."""
     hard = F.max((F.col("gated_in") & (F.col("slot_enforcement") != "SOFT")).cast("int"))
-    made = matrix.groupBy("spec_id").agg(F.first("enforcement").alias("enforcement"), hard.alias("hard"))
-    return made.where("enforcement = 'SOFT' and hard = 0").select("spec_id")
+    made = matrix.groupBy(*by, "spec_id").agg(F.first("enforcement").alias("enforcement"), hard.alias("hard"))
+    return made.where("enforcement = 'SOFT' and hard = 0").select(*by, "spec_id")
 
 
 def null_size() -> Column:
@@ -123,9 +123,9 @@ def severity(enforcement: Column) -> Column:
     return out
 
 
-def effective_enforcement(matrix: DataFrame) -> DataFrame:
-    """``spec_id, enforcement`` over a context's gated slots: the most severe (for a breach that names no slot)."""
-    return matrix.where("gated_in").groupBy("spec_id").agg(F.max_by("slot_enforcement", severity(F.col("slot_enforcement"))).alias("enforcement"))
+def effective_enforcement(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``spec_id, enforcement`` over a context's (each context's, told apart by the columns ``by``) gated slots: the most severe (for a breach that names no slot)."""
+    return matrix.where("gated_in").groupBy(*by, "spec_id").agg(F.max_by("slot_enforcement", severity(F.col("slot_enforcement"))).alias("enforcement"))
 
 
 def evaluate(breaches: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ def length_verdicts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select("construct_id", "length", F.array_join(accepting, ",").alias("accepting"), verdict.alias("verdict"))
 
 
-def envelope(profiles: DataFrame) -> DataFrame:
-    """One row: the tightest limits over profiles and which profiles bind them."""
-    tight = profiles.agg(F.min("homopolymer_at").alias("at"), F.min("homopolymer_gc").alias("gc"), F.max("gc_lo").alias("lo"), F.min("gc_hi").alias("hi"), F.collect_list(F.struct("key", "homopolymer_at", "gc_hi")).alias("_p"))
+def envelope(profiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of ``by``): the tightest limits over profiles and which profiles bind them."""
+    tight = profiles.groupBy(*by).agg(F.min("homopolymer_at").alias("at"), F.min("homopolymer_gc").alias("gc"), F.max("gc_lo").alias("lo"), F.min("gc_hi").alias("hi"), F.collect_list(F.struct("key", "homopolymer_at", "gc_hi")).alias("_p"))
     binders = lambda field, limit: F.array_join(F.array_sort(F.transform(F.filter("_p", lambda p: p[field] == F.col(limit)), lambda p: p["key"])), ",")
-    return tight.select("at", "gc", "lo", "hi", binders("homopolymer_at", "at").alias("at_binders"), binders("gc_hi", "hi").alias("hi_binders"))
+    return tight.select(*by, "at", "gc", "lo", "hi", binders("homopolymer_at", "at").alias("at_binders"), binders("gc_hi", "hi").alias("hi_binders"))
 
 
 def gc_breaches(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -82,21 +82,34 @@ MATRIX_SQL = f"""{RULE_VALUES}, {SLOT_VALUES}, matrix AS (SELECT role, host, mod
        WHEN spec_id = 'd6_non_b_dna' AND modality = 'bacterial_expression' THEN 'HARD_REPAIR' WHEN spec_id = 'd5_cryptic_transcription' THEN 'HARD_REPAIR' ELSE enforcement END AS slot_enforcement FROM rules, slots)"""
 
 
-@query("rule_gate_matrix", f"WITH {MATRIX_SQL} SELECT * FROM matrix")
+#: Every construct's context: its host and delivery by id, in each role.
+CONTEXT_SQL = f"""{SQL}, {MATRIX_SQL}, hosts AS (SELECT list_sort(list(DISTINCT host)) AS h FROM slots), k AS (SELECT construct_id, h[construct_id % {len(dims.HOST_TABLE)} + 1] AS host, {list(dims.MODALITIES)}[construct_id % {len(dims.MODALITIES)} + 1] AS modality FROM constructs, hosts),
+cm AS (SELECT k.construct_id, m.* FROM k JOIN matrix m ON k.host = m.host AND k.modality = m.modality)"""
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``construct_id, role, host, modality, table_id``: three slots a construct."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("construct_id") % n + 1).cast("int"))
+    hosts = sorted(dims.HOST_TABLE)
+    rows = constructs(spark, sf_dir).select("construct_id", pick(hosts, len(hosts)).alias("host"), pick(dims.MODALITIES, len(dims.MODALITIES)).alias("modality"))
+    table = F.element_at(F.create_map(*[F.lit(x) for pair in dims.HOST_TABLE.items() for x in pair]), F.col("host"))
+    return rows.select("construct_id", F.explode(F.array(*map(F.lit, dims.ROLES))).alias("role"), "host", "modality", table.alias("table_id"))
+
+
+@query("rule_gate_matrix", f"WITH {CONTEXT_SQL} SELECT * FROM cm")
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.gate_matrix(rules.slots(spark))
+    return rules.gate_matrix(contexts(spark, sf_dir))
 
 
-@query("effective_enforcement", f"""WITH {MATRIX_SQL}, k AS (SELECT *, CASE slot_enforcement WHEN 'SOFT' THEN 0 WHEN 'HARD_CHECK' THEN 1 WHEN 'HARD_REPAIR' THEN 2 ELSE 3 END AS sev FROM matrix WHERE gated_in AND host IN ('human', 'e_coli_k12') AND modality = 'lentiviral')
-SELECT spec_id, arg_max(slot_enforcement, sev) AS enforcement FROM k GROUP BY spec_id""")
+@query("effective_enforcement", f"""WITH {CONTEXT_SQL}, v AS (SELECT *, CASE slot_enforcement WHEN 'SOFT' THEN 0 WHEN 'HARD_CHECK' THEN 1 WHEN 'HARD_REPAIR' THEN 2 ELSE 3 END AS sev FROM cm WHERE gated_in)
+SELECT construct_id, spec_id, arg_max(slot_enforcement, sev) AS enforcement FROM v GROUP BY construct_id, spec_id""")
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = rules.slots(spark).where("host in ('human', 'e_coli_k12') and modality = 'lentiviral'")
-    return rules.effective_enforcement(rules.gate_matrix(context))
+    return rules.effective_enforcement(rules.gate_matrix(contexts(spark, sf_dir)), ("construct_id",))
 
 
-@query("scored_objectives", f"""WITH {MATRIX_SQL} SELECT spec_id FROM matrix WHERE host = 'human' AND modality = 'lentiviral' GROUP BY spec_id, enforcement HAVING enforcement = 'SOFT' AND NOT bool_or(gated_in AND slot_enforcement <> 'SOFT')""")
+@query("scored_objectives", f"""WITH {CONTEXT_SQL} SELECT construct_id, spec_id FROM cm GROUP BY construct_id, spec_id, enforcement HAVING enforcement = 'SOFT' AND NOT bool_or(gated_in AND slot_enforcement <> 'SOFT')""")
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scored_objectives(rules.gate_matrix(rules.slots(spark).where("host = 'human' and modality = 'lentiviral'")))
+    return rules.scored_objectives(rules.gate_matrix(contexts(spark, sf_dir)), ("construct_id",))
 
 
 def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +157,20 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 VENDOR_SQL = "vendors AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in v) + ")" for v in dims.VENDORS) + ") v(key, len_lo, len_hi, homopolymer_at, homopolymer_gc, gc_lo, gc_hi, five, three))"
 
 
-@query("vendor_envelope", f"""WITH {VENDOR_SQL}, t AS (SELECT min(homopolymer_at) AS a, min(homopolymer_gc) AS gc, max(gc_lo) AS lo, min(gc_hi) AS hi FROM vendors)
-SELECT a AS "at", gc, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, (SELECT string_agg(key, ',' ORDER BY key) FROM vendors WHERE homopolymer_at = a) AS at_binders, (SELECT string_agg(key, ',' ORDER BY key) FROM vendors WHERE gc_hi = hi) AS hi_binders FROM t""")
+@query("rule_null_sizes", f"""WITH {CONTEXT_SQL}, c(spec_id, cost) AS (VALUES {", ".join(f"('{r[0]}', '{r[8]}')" for r in rules.RULES)}) SELECT construct_id, spec_id, CASE cost WHEN 'cheap' THEN 200 WHEN 'moderate' THEN 40 ELSE 0 END AS variants FROM cm JOIN c USING (spec_id) WHERE role = 'target' AND gated_in""")
+def null_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants that each rule of a construct's target slot is compared with."""
+    rows = rules.gate_matrix(contexts(spark, sf_dir)).where("role = 'target' and gated_in").select("construct_id", "spec_id")
+    return rows.join(F.broadcast(rules.rules(spark)), "spec_id").select("construct_id", "spec_id", rules.null_size().alias("variants"))
+
+
+@query("vendor_envelope", f"""WITH {SQL}, {VENDOR_SQL}, p AS (SELECT construct_id, v.* FROM constructs JOIN vendors v ON length BETWEEN len_lo AND len_hi), t AS (SELECT construct_id, min(homopolymer_at) AS a, min(homopolymer_gc) AS gc, max(gc_lo) AS lo, min(gc_hi) AS hi FROM p GROUP BY construct_id)
+SELECT t.construct_id, a AS "at", gc, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, (SELECT string_agg(key, ',' ORDER BY key) FROM p WHERE p.construct_id = t.construct_id AND homopolymer_at = a) AS at_binders, (SELECT string_agg(key, ',' ORDER BY key) FROM p WHERE p.construct_id = t.construct_id AND gc_hi = hi) AS hi_binders FROM t""")
 def vendor_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vendors.envelope(dims.vendor_table(spark))
+    """The limits of all vendors that take a construct's length."""
+    takes = F.col("length").between(F.col("len_lo"), F.col("len_hi"))
+    profiles = constructs(spark, sf_dir).select("construct_id", "length").join(F.broadcast(dims.vendor_table(spark)), takes)
+    return vendors.envelope(profiles, ("construct_id",))
 
 
 @query("vendor_gc_breaches", f"""WITH {SQL}, g AS (SELECT construct_id, (length - length(replace(replace(seq, 'G', ''), 'C', ''))) / length AS gc FROM constructs WHERE length > 0)
@@ -215,9 +238,16 @@ def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.comparable_totals(_scores(spark, sf_dir)).withColumn("total", F.round("total", 9))
 
 
-@query("simplex_weights", "WITH p AS (SELECT a, b, 4 - a - b AS c, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS point FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b) WHERE a + b <= 4) SELECT point, 'x' AS axis, a / 4 AS weight FROM p UNION ALL SELECT point, 'y', b / 4 FROM p UNION ALL SELECT point, 'z', c / 4 FROM p")
+@query("simplex_weights", f"""WITH {SQL}, p AS (SELECT a, b, 4 - a - b AS c, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS point FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b) WHERE a + b <= 4),
+f AS (SELECT construct_id, (length - length(replace(seq, 'G', ''))) / length AS g, (length - length(replace(seq, 'C', ''))) / length AS cc, (length - length(replace(seq, 'A', ''))) / length AS aa FROM constructs WHERE length > 0)
+SELECT construct_id, point, round((a * g + b * cc + c * aa) / 4, 9) AS total FROM f, p""")
 def simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.simplex(spark, ["x", "y", "z"], 4)
+    """Shares of three bases of every construct, summed with each weighting of the lattice (15 points, broadcast)."""
+    points = scoring.simplex(spark, ["G", "C", "A"], 4)
+    share = lambda b: (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))) / F.length("seq")
+    parts = F.explode(F.create_map(*[x for b in "GCA" for x in (F.lit(b), share(b))])).alias("axis", "value")
+    rows = constructs(spark, sf_dir).where("length > 0").select("construct_id", parts)
+    return rows.join(F.broadcast(points), "axis").groupBy("construct_id", "point").agg(F.round(F.sum(F.col("weight") * F.col("value")), 9).alias("total"))
 
 
 @query("synonymous_variants", f"WITH {NULL_SQL} SELECT construct_id, CAST(variant AS INT) AS variant, string_agg(pick, '' ORDER BY i) AS cds FROM p GROUP BY construct_id, variant")
@@ -268,12 +298,12 @@ def windows_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-PRESET_VALUES = "presets AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}', {w})" for p, _, s, w in presets.PRESETS) + ") v(preset_id, spec_id, weight))"
-
-
-@query("preset_weights", f"""WITH {RULE_VALUES}, {PRESET_VALUES} SELECT preset_id, p.spec_id, CAST(weight AS DOUBLE) AS weight, CASE WHEN enforcement IS NULL THEN 'missing' WHEN enforcement <> 'SOFT' THEN 'hard' ELSE 'weighted' END AS status FROM presets p LEFT JOIN rules USING (spec_id)""")
+@query("preset_weights", f"""WITH {CONTEXT_SQL}, presets AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{m}', '{r}', {w})" for p, m, r, w in presets.PRESETS)}) v(preset_id, modality, spec_id, weight))
+SELECT construct_id, role, preset_id, spec_id, CAST(weight AS DOUBLE) AS weight, CASE WHEN slot_enforcement <> 'SOFT' THEN 'hard' ELSE 'weighted' END AS status FROM cm JOIN presets USING (modality, spec_id)""")
 def preset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presets.resolve(presets.preset_table(spark), rules.rules(spark))
+    """The presets of each construct's delivery, resolved in its slots."""
+    made = presets.resolve_slots(presets.preset_table(spark), rules.gate_matrix(contexts(spark, sf_dir)))
+    return made.select("construct_id", "role", "preset_id", "spec_id", "weight", "status")
 
 
 @query("score_report")

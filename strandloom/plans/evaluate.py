@@ -204,11 +204,6 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("construct_id", F.col("a.pos").alias("lowest"), (-F.col("z.minus")).alias("highest"), F.col("a.gc").alias("least"), F.col("z.gc").alias("most"))
 
 
-@query("rule_null_sizes", "SELECT spec_id, CASE cost WHEN 'cheap' THEN 200 WHEN 'moderate' THEN 40 ELSE 0 END AS variants FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[8]}')" for r in rules.RULES) + ") v(spec_id, cost)")
-def null_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.rules(spark).select("spec_id", rules.null_size().alias("variants"))
-
-
 @query("circular_pair_span", f"""WITH {SQL}, {FEATURES_SQL}, p AS (SELECT a.construct_id, a.j, b.j AS r_j, a.start AS s1, a."end" AS e1, b.start AS s2, b."end" AS e2, a.length, a.circular FROM features a JOIN features b ON a.construct_id = b.construct_id AND a.start < b.start WHERE a.j < 3 AND b.j >= 3)
 SELECT construct_id, j, r_j, CAST(CASE WHEN wraps THEN s2 ELSE s1 END AS INT) AS start, CAST(CASE WHEN wraps THEN e1 + length ELSE greatest(e1, e2) END AS INT) AS "end" FROM (SELECT *, circular AND e2 <= length AND length - (e2 - s1) >= 0 AND length - (e2 - s1) < s2 - e1 AS wraps FROM p) q""")
 def pair_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

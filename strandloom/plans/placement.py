@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, kmers, placement, presets, rules, survey
 from .derived import FEATURES_SQL, SQL, constructs, features
-from .engine import MATRIX_SQL
+from .engine import CONTEXT_SQL, contexts
 from .evaluate import _ORF
 from .registry import query
 
@@ -168,7 +168,7 @@ def insert_shared_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.crossing_repeats(kmers.direct_repeats(base, 20), inserts)
 
 
-@query("rule_set_lentiviral_human", f"""WITH {MATRIX_SQL} SELECT spec_id, CASE WHEN spec_id IN ('b1_five_prime', 'b2_structure_windows') THEN 'unrunnable' WHEN bool_or(gated_in) THEN 'run' ELSE 'gated_out' END AS status FROM matrix WHERE host = 'human' AND modality = 'lentiviral' GROUP BY spec_id""")
+@query("rule_set_lentiviral_human", f"""WITH {CONTEXT_SQL} SELECT construct_id, spec_id, CASE WHEN spec_id IN ('b1_five_prime', 'b2_structure_windows') THEN 'unrunnable' WHEN bool_or(gated_in) THEN 'run' ELSE 'gated_out' END AS status FROM cm WHERE host = 'human' OR modality = 'lentiviral' GROUP BY construct_id, spec_id""")
 def rule_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No folding engine is here, so its rules are reported as unrunnable."""
-    return rules.rule_set(rules.slots(spark).where("host = 'human' and modality = 'lentiviral'"))
+    """Of constructs for human cells or lentiviral delivery.  No folding engine is here, so its rules are reported as unrunnable."""
+    return rules.rule_set(contexts(spark, sf_dir).where("host = 'human' or modality = 'lentiviral'"), by=("construct_id",))
