@@ -171,6 +171,7 @@ _least = lambda least: lambda kind, start, end, magnitude: magnitude >= least  #
 _KEYS = {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "string", "enum": [v[0] for v in dims.VENDORS]}}
 
 register("d1_restriction_sites", _is)(evaluation.restriction_sites)
+register("d2_recombinase_sites", _least(1.0), partials={"type": "boolean"})(evaluation.recombinase_sites)
 register("d3_splicing", _least(3.0), acceptors={"type": "boolean"}, table_id={"type": "integer", "enum": sorted(dims.DIFFERENCES)})(evaluation.splice_sites)
 register("d4_internal_polya", _least(1.0))(evaluation.polya_signals)
 register("d8_cpg_depletion", _least(1.0), criterion={"type": "string", "enum": sorted(evaluation.ISLANDS)})(evaluation.cpg_island)

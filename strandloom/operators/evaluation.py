@@ -7,6 +7,7 @@ A construct's scan is NumPy over its bases; Python loops run over hits alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +29,8 @@ SEGMENTS = "array<struct<start:int,end:int,kind:string>>"
 TRACT, TRACT_WIDTH, TRACT_LEAST = (5, 40), 10, 8
 BRANCH, BRANCH_AT = "YTNAY", (18, 40)
 V5 = "GKPIPNPLLGLDST"
+#: Bases of the longest recombination site: fixed value.
+LONGEST_SITE = 34
 #: CpG islands: length, GC, observed over expected.  Fixed values.
 ISLANDS = {"gardiner_garden": (200, 0.50, 0.60), "takai_jones": (500, 0.55, 0.65)}
 
@@ -264,6 +267,26 @@ def repetitive_regions(c: Construct, k: int = 9, window: int = 100, flag: float
             yield "repetitive", begin + region[0], begin + region[1], 1, region[2], True
 
 
+def recombinase_sites(c: Construct, partials: bool = True) -> Iterator[Breach]:
+    """d2: whole recombination sites, 1, and half sites and cores that lie in no whole one, 0.3; both strands, each span once, over the origin."""
+    kinds = transcript.RECOMBINASE | (transcript.RECOMBINASE_PARTS if partials else {})
+    found: dict[tuple[str, int, int], int] = {}
+    for strand in (1, -1):
+        text = c.strand(strand)
+        text = text + text[:LONGEST_SITE] if c.circular else text
+        for name, pattern in kinds.items():
+            for m in re.finditer(pattern, text):
+                if m.start() < c.n:
+                    lo = c.at(m.start(), len(m[0]), strand)
+                    found.setdefault((name, lo, lo + len(m[0])), strand)
+    whole = [(a, b) for name, a, b in found if name in transcript.RECOMBINASE]
+    turns = (0, c.n, -c.n) if c.circular else (0,)
+    for (name, a, b), strand in sorted(found.items(), key=lambda x: (x[0][1:], x[0][0])):
+        part = name in transcript.RECOMBINASE_PARTS
+        if not (part and any(x <= a + t and b + t <= y for x, y in whole for t in turns)):
+            yield name, a, b, strand, 0.3 if part else 1.0, c.touches_cds(a, b)
+
+
 #: Rules by id; each gives the breaches of a construct.
 EVALUATORS: dict[str, Callable[[Construct], Iterator[Breach]]] = {
     "d1_restriction_sites": restriction_sites,

@@ -104,3 +104,19 @@ def synthesis_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """e5 on ordered fragments with their adapters, at places on the construct."""
     found = catalog.breaches(ordered(spark, sf_dir), include=["e5_synthesis_repeats"], vendors=ADAPTER_ON)
     return found.select("construct_id", "kind", "start", "end", "magnitude", "fails")
+
+
+#: Sites set into constructs by id, over the origin of circles: three whole ones and a half site.
+_PLANTED = ["ATAACTTCGTATAGCATACATTATACGAAGTTAT", "GAAGTTCCTATTCTCTAGAAAGTATAGGAACTTC", "ACAAGTTTGTACAAAAAAGCAGGCT", "ATAACTTCGTATAC"]
+
+
+@query("breaches_d2_recombinase_sites", f"""WITH {SQL}, k AS (SELECT construct_id, circular, length, {_PLANTED}[construct_id % 5 + 1] AS site FROM constructs WHERE length >= 60 AND construct_id % 5 < 4)
+SELECT construct_id, ['loxP_family', 'FRT', 'Gateway_attB1', 'loxP_half_site'][construct_id % 5 + 1] AS name, CAST(CASE WHEN circular THEN length + length(site) - length(site) // 2 ELSE length END AS INT) AS start, CASE WHEN construct_id % 5 = 3 THEN 0.3 ELSE 1.0 END AS magnitude FROM k""")
+def planted_recombinases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sites hide the partial ones inside them; a half site alone is found."""
+    rows = constructs(spark, sf_dir).where("length >= 60 and construct_id % 5 < 4")
+    site = F.element_at(F.array(*map(F.lit, _PLANTED)), (F.col("construct_id") % 5 + 1).cast("int"))
+    rows = rows.withColumn("site", site).withColumn("half", F.expr("cast(div(length(site), 2) as int)"))
+    seq = F.when(F.col("circular"), F.expr("concat(substring(site, half + 1), seq, substring(site, 1, half))")).otherwise(F.concat("seq", "site"))
+    made = rows.withColumn("seq", seq).select("construct_id", "seq", F.length("seq").alias("length"), "circular")
+    return catalog.breaches(made.withColumn("segments", F.lit(None).cast(evaluation.SEGMENTS)), include=["d2_recombinase_sites"]).select("construct_id", F.col("kind").alias("name"), "start", "magnitude")

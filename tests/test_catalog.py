@@ -116,6 +116,20 @@ def test_breaches_turn_with_the_circle():
     assert not [b for b in repeats.direct_repeats(Construct(seq[:400], False, both)) if b[1] == 100]
 
 
+def test_recombination_sites_on_both_strands_round_the_origin():
+    site = {"loxP_family": "ATAACTTCGTATAGCATACATTATACGAAGTTAT", "FRT": "GAAGTTCCTATTCTCTAGAAAGTATAGGAACTTC", "Gateway_attB1": "ACAAGTTTGTACAAAAAAGCAGGCT", "loxP_half_site": "TATACGAAGTTAT"}
+    rest = "CCGGTTAACCGGACTGACTG" * 4
+    for name, text in site.items():
+        for strand, there in ((1, text), (-1, dna.complement_text(text))):
+            seq = rest + there
+            for by in (0, 30, len(rest) + 5, len(seq) - 1):
+                found = list(evaluation.recombinase_sites(Construct(seq[by:] + seq[:by], True)))
+                assert [b[0] for b in found] == [name], (name, strand, by, found)
+                assert found[0][1] == (len(rest) - by) % len(seq) and found[0][2] - found[0][1] == len(text)
+                assert found[0][4] == (0.3 if "half" in name else 1.0) and (name.startswith("loxP") or found[0][3] == strand)
+    assert not list(evaluation.recombinase_sites(Construct(rest + site["loxP_half_site"], True), partials=False))
+
+
 def test_rule_sets_are_checked():
     assert set(catalog.rule_set()) == set(catalog.CATALOG)
     assert set(catalog.CATALOG) <= {r[0] for r in rules.RULES}
