@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dna
 from .scan import positions
 
 CAP = 200

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import dna, intervals
-from ..operators import evaluation, rules, survey, transcript, windows
+from ..operators import evaluation, survey, transcript, windows
 from .derived import FEATURES_SQL, SQL, constructs, features
 from .registry import query
 from .sequence import _gc_sql, _starts_sql
