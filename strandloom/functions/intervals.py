@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,27 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 500) -> DataFra
     right_keyed = right.join(other, "construct_id").withColumn("bin", F.explode(bins(F.col("r_start"), F.col("r_end"), F.col("length"), F.col("circular"), width))).drop("length", "circular")
     share = overlap_length(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), F.col("length"), F.col("circular"))
     return keyed.join(right_keyed, ["construct_id", "bin"]).withColumn("overlap", share).where("overlap > 0").drop("bin").distinct()
+
+
+def islands(rows: DataFrame, start: Column, end: Column, length: Column, circular: Column, by: tuple[str, ...] = ("construct_id",)) -> DataFrame:
+    """Rows with ``island, island_start, island_end``: intervals that share bases, directly or through others, are one island.
+
+    On a circle an interval may run over the origin, and the island that does so takes in those it meets there; its end is past
+    ``length``.  Islands that go all the way round are (0, length).  Intervals that only touch are apart; empty ones and
+    those without a start or an end are left out.  Everything is one hash partitioning on ``by``.
+    """
+    line = Window.partitionBy(*by).orderBy("_a", "_b")
+    before, so_far, whole = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    turned = F.when(circular, start - F.pmod(start, length)).otherwise(F.lit(0))
+    made = rows.withColumn("_a", start - turned).withColumn("_b", end - turned).withColumn("_n", length).withColumn("_round", F.coalesce(circular, F.lit(False))).where("_b > _a")
+    made = made.withColumn("_new", F.coalesce((F.col("_a") >= F.max("_b").over(before)).cast("int"), F.lit(1)))
+    made = made.withColumn("_g", F.sum("_new").over(so_far)).withColumn("_first", F.max(F.when(F.col("_new") == 1, F.col("_a"))).over(so_far))
+    # The last island is the one that runs over the origin; those that begin before the place it comes to are part of it, a turn on.
+    made = made.withColumn("_last", F.max("_g").over(whole)).withColumn("_over", F.max("_b").over(whole) - F.col("_n"))
+    moved = F.col("_round") & (F.col("_first") < F.col("_over")) & (F.col("_g") < F.col("_last"))
+    made = made.withColumn("_turn", F.when(moved, F.col("_n")).otherwise(0)).withColumn("island", F.when(moved, F.col("_last")).otherwise(F.col("_g")))
+    each = Window.partitionBy(*by, "island")
+    made = made.withColumn("_lo", F.min(F.col("_a") + F.col("_turn")).over(each)).withColumn("_hi", F.max(F.col("_b") + F.col("_turn")).over(each))
+    around = F.col("_round") & (F.col("_hi") - F.col("_lo") > F.col("_n"))
+    made = made.withColumn("island_start", F.when(around, 0).otherwise(F.col("_lo"))).withColumn("island_end", F.when(around, F.col("_n")).otherwise(F.col("_hi")))
+    return made.drop("_a", "_b", "_n", "_round", "_new", "_g", "_first", "_last", "_over", "_turn", "_lo", "_hi")

@@ -301,10 +301,15 @@ BREACH = "construct_id long, spec_id string, kind string, start int, end int, st
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
 
 
-def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct], Iterator[Breach]]] | None = None) -> DataFrame:
-    """Breaches of every rule of ``evaluators`` (all of :data:`EVALUATORS`) on ``constructs(construct_id, seq, circular, segments)``."""
+def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct], Iterator[Breach]]] | None = None, shape: bool = False) -> DataFrame:
+    """Breaches of every rule of ``evaluators`` (all of :data:`EVALUATORS`) on ``constructs(construct_id, seq, circular, segments)``.
+
+    With ``shape`` each row carries its construct's ``length`` and ``circular``, so that breaches are merged round circles without a join.
+    """
     rules = evaluators or EVALUATORS
-    names = [x.split()[0] for x in BREACH.split(", ")]
+    schema = BREACH + ", length int, circular boolean" if shape else BREACH
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = _TYPES + [pa.int32(), pa.bool_()] if shape else _TYPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,11 +317,12 @@ def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct],
             for i in range(batch.num_rows):
                 row = [batch.column(k)[i].as_py() for k in range(4)]
                 c = Construct(row[1], row[2], row[3] or [])
-                out += [(row[0], spec, *b) for spec, rule in rules.items() for b in rule(c)]
+                more = (c.n, bool(c.circular)) if shape else ()
+                out += [(row[0], spec, *b, *more) for spec, rule in rules.items() for b in rule(c)]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _TYPES, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
 
-    return constructs.select("construct_id", "seq", "circular", F.col("segments").cast(SEGMENTS)).mapInArrow(run, BREACH)
+    return constructs.select("construct_id", "seq", "circular", F.col("segments").cast(SEGMENTS)).mapInArrow(run, schema)
 
 
 def recurrence(constructs: DataFrame, k: int = 12, least: int = 3) -> DataFrame:

@@ -235,17 +235,16 @@ def repeat_regions(pairs: DataFrame, least: int = 20) -> DataFrame:
     """``construct_id, start, end, pairs, longest, tandem, risk, worst_first, worst_second, worst_length, strain_helps``.
 
     Direct repeats ``(construct_id, first, second, length, spacer)`` that are not of low risk, by stretches of their first copies:
-    copies that overlap are one region, so a tandem array is one row.  The worst pair is of high risk if any is, then the
-    longest, then the first.  A recombination-deficient strain helps from 200 bases on alone.
+    copies that overlap are one region, so a tandem array is one row.  With ``size`` and ``circular`` of the construct
+    (:func:`strandloom.operators.repeats.pairs`) regions go on over the origin of circles, where ``end`` is past ``size``.  The worst pair is
+    of high risk if any is, then the longest, then the first.  A recombination-deficient strain helps from 200 bases on alone.
     """
     tandem = F.col("spacer") <= 0
     rows = pairs.where(F.col("length") >= least).withColumn("tandem", tandem).withColumn("risk", codons.repeat_risk(F.col("length"), F.col("spacer"), tandem)).where("risk <> 'low'")
-    rows = rows.withColumn("stop", F.col("first") + F.col("length"))
-    w = Window.partitionBy("construct_id").orderBy("first", "second", "length")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(F.col("first") < reach, 0).otherwise(1)).withColumn("_region", F.sum("_new").over(w))
+    size, circular = (F.col("size"), F.col("circular")) if "size" in pairs.columns else (F.lit(None).cast("int"), F.lit(False))
+    rows = intervals.islands(rows, F.col("first"), F.col("first") + F.col("length"), size, circular)
     worst = F.max(F.struct((F.col("risk") == "high").alias("high"), "length", (-F.col("first")).alias("first"), (-F.col("second")).alias("second")))
-    made = rows.groupBy("construct_id", "_region").agg(F.min("first").alias("start"), F.max("stop").alias("end"), F.count(F.lit(1)).alias("pairs"), F.max("length").alias("longest"), F.max("tandem").alias("tandem"), worst.alias("w"))
+    made = rows.groupBy("construct_id", "island").agg(F.first("island_start").alias("start"), F.first("island_end").alias("end"), F.count(F.lit(1)).alias("pairs"), F.max("length").alias("longest"), F.max("tandem").alias("tandem"), worst.alias("w"))
     return made.select(
         "construct_id", "start", "end", "pairs", "longest", "tandem", F.when(F.col("w.high"), "high").otherwise("moderate").alias("risk"),
         (-F.col("w.first")).alias("worst_first"), (-F.col("w.second")).alias("worst_second"), F.col("w.length").alias("worst_length"), (F.col("w.length") >= codons.RECA_BP).alias("strain_helps"),

@@ -9,12 +9,15 @@ facts do not depend on where a circle is cut.  Nothing is capped: a report that
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import dna
-from .evaluation import Breach, Construct
+from .evaluation import SEGMENTS, Breach, Construct
 from .kmers import _OTHER, _codes, _windows
 
 #: Bases of the bands of direct repeats, spacers and stems: fixed values.
@@ -230,3 +233,59 @@ def melting(seq: str, sodium_mm: float = 50.0, oligo_nm: float = 25.0, table: st
     strands = oligo_nm * 1e-9 if palindrome else (oligo_nm - oligo_nm / 2.0) * 1e-9
     return 1000.0 * enthalpy / (entropy + 1.987 * math.log(strands)) - 273.15
 
+
+#: Stems and loops of hairpins that are reported, whatever codons do: fixed values.
+HAIRPIN_STEM, HAIRPIN_LOOP = 20, 60
+
+
+def _held(c: Construct, start: int, size: int) -> bool:
+    """Whether one exempt segment holds all of an arm."""
+    return any(a <= start + t and start + size + t <= b for a, b in c.free for t in ((0, c.n, -c.n) if c.circular else (0,)))
+
+
+def _each(constructs: DataFrame, schema: str, types: list[pa.DataType], rows: Callable[[Construct], Iterator[tuple]]) -> DataFrame:
+    """Rows of every construct ``(construct_id, seq, circular, segments)`` in one map; null sequences and segments are empty ones."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, seq, circular, segments in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                found = [(cid, *r) for r in rows(Construct(seq or "", bool(circular), segments or []))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+    return constructs.select("construct_id", "seq", "circular", F.col("segments").cast(SEGMENTS)).mapInArrow(run, schema)
+
+
+def pairs(constructs: DataFrame, least: int = UNIQUE_BP) -> DataFrame:
+    """``construct_id, first, second, length, spacer, size, circular``: all maximal repeats but those with both arms in exempt segments.
+
+    ``size`` is the construct's length; arms of circles may run over the origin.  The first arm is the one that comes first on the arc
+    their spacer is measured on (:func:`span`), so what is first on a circle does not depend on where it is cut.
+    """
+
+    def rows(c: Construct) -> Iterator[tuple]:
+        for a, b, length in direct(c.seq, c.circular, least):
+            if not (_held(c, a, length) and _held(c, b, length)):
+                first = span(a, b, length, c.n, c.circular)[0]
+                yield first, a + b - first, length, spacer(a, b, length, c.n, c.circular), c.n, c.circular
+
+    i32 = pa.int32()
+    return _each(constructs, "construct_id long, first int, second int, length int, spacer int, size int, circular boolean", [pa.int64(), i32, i32, i32, i32, i32, pa.bool_()], rows)
+
+
+def hairpins(constructs: DataFrame, min_stem: int = HAIRPIN_STEM, max_loop: int = HAIRPIN_LOOP) -> DataFrame:
+    """``construct_id, start, end, second_start, second_end, stem, loop, palindrome``: stems that may extrude, one row each.
+
+    Stems with both arms in exempt segments are meant and left out.  Arms begin on the construct; on a circle they may end past the
+    origin.  Nothing is capped, and no codon choice mends a hairpin: what helps is a strain and a temperature.
+    """
+
+    def rows(c: Construct) -> Iterator[tuple]:
+        for a, b, stem, loop in stems(c.seq, c.circular, min_stem, max_loop):
+            b = b % c.n if c.circular else b
+            if not (_held(c, a, stem) and _held(c, b, stem)):
+                yield a, a + stem, b, b + stem, stem, loop, loop == 0
+
+    i32 = pa.int32()
+    return _each(constructs, "construct_id long, start int, end int, second_start int, second_end int, stem int, loop int, palindrome boolean", [pa.int64(), *[i32] * 6, pa.bool_()], rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import intervals
 
 #: Rule, enforcement, evidence, direction, weight, steering weight, localisation, repair policy, cost class: fixed values.
 RULES = [
@@ -152,19 +153,61 @@ def findings(breaches: DataFrame, enforcement: DataFrame) -> DataFrame:
     return routed.withColumn("route", route)
 
 
-def conflicts(breaches: DataFrame) -> DataFrame:
-    """``construct_id, start, end, rules, kind, binding``: overlapping breaches of two or more rules.
+#: Rules that pull against each other over a whole construct, whether or not their breaches overlap: fixed values.
+DECLARED = [
+    ("b8_kozak", "b9_out_of_frame_atg"), ("b8_kozak", "d1_restriction_sites"), ("c1_cai", "e5_synthesis_repeats"), ("c1_cai", "e6_repeat_density"), ("c1_cai", "f1_direct_repeats"),
+    ("d1_restriction_sites", "d2_recombinase_sites"), ("d5_cryptic_transcription", "d8_cpg_depletion"), ("d5_cryptic_transcription", "f5_at_window"), ("d8_cpg_depletion", "e2_gc_band"),
+    ("e2_gc_band", "e3_windowed_gc"), ("e2_gc_band", "e4_gc_extent"), ("e2_gc_band", "f5_at_window"), ("e3_windowed_gc", "f5_at_window"), ("e4_gc_extent", "f5_at_window"),
+]
+
 
-    Groups are islands of a running maximum of ends per construct.  Any unfixable breach makes the kind ``immutable_region``,
-    differing sides ``opposing_gradient``; a hard rule binds before a soft one, then the larger magnitude, then the rule id.
+def with_hardness(breaches: DataFrame, enforcement: DataFrame | None = None) -> DataFrame:
+    """Breaches with ``hard``: by the class of their rule, or by the effective ``enforcement(spec_id, enforcement)`` of the context.
+
+    An ``enforcement`` with a ``construct_id`` has a context for every construct.  It becomes one map a construct before it is
+    joined, so that breaches are shuffled on ``construct_id`` alone, as the merge behind it needs them.  A rule that the context
+    does not name keeps its class.
     """
-    w = Window.partitionBy("construct_id").orderBy("start", "end", "spec_id")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = breaches.withColumn("_new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(w))
-    hard = {r[0] for r in RULES if r[1] != "SOFT"}
-    rank = F.struct(F.col("spec_id").isin(*hard).alias("hard"), F.col("magnitude"), F.col("spec_id"))
-    made = grouped.groupBy("construct_id", "_g").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("spec_id")).alias("rules"), F.max(rank).alias("top"), F.min(F.col("fixable").cast("int")).alias("_fix"), F.count_distinct("side").alias("_sides")
-    )
+    of_class = F.col("spec_id").isin(*[r[0] for r in RULES if r[1] != "SOFT"])
+    if enforcement is None:
+        return breaches.withColumn("hard", of_class)
+    if "construct_id" not in enforcement.columns:
+        return breaches.join(F.broadcast(enforcement.select("spec_id", F.col("enforcement").alias("_e"))), "spec_id", "left").withColumn("hard", F.coalesce(F.col("_e") != "SOFT", of_class)).drop("_e")
+    maps = enforcement.groupBy("construct_id").agg(F.map_from_entries(F.collect_list(F.struct("spec_id", "enforcement"))).alias("_e"))
+    return breaches.join(maps, "construct_id", "left").withColumn("hard", F.coalesce(F.try_element_at("_e", "spec_id") != "SOFT", of_class)).drop("_e")
+
+
+def _first() -> Column:
+    """What puts the breach that binds first: hard before soft, then the larger magnitude, then place and rule."""
+    return F.struct((~F.col("hard")).alias("soft"), (-F.col("magnitude")).alias("less"), "start", "end", "spec_id")
+
+
+def conflicts(breaches: DataFrame, enforcement: DataFrame | None = None) -> DataFrame:
+    """``construct_id, start, end, rules, kind, binding, hard_versus_soft``: overlapping breaches of two or more rules.
+
+    ``breaches`` carry ``side`` and their construct's ``length`` and ``circular``; groups are islands, round the origin of circles
+    too.  Any unfixable breach makes the kind ``immutable_region``, differing sides ``opposing_gradient``; no side is none.
+    ``enforcement`` is that of :func:`with_hardness`.
+    """
+    shaped = with_hardness(breaches, enforcement)
+    placed = intervals.islands(shaped, F.col("start"), F.col("end"), F.col("length"), F.col("circular"))
+    made = placed.groupBy("construct_id", "island").agg(
+        F.first("island_start").alias("_s"), F.first("island_end").alias("_e"), F.array_sort(F.collect_set("spec_id")).alias("_rules"), F.min(_first()).alias("_top"),
+        F.min(F.col("fixable").cast("int")).alias("_fix"), F.size(F.collect_set(F.when(F.col("side") != "", F.col("side")))).alias("_sides"), F.count_distinct("hard").alias("_levels"),
+    )
     kind = F.when(F.col("_fix") == 0, "immutable_region").when(F.col("_sides") > 1, "opposing_gradient").otherwise("mutually_exclusive")
-    return made.where(F.size("rules") >= 2).select("construct_id", "start", "end", F.array_join("rules", ",").alias("rules"), kind.alias("kind"), F.col("top.spec_id").alias("binding"))
+    return made.where(F.size("_rules") >= 2).select("construct_id", F.col("_s").alias("start"), F.col("_e").alias("end"), F.array_join("_rules", ",").alias("rules"), kind.alias("kind"), F.col("_top.spec_id").alias("binding"), (F.col("_levels") == 2).alias("hard_versus_soft"))
+
+
+def declared_conflicts(breaches: DataFrame, present: list[str], enforcement: DataFrame | None = None) -> DataFrame:
+    """As :func:`conflicts`, for pairs of :data:`DECLARED` that were both run (``present``) and of which one or both have breaches.
+
+    The interval is that of the first breach by rule and place.  A rule that is satisfied because it won has no breach, so one side is enough.
+    """
+    pairs = [(a, b) for a, b in DECLARED if a in present and b in present]
+    classes = {r[0]: r[1] != "SOFT" for r in RULES}
+    sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(classes[a] != classes[b]).alias("mixed")) for a, b in pairs]) if pairs else F.array().cast("array<struct<a:string,b:string,mixed:boolean>>")
+    hit = F.filter(sides, lambda p: (p["a"] == F.col("spec_id")) | (p["b"] == F.col("spec_id")))
+    rows = with_hardness(breaches, enforcement).withColumn("_p", F.explode(hit))
+    made = rows.groupBy("construct_id", "_p").agg(F.min(F.struct("spec_id", "start", "end")).alias("_at"), F.min(_first()).alias("_top"))
+    return made.select("construct_id", "_at.start", "_at.end", F.concat_ws(",", "_p.a", "_p.b").alias("rules"), F.lit("declared").alias("kind"), F.col("_top.spec_id").alias("binding"), F.col("_p.mixed").alias("hard_versus_soft"))

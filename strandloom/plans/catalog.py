@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, evaluation, fragments
+from ..operators import catalog, evaluation, fragments, placement, repeats, rules
 from .derived import SQL, constructs
-from .evaluate import segmented
+from .evaluate import RULES_SQL, segmented
 from .registry import query
 
 FIVE, THREE = "CAATCCGCCCTCACTACAACCG", "CTACTCTGGCGTCGATGAGGGA"
@@ -120,3 +120,28 @@ def planted_recombinases(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.when(F.col("circular"), F.expr("concat(substring(site, half + 1), seq, substring(site, 1, half))")).otherwise(F.concat("seq", "site"))
     made = rows.withColumn("seq", seq).select("construct_id", "seq", F.length("seq").alias("length"), "circular")
     return catalog.breaches(made.withColumn("segments", F.lit(None).cast(evaluation.SEGMENTS)), include=["d2_recombinase_sites"]).select("construct_id", F.col("kind").alias("name"), "start", "magnitude")
+
+
+@query("circular_repeat_regions")
+def circular_repeat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of direct repeats, exempt segments known and merged over the origin of circles; ``end`` may lie past it."""
+    return placement.repeat_regions(repeats.pairs(segmented(spark, sf_dir)))
+
+
+@query("hairpin_liabilities")
+def hairpin_liabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.hairpins(segmented(spark, sf_dir))
+
+
+_DECLARING = ["d1_restriction_sites", "d2_recombinase_sites", "d8_cpg_depletion", "e2_gc_band"]
+
+
+@query("declared_conflicts", f"""WITH {RULES_SQL}, {TUBE_SQL.replace(SQL + ", ", "", 1)}, g2 AS (SELECT construct_id, s, e, '{FIVE}' || text || '{THREE}' AS molecule FROM tube), r2 AS (SELECT *, (length(molecule) - length(replace(replace(molecule, 'G', ''), 'C', ''))) / length(molecule) AS gc FROM g2),
+b AS (SELECT construct_id, spec_id, start, stop, magnitude FROM d1 WHERE construct_id IN (SELECT construct_id FROM tube) UNION ALL SELECT construct_id, spec_id, start, stop, magnitude FROM d8 WHERE construct_id IN (SELECT construct_id FROM tube) UNION ALL SELECT construct_id, 'e2_gc_band', s, e, greatest(0.28 - gc, gc - 0.8) FROM r2 WHERE gc < 0.28 OR gc > 0.8),
+p(x, y, mixed) AS (VALUES ('d1_restriction_sites', 'd2_recombinase_sites', false), ('d8_cpg_depletion', 'e2_gc_band', true)), h AS (SELECT b.*, p.* FROM b JOIN p ON spec_id IN (x, y)),
+m AS (SELECT construct_id, x, y, mixed, min(row(spec_id, start, stop)) AS spot, min(row(spec_id = 'd8_cpg_depletion', -magnitude, start, stop, spec_id)) AS top FROM h GROUP BY ALL)
+SELECT construct_id, CAST(spot[2] AS INT) AS start, CAST(spot[3] AS INT) AS "end", x || ',' || y AS rules, 'declared' AS kind, top[5] AS binding, mixed AS hard_versus_soft FROM m""")
+def declared_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that pull against each other over ordered constructs, of which one at least has breaches."""
+    found = catalog.breaches(ordered(spark, sf_dir), include=_DECLARING, vendors=ADAPTER_ON)
+    return rules.declared_conflicts(found, _DECLARING)

@@ -112,10 +112,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored_objectives(rules.gate_matrix(contexts(spark, sf_dir)), ("construct_id",))
 
 
-def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _breaches(spark: SparkSession, sf_dir: str, shape: bool = False) -> DataFrame:
     """Breaches of all rules of one pass, with the side of the GC band that mending them pushes to."""
     side = F.when(F.col("spec_id") == "d4_internal_polya", "at").when(F.col("spec_id") == "d8_cpg_depletion", "gc").otherwise("")
-    return evaluation.breaches(segmented(spark, sf_dir)).withColumn("side", side)
+    return evaluation.breaches(segmented(spark, sf_dir), shape=shape).withColumn("side", side)
 
 
 BREACH_SQL = f"""{RULES_SQL}, breaches AS (SELECT construct_id, spec_id, start, stop, magnitude, fixable, CASE WHEN spec_id = 'd4_internal_polya' THEN 'at' WHEN spec_id = 'd8_cpg_depletion' THEN 'gc' ELSE '' END AS side FROM ({ALL_SQL}) x)"""
@@ -135,14 +135,37 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.findings(_breaches(spark, sf_dir), enforcement).groupBy("spec_id", "enforcement", "route").agg(F.count(F.lit(1)).alias("n"))
 
 
+def islands_sql(table: str) -> str:
+    """Islands of ``table(construct_id, start, stop, length, circular)`` by painting: base p is 2p, the link to the next 2p + 1.
+
+    Gives ``isl(construct_id, lo, hi, home, s, e)``: a painted run, the run it belongs to round the origin, and the whole island.
+    """
+    return f"""pt AS (SELECT DISTINCT construct_id, length, circular, CASE WHEN circular THEN x % (2 * length) ELSE x END AS p FROM (SELECT construct_id, length, circular, unnest(range(2 * start, 2 * stop - 1)) AS x FROM {table}) z),
+pr AS (SELECT construct_id, length, circular, g, min(p) AS lo, max(p) AS hi FROM (SELECT *, p - row_number() OVER (PARTITION BY construct_id ORDER BY p) AS g FROM pt) z GROUP BY ALL),
+pw AS (SELECT *, circular AND min(lo) OVER w = 0 AND max(hi) OVER w = 2 * length - 1 AS joins, arg_min(hi, lo) OVER w AS hi0, max(lo) OVER w AS lo9 FROM pr WINDOW w AS (PARTITION BY construct_id)),
+isl AS (SELECT construct_id, lo, hi, CASE WHEN joins AND lo = 0 THEN lo9 ELSE lo END AS home, CASE WHEN joins AND lo = 0 THEN lo9 ELSE lo END // 2 AS s, CASE WHEN joins AND lo9 > 0 AND lo IN (0, lo9) THEN length + hi0 // 2 + 1 ELSE hi // 2 + 1 END AS e FROM pw)"""
+
+
+@query("feature_islands", f"""WITH {SQL}, {FEATURES_SQL}, ft AS (SELECT *, "end" AS stop FROM features), {islands_sql('ft')}
+SELECT f.construct_id, f.j, CAST(s AS INT) AS island_start, CAST(e AS INT) AS island_end FROM ft f JOIN isl i ON f.construct_id = i.construct_id AND 2 * f.start BETWEEN lo AND hi""")
+def feature_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that share bases, merged round the origin of circles."""
+    made = intervals.islands(features(spark, sf_dir), *map(F.col, ("start", "end", "length", "circular")))
+    return made.select("construct_id", "j", "island_start", "island_end")
+
+
 _HARD = ", ".join(f"'{r[0]}'" for r in rules.RULES if r[1] != "SOFT")
+EFFECTIVE_SQL = f"""{CONTEXT_SQL.replace(SQL + ", ", "", 1)}, ee AS (SELECT construct_id, spec_id, arg_max(slot_enforcement, CASE slot_enforcement WHEN 'SOFT' THEN 0 WHEN 'HARD_CHECK' THEN 1 WHEN 'HARD_REPAIR' THEN 2 ELSE 3 END) AS enforcement FROM cm WHERE gated_in GROUP BY construct_id, spec_id)"""
 
 
-@query("conflict_groups", f"""WITH {BREACH_SQL}, n AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY construct_id ORDER BY start, stop, spec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM breaches),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY construct_id ORDER BY start, stop, spec_id) AS grp FROM n), a AS (SELECT construct_id, grp, min(start) AS s, max(stop) AS e, list_sort(list(DISTINCT spec_id)) AS rules, min(CAST(fixable AS INT)) AS fix, count(DISTINCT side) AS sides, max(row(spec_id IN ({_HARD}), magnitude, spec_id)) AS top FROM g GROUP BY construct_id, grp)
-SELECT construct_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", array_to_string(rules, ',') AS rules, CASE WHEN fix = 0 THEN 'immutable_region' WHEN sides > 1 THEN 'opposing_gradient' ELSE 'mutually_exclusive' END AS kind, top[3] AS binding FROM a WHERE len(rules) >= 2""")
+@query("conflict_groups", f"""WITH {BREACH_SQL}, {EFFECTIVE_SQL}, bb AS (SELECT b.*, length, circular, coalesce(e.enforcement <> 'SOFT', b.spec_id IN ({_HARD})) AS hard FROM breaches b JOIN constructs USING (construct_id) LEFT JOIN ee e ON b.construct_id = e.construct_id AND b.spec_id = e.spec_id),
+{islands_sql('bb')}, a AS (SELECT b.construct_id, home, any_value(s) AS s, any_value(e) AS e, list_sort(list(DISTINCT spec_id)) AS rules, min(CAST(fixable AS INT)) AS fix, count(DISTINCT side) FILTER (side <> '') AS sides, count(DISTINCT hard) AS levels, min(row(NOT hard, -magnitude, start, stop, spec_id)) AS top
+  FROM bb b JOIN isl i ON b.construct_id = i.construct_id AND 2 * CASE WHEN circular THEN start % length ELSE start END BETWEEN lo AND hi GROUP BY b.construct_id, home)
+SELECT construct_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", array_to_string(rules, ',') AS rules, CASE WHEN fix = 0 THEN 'immutable_region' WHEN sides > 1 THEN 'opposing_gradient' ELSE 'mutually_exclusive' END AS kind, top[5] AS binding, levels = 2 AS hard_versus_soft FROM a WHERE len(rules) >= 2""")
 def conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.conflicts(_breaches(spark, sf_dir))
+    """Overlapping breaches round the origin of circles; what binds is hard in the construct's own context."""
+    enforcement = rules.effective_enforcement(rules.gate_matrix(contexts(spark, sf_dir)), ("construct_id",))
+    return rules.conflicts(_breaches(spark, sf_dir, True), enforcement)
 
 
 PAIR = ["idt_gblocks", "twist_gene_fragment"]
