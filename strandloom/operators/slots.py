@@ -9,8 +9,10 @@ Only small rows are shuffled: codon counts (64 a construct at most) and contexts
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,89 @@ def codon_adaptation(constructs: DataFrame, slots: DataFrame, weights: DataFrame
     return _binding(rows, F.struct("_rank", -F.col("slot")), ("role", "host", "score", "n", "lo", "hi", "side", "magnitude")).withColumn("passes", F.col("side").isNull())
 
 
+#: Of %MinMax: codons of a window, and the band of its mean.  Fixed values.
+MIN_MAX_WINDOW, MIN_MAX_BAND = 18, (-100.0, 0.0)
+
+
+def family_table(frequencies: Mapping[str, float], table_id: int) -> dict[str, tuple[float, float, float, float]]:
+    """Codon to its frequency and its family's mean, largest and least; families of one or with a codon missing are left out."""
+    out = {}
+    for aa, family in dims.synonyms(table_id).items():
+        if aa != "*" and len(family) > 1 and all(c in frequencies for c in family):
+            values = [float(frequencies[c]) for c in family]
+            out |= {c: (float(frequencies[c]), sum(values) / len(values), max(values), min(values)) for c in family}
+    return out
+
+
+def min_max(codons: list[str], stats: Mapping[str, tuple[float, float, float, float]], width: int = MIN_MAX_WINDOW) -> np.ndarray:
+    """%MinMax at every codon, by prefix sums: over windows shortened at the ends, in which codons without a choice hold their place."""
+    if width < 1:
+        raise ValueError("a window has one codon at least")
+    none = (0.0, 0.0, 0.0, 0.0)
+    sums = np.concatenate((np.zeros((1, 4)), np.cumsum(np.array([stats.get(c, none) for c in codons]).reshape(-1, 4), axis=0)))
+    at = np.arange(len(codons))
+    used, mean, most, least = (sums[np.minimum(at + width // 2 + 1, len(codons))] - sums[np.maximum(at - (width - 1) // 2, 0)]).T
+    up, down = most - mean, mean - least
+    # Sums of frequencies carry rounding: what is nothing to it is nothing.
+    tiny = 1e-12 * np.maximum(sums[-1, 2], 1e-300)
+    high = 100.0 * (used - mean) / np.where(up > tiny, up, 1.0)
+    low = -100.0 * (mean - used) / np.where(down > tiny, down, 1.0)
+    return np.where(used >= mean, np.where(up > tiny, high, 0.0), np.where(down > tiny, low, 0.0))
+
+
+def codon_profiles(texts: DataFrame, frequencies: DataFrame, width: int = MIN_MAX_WINDOW) -> DataFrame:
+    """``construct_id, host, strand, mean, peak, trough, n`` of ``texts(construct_id, text)`` of whole codons, for every host on both strands.
+
+    ``frequencies(host, codon, freq)`` is a dimension of 64 rows a host, and hosts are those of :data:`strandloom.dims.HOST_TABLE`; that
+    alone is brought to the driver.  One map a construct: no row a codon is shuffled.
+    """
+    usage: dict[str, dict[str, float]] = {}
+    for r in frequencies.where(F.col("host").isin(*dims.HOST_TABLE) & F.col("codon").isin(*dims.CODONS)).groupBy("host", "codon").agg(F.max("freq").alias("freq")).collect():
+        usage.setdefault(r.host, {})[r.codon] = r.freq
+    tables = {h: family_table(u, dims.HOST_TABLE[h]) for h, u in sorted(usage.items())}
+    names = ["construct_id", "host", "strand", "mean", "peak", "trough", "n"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                for strand in (1, -1):
+                    read = text if strand == 1 else dna.complement_text(text)
+                    codons = [read[i : i + 3] for i in range(0, len(read), 3)]
+                    for host, stats in tables.items():
+                        n = sum(c in stats for c in codons)
+                        if n:
+                            profile = min_max(codons, stats, width)
+                            out.append((cid, host, strand, float(profile.mean()), float(profile.max()), float(profile.min()), n))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    whole = texts.where("length(text) % 3 = 0").select("construct_id", "text")
+    return whole.mapInArrow(run, "construct_id long, host string, strand int, mean double, peak double, trough double, n long")
+
+
+def codon_landscape(constructs: DataFrame, slots: DataFrame, frequencies: DataFrame, band: tuple[float, float] = MIN_MAX_BAND, width: int = MIN_MAX_WINDOW) -> DataFrame:
+    """c3: ``construct_id, role, host, score, peak, trough, n, side, magnitude, start, end, passes, reason``.
+
+    The score is the mean of %MinMax over all codons.  It is defined on raw frequencies ``(host, codon, freq)`` alone: relative weights have lost the
+    scale between families.  The slot furthest outside the band binds, else the one nearest to its upper edge, then the first.
+    Reasons are those of :func:`codon_adaptation` but ``no_band``.
+    """
+    if not band[0] < band[1]:
+        raise ValueError(f"the band {band} is inverted")
+    text = designable(constructs)
+    facts = text.select("construct_id", "start", "end", (F.length("text") % 3 != 0).alias("_torn"))
+    known = frequencies.select("host").distinct().withColumn("_known", F.lit(True))
+    rows = facts.join(_gated(slots, "c3_min_max"), "construct_id", "left").join(codon_profiles(text, frequencies, width), ["construct_id", "host", "strand"], "left").join(F.broadcast(known), "host", "left")
+    reason = F.when(F.col("slot").isNull(), "no_slot").when(F.col("start").isNull(), "no_cds").when(F.col("_known").isNull(), "no_reference_set").when(F.col("_torn"), "out_of_frame").when(F.col("n").isNull(), "no_informative_codons")
+    mean = F.col("mean")
+    away = F.greatest(band[0] - mean, mean - band[1], F.lit(0.0))
+    rows = rows.withColumn("reason", reason).withColumn("score", mean).withColumn("side", F.when(mean < band[0], "lower").when(mean > band[1], "upper")).withColumn("magnitude", away)
+    rank = F.struct(F.when(away > 0, away).otherwise(mean - band[1] - 1), -F.col("slot"))
+    return _binding(rows, rank, ("role", "host", "score", "peak", "trough", "n", "side", "magnitude")).withColumn("passes", F.col("side").isNull())
+
+
 def start_context(constructs: DataFrame, slots: DataFrame, require_strong: bool = False) -> DataFrame:
     """b8: ``construct_id, role, host, score, context, start, end, magnitude, fixable, passes, reason``.
 

@@ -58,11 +58,12 @@ def min_max_profile(codon_rows: DataFrame, stats: DataFrame, width: int = 18) ->
     """%MinMax per codon position: ``construct_id, i, min_max``.
 
     ``codon_rows`` has ``construct_id, i, freq, aa``; ``stats`` has ``aa, mean, top, low`` per family.  Windows are shortened at
-    the edges: floor((w - 1) / 2) codons before, floor(w / 2) after.  ``stats`` has one row per amino acid, so it is broadcast.
+    the edges: floor((w - 1) / 2) codons before, floor(w / 2) after.  Codons without a choice hold their place and add nothing.
+    ``stats`` has one row per amino acid, so it is broadcast.
     """
     frame = Window.partitionBy("construct_id").orderBy("i").rowsBetween(-((width - 1) // 2), width // 2)
-    joined = codon_rows.join(F.broadcast(stats), "aa")
-    total = {c: F.sum(c).over(frame) for c in ("freq", "mean", "top", "low")}
+    joined = codon_rows.join(F.broadcast(stats), "aa", "left").withColumn("freq", F.when(F.col("mean").isNotNull(), F.col("freq")))
+    total = {c: F.coalesce(F.sum(c).over(frame), F.lit(0.0)) for c in ("freq", "mean", "top", "low")}
     rows = joined.select("construct_id", "i", *[v.alias(f"_{k}") for k, v in total.items()])
     up = 100 * (F.col("_freq") - F.col("_mean")) / (F.col("_top") - F.col("_mean"))
     down = -100 * (F.col("_mean") - F.col("_freq")) / (F.col("_mean") - F.col("_low"))

@@ -276,7 +276,7 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("minmax_profile", f"""WITH {COUNTS_SQL}, st AS (SELECT aa, avg(n) AS mean, max(n) AS top, min(n) AS low FROM counts WHERE aa <> '*' GROUP BY aa HAVING count(*) > 1 AND min(n) > 0),
-j AS (SELECT construct_id, i, n AS freq, mean, top, low FROM codons JOIN counts USING (codon) JOIN st USING (aa)), f AS (SELECT construct_id, i, sum(freq) OVER q AS f, sum(mean) OVER q AS m, sum(top) OVER q AS t, sum(low) OVER q AS l FROM j WINDOW q AS (PARTITION BY construct_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND 9 FOLLOWING))
+j AS (SELECT construct_id, i, CASE WHEN mean IS NOT NULL THEN n END AS freq, mean, top, low FROM codons JOIN counts USING (codon) LEFT JOIN st USING (aa)), f AS (SELECT construct_id, i, coalesce(sum(freq) OVER q, 0) AS f, coalesce(sum(mean) OVER q, 0) AS m, coalesce(sum(top) OVER q, 0) AS t, coalesce(sum(low) OVER q, 0) AS l FROM j WINDOW q AS (PARTITION BY construct_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND 9 FOLLOWING))
 SELECT construct_id, CAST(count(*) AS BIGINT) AS codons, round(avg(CASE WHEN f >= m AND t > m THEN 100 * (f - m) / (t - m) WHEN m > l THEN -100 * (m - f) / (m - l) ELSE 0.0 END), 5) AS mean_min_max FROM f GROUP BY construct_id""")
 def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = coding(spark, sf_dir)

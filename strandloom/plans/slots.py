@@ -69,6 +69,31 @@ def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(found.withColumn("score", F.round("score", 9)).withColumn("magnitude", F.round("magnitude", 9)))
 
 
+_C3_SQL = f"""WITH {SEGMENT_SQL}, {SLOT_SQL}, {AA_SQL}, t AS (SELECT construct_id, substring(seq || seq, cs + 1, ce - cs) AS text FROM seg WHERE ce > cs),
+cod AS (SELECT construct_id, i, m, substring(text, 3 * i + 1, 3) AS codon FROM (SELECT *, length(text) // 3 AS m, unnest(range(0, length(text) // 3)) AS i FROM t) x), inf AS (SELECT codon, aa FROM aa WHERE aa <> '*' AND aa IN (SELECT aa FROM aa GROUP BY aa HAVING count(*) > 1)),
+cnt AS (SELECT host, codon, count(*) AS n FROM (SELECT {HOSTS}[construct_id % {len(HOSTS)} + 1] AS host, codon FROM cod) x WHERE host <> '{NONE}' GROUP BY ALL), hs AS (SELECT DISTINCT host FROM cnt),
+fam AS (SELECT host, aa, avg(n) AS mean, max(n) AS top, min(n) AS low FROM inf JOIN cnt USING (codon) JOIN (SELECT aa, count(*) AS size FROM inf GROUP BY aa) z USING (aa) GROUP BY host, aa, size HAVING count(*) = size),
+stats AS (SELECT host, codon, n AS freq, mean, top, low FROM cnt JOIN inf USING (codon) JOIN fam USING (host, aa)),
+pos AS (SELECT s.construct_id, slot, s.host, CASE WHEN strand = 1 THEN i ELSE m - 1 - i END AS i, CASE WHEN strand = 1 THEN codon ELSE reverse(translate(codon, 'ACGT', 'TGCA')) END AS codon FROM sl s JOIN cod c ON s.construct_id = c.construct_id WHERE role <> 'propagation'),
+f AS (SELECT construct_id, slot, count(freq) OVER (PARTITION BY construct_id, slot) AS n, coalesce(sum(freq) OVER q, 0) AS f, coalesce(sum(mean) OVER q, 0) AS m, coalesce(sum(top) OVER q, 0) AS t, coalesce(sum(low) OVER q, 0) AS l FROM pos LEFT JOIN stats USING (host, codon) WINDOW q AS (PARTITION BY construct_id, slot ORDER BY i ROWS BETWEEN 8 PRECEDING AND 9 FOLLOWING)),
+sc AS (SELECT construct_id, slot, any_value(n) AS n, avg(v) AS score, max(v) AS peak, min(v) AS trough FROM (SELECT *, CASE WHEN f >= m - 1e-9 THEN CASE WHEN t > m + 1e-9 THEN 100 * (f - m) / (t - m) ELSE 0 END WHEN m > l + 1e-9 THEN -100 * (m - f) / (m - l) ELSE 0 END AS v FROM f WHERE n > 0) x GROUP BY ALL),
+r AS (SELECT g.construct_id, CASE WHEN ce > cs THEN cs END AS s, CASE WHEN ce > cs THEN ce END AS e, slot, role, host, score, peak, trough, n, CASE WHEN ce <= cs THEN 'no_cds' WHEN host NOT IN (SELECT host FROM hs) THEN 'no_reference_set' WHEN n IS NULL THEN 'no_informative_codons' END AS reason FROM seg g JOIN sl USING (construct_id) LEFT JOIN sc USING (construct_id, slot) WHERE role <> 'propagation'),
+k AS (SELECT *, greatest(-100 - score, score, 0) AS away, arg_min(reason, slot) FILTER (reason IS NOT NULL) OVER (PARTITION BY construct_id) AS why FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY construct_id ORDER BY CASE WHEN away > 0 THEN away ELSE score - 1 END DESC NULLS LAST, slot) AS rk FROM k), h AS (SELECT *, why IS NULL AS ok FROM o WHERE rk = 1)
+SELECT construct_id, CASE WHEN ok THEN role END AS role, CASE WHEN ok THEN host END AS host, round(CASE WHEN ok THEN score END, 6) AS score, round(CASE WHEN ok THEN peak END, 6) AS peak, round(CASE WHEN ok THEN trough END, 6) AS trough, CASE WHEN ok THEN n END AS n, CASE WHEN ok AND score > 0 THEN 'upper' WHEN ok AND score < -100 THEN 'lower' END AS side,
+round(CASE WHEN ok THEN away END, 6) AS magnitude, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", NOT ok OR score BETWEEN -100 AND 0 AS passes, why AS reason FROM h"""
+
+
+@query("breaches_c3_min_max", _filled_sql(_C3_SQL, 'score peak trough n magnitude start "end"', "role host side reason", "passes"))
+def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """%MinMax of each construct by its worst slot, on the raw codon counts of a host's own constructs."""
+    rows = segmented(spark, sf_dir)
+    own = slots.designable(rows).select(_pick(HOSTS, F.col("construct_id")).alias("host"), F.explode(dna.codons(F.col("text"))).alias("codon")).where(F.col("host") != NONE)
+    found = slots.codon_landscape(rows, slot_rows(spark, sf_dir), own.groupBy("host", "codon").agg(F.count(F.lit(1)).cast("double").alias("freq")))
+    for c in ("score", "peak", "trough", "magnitude"):
+        found = found.withColumn(c, F.round(c, 6))
+    return _filled(found)
+
+
 _STARTS = {t: dims.STARTS[t].split() for t in sorted(set(dims.HOST_TABLE.values()))}
 _IS_START = " OR ".join(f"(host {'' if t == 11 else 'NOT '}LIKE 'e_coli%' AND substring(context, 7, 3) IN ({', '.join(repr(x) for x in s)}))" for t, s in _STARTS.items())
 _HOLDS = lambda a, b: f"(({a} <= lead AND lead + 6 <= {b}) OR circular AND (({a} <= lead + length AND lead + length + 6 <= {b}) OR ({a} <= lead - length AND lead - length + 6 <= {b})))"

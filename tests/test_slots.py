@@ -169,6 +169,71 @@ def test_start_context_equals_plain_reading(spark, strong):
     assert seen == {None, "no_slot", "no_cds", "no_room", "no_leader", "no_initiator"}
 
 
+def plain_min_max(codons, stats, width):
+    """Every window summed anew."""
+    out = []
+    for i in range(len(codons)):
+        rows = [stats[c] for c in codons[max(0, i - (width - 1) // 2) : i + width // 2 + 1] if c in stats]
+        used, mean, most, least = (sum(r[k] for r in rows) for k in range(4))
+        span = most - mean if used >= mean else mean - least
+        out.append((100 if used >= mean else -100) * abs(used - mean) / span if span > 0 else 0.0)
+    return out
+
+
+def test_min_max_equals_summing_every_window():
+    rng = random.Random(11)
+    usage = {c: float(rng.randrange(1, 9)) for c in dims.CODONS}
+    del usage["GCG"]  # a family with a gap is left out whole
+    stats = slots.family_table(usage, 1)
+    assert not {"GCT", "GCC", "GCA", "GCG", "ATG", "TGG", "TAA"} & set(stats) and stats["TTT"][1] == (usage["TTT"] + usage["TTC"]) / 2
+    for width in (1, 2, 5, 18):
+        for size in (1, 2, 17, 60):
+            codons = [rng.choice(dims.CODONS) for _ in range(size)]
+            assert slots.min_max(codons, stats, width) == pytest.approx(plain_min_max(codons, stats, width), abs=1e-9)
+    assert slots.min_max(["ATG", "TAA"], stats).tolist() == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        slots.min_max(["ATG"], stats, 0)
+
+
+def test_landscape_equals_plain_reading_of_every_slot(spark):
+    rng = random.Random(5)
+    rows = _constructs(rng, 120)
+    of = _slots(rng, rows)
+    usage = {h: {c: float(rng.randrange(1, 30)) for c in dims.CODONS} for h in HOSTS if h != "cho"}
+    frame = spark.createDataFrame([*rows, (900, None, True, None)], f"construct_id long, seq string, circular boolean, segments {SEGMENTS}")
+    table = spark.createDataFrame([(h, c, x) for h, u in usage.items() for c, x in u.items()] + [("elf", "GCT", 1.0), ("human", "NNN", 1.0)], "host string, codon string, freq double")
+    band = (-20.0, 10.0)
+    got = {r.construct_id: r for r in slots.codon_landscape(frame, spark.createDataFrame([*of, (900, 1, "target", "human", 1, 1)], SLOT), table, band, 5).collect()}
+    assert len(got) == 121 and got[900].reason == "no_cds"
+    sides = set()
+    for row in rows:
+        want, scored = None, []
+        mine = [s for s in of if s[0] == row[0] and s[2] != "propagation"]
+        spans = _cds(row)
+        want = "no_slot" if not mine else "no_cds" if not spans else None
+        for _, _, role, host, code, strand in mine if want is None else ():
+            text = "".join((row[1] * 2)[a:b] for a, b in spans)
+            text = text if strand == 1 else dna.complement_text(text)
+            stats = slots.family_table(usage.get(host, {}), code)
+            codons = [text[i : i + 3] for i in range(0, len(text), 3)]
+            want = "no_reference_set" if host not in usage else "out_of_frame" if len(text) % 3 else None if any(c in stats for c in codons) else "no_informative_codons"
+            if want:
+                break
+            profile = plain_min_max(codons, stats, 5)
+            mean = sum(profile) / len(profile)
+            away = max(band[0] - mean, mean - band[1], 0.0)
+            scored.append((away if away > 0 else mean - band[1] - 1, role, host, mean, max(profile), min(profile), sum(c in stats for c in codons), away))
+        r = got[row[0]]
+        assert r.reason == want, row
+        if want is None:
+            top = max(scored, key=lambda s: s[0])
+            assert (r.role, r.host, r.n, r.passes) == (top[1], top[2], top[6], top[7] == 0) and (r.score, r.peak, r.trough, r.magnitude) == pytest.approx((*top[3:6], top[7]), abs=1e-9)
+            sides.add(r.side)
+    assert sides == {None, "lower", "upper"}
+    with pytest.raises(ValueError):
+        slots.codon_landscape(frame, spark.createDataFrame([], SLOT), table, (1.0, 1.0))
+
+
 def test_empty_tables_give_no_rows(spark):
     frame = spark.createDataFrame([], f"construct_id long, seq string, circular boolean, segments {SEGMENTS}, leaders array<struct<start:int,end:int>>")
     given = spark.createDataFrame([], SLOT)
