@@ -82,6 +82,13 @@ def circular_slice(seq: Column, start: Column, end: Column, strand: Column) -> C
     return F.when(strand < 0, reverse_complement(plus)).otherwise(plus)
 
 
+def masked(seq: Column, start: Column, end: Column) -> Column:
+    """``seq`` with N in [start, end), which may run over the origin; N is no base, so no motif is found there."""
+    n = F.length(seq)
+    over = F.least(F.greatest(end - n, F.lit(0)), start)
+    return F.concat(F.repeat(F.lit("N"), over), F.substr(seq, over + 1, start - over), F.repeat(F.lit("N"), F.least(end, n) - start), F.substr(seq, F.least(end, n) + 1))
+
+
 def codons(cds: Column) -> Column:
     """Whole codons of a coding sequence, an empty array below three bases; one pass over the text."""
     return F.regexp_extract_all(cds, F.lit("(...)"), F.lit(1))

@@ -69,6 +69,28 @@ def _tagged(hay: Column, motif: str, name: str, strand: int) -> Column:
     return F.coalesce(tag, F.array().cast("array<struct<name:string,pos:int,strand:int>>"))
 
 
+def split_forbidden(sites: DataFrame, motifs: list[str]) -> DataFrame:
+    """``construct_id, usable, carried``: of plain motifs, those that codon choice could still make or avoid, and those that
+    the backbone holds anyway, on either strand and over the origin, outside the replaced span ``(start, end)`` of
+    ``sites(construct_id, seq, circular, start, end)``.
+
+    Carried motifs must not be asked of a solver, as no codon removes them; they are advice.  Both lists keep the given order.
+    Degenerate motifs are an error before any row is read.  A null sequence holds nothing.
+    """
+    odd = [m for m in motifs if not m or set(m) - set("ACGT")]
+    if odd:
+        raise ValueError(f"forbidden motifs must be plain ACGT: {odd}")
+    kept = F.coalesce(dna.masked(F.col("seq"), F.col("start"), F.col("end")), F.lit(""))
+    rows = sites.select("construct_id", F.coalesce("circular", F.lit(False)).alias("circular"), kept.alias("_kept"))
+    held = []
+    for m in motifs:
+        hay = dna.haystack(F.col("_kept"), F.col("circular"), len(m)) if len(m) > 1 else F.col("_kept")
+        held.append(F.struct(F.lit(m).alias("m"), (F.contains(hay, F.lit(m)) | F.contains(hay, F.lit(dna.complement_text(m)))).alias("in")))
+    told = F.array(*held) if held else F.array().cast("array<struct<m:string,in:boolean>>")
+    part = lambda test: F.transform(F.filter("_told", test), lambda x: x["m"])
+    return rows.select("construct_id", told.alias("_told")).select("construct_id", part(lambda x: ~x["in"]).alias("usable"), part(lambda x: x["in"]).alias("carried"))
+
+
 def sites(df: DataFrame, named: dict[str, str]) -> DataFrame:
     """``construct_id, name, start, end, text`` of non-overlapping matches of regular expressions over the forward strand.
 

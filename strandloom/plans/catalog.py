@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, evaluation, fragments, placement, repeats, rules
+from .. import dims
+from ..functions import dna
+from ..operators import catalog, evaluation, fragments, placement, repeats, rules, scan
 from .derived import SQL, constructs
 from .evaluate import RULES_SQL, segmented
 from .registry import query
@@ -145,3 +147,18 @@ def declared_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that pull against each other over ordered constructs, of which one at least has breaches."""
     found = catalog.breaches(ordered(spark, sf_dir), include=_DECLARING, vendors=ADAPTER_ON)
     return rules.declared_conflicts(found, _DECLARING)
+
+
+#: Motifs a design should avoid, some of which most backbones hold.
+_AVOID = [*dims.SIX_CUTTERS.values(), *dims.TYPE_IIS.values(), "AAAAAA", "CCCC", "ATAT"]
+_KEPT = "CASE WHEN e <= length THEN substring(seq, 1, s) || repeat('N', e - s) || substring(seq, e + 1) ELSE repeat('N', CAST(least(e - length, s) AS BIGINT)) || substring(seq, CAST(least(e - length, s) + 1 AS BIGINT), CAST(s - least(e - length, s) AS BIGINT)) || repeat('N', length - s) END"
+_HELD_SQL = ", ".join(f"{{'m': '{m}', 'held': contains(kept || CASE WHEN circular THEN substring(kept, 1, {len(m) - 1}) ELSE '' END, '{m}') OR contains(kept || CASE WHEN circular THEN substring(kept, 1, {len(m) - 1}) ELSE '' END, '{dna.complement_text(m)}')}}" for m in _AVOID)
+
+
+@query("forbidden_split", f"""WITH {TUBE_SQL}, k AS (SELECT construct_id, circular, {_KEPT} AS kept FROM tube), t AS (SELECT construct_id, [{_HELD_SQL}] AS told FROM k)
+SELECT construct_id, array_to_string(list_transform(list_filter(told, lambda x: NOT x.held), lambda x: x.m), ',') AS usable, array_to_string(list_transform(list_filter(told, lambda x: x.held), lambda x: x.m), ',') AS carried FROM t""")
+def forbidden_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a backbone holds outside the coding span that is replaced, and what is left for the solver to avoid."""
+    site = ordered(spark, sf_dir).select("construct_id", "seq", "circular", F.get("segments", F.lit(0))["start"].alias("start"), F.get("segments", F.lit(0))["end"].alias("end"))
+    made = scan.split_forbidden(site, _AVOID)
+    return made.select("construct_id", F.array_join("usable", ",").alias("usable"), F.array_join("carried", ",").alias("carried"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, intervals
-from strandloom.operators import codons, placement, repeats, rules
+from strandloom.operators import codons, design, placement, repeats, rules, scan
 from strandloom.operators.evaluation import REPEAT, SEGMENTS
 
 ROWS = "construct_id long, j int, start int, end int, length int, circular boolean"
@@ -170,3 +170,33 @@ def test_hairpins_in_exempt_segments_are_meant(spark):
     half = [{"start": 25, "end": 56, "kind": REPEAT}]
     got = {r.construct_id: (r.start, r.stem, r.loop) for r in repeats.hairpins(_frame(spark, [(1, seq, True, []), (2, seq, True, whole), (3, seq, True, half), (4, None, None, None), (5, "ACGT", True, None)])).collect()}
     assert got == {1: (30, 24, 3), 3: (30, 24, 3)}
+
+
+def test_forbidden_motifs_the_backbone_carries(spark):
+    """Replaced bases carry nothing, the origin and both strands count; equal to masking and searching in plain Python."""
+    rng = random.Random(6)
+    rows = []
+    for c in range(150):
+        n, circular = rng.randrange(1, 50), c % 2 == 0
+        a = rng.randrange(n)
+        size = rng.choice((0, 3, n // 2, n))
+        rows.append((c, "".join(rng.choice("ACGT") for _ in range(n)), circular, a, a + size if circular else min(a + size, n)))
+    motifs = ["A", "CG", "ACG", "GAAT", "TTT", "GATC"]
+    got = {r.construct_id: (r.usable, r.carried) for r in scan.split_forbidden(spark.createDataFrame([*rows, (900, None, True, 0, 3)], "construct_id long, seq string, circular boolean, start int, end int"), motifs).collect()}
+    for c, seq, circular, a, b in rows:
+        kept = list(seq)
+        for p in range(a, b):
+            kept[p % len(seq)] = "N"
+        held = lambda m, kept="".join(kept), circular=circular: any(x in (kept + kept[: len(m) - 1] if circular else kept) for x in (m, dna.complement_text(m)))
+        assert got[c] == ([m for m in motifs if not held(m)], [m for m in motifs if held(m)]), (seq, circular, a, b)
+    assert got[900] == (motifs, [])
+    with pytest.raises(ValueError):
+        scan.split_forbidden(spark.createDataFrame([], "construct_id long, seq string, circular boolean, start int, end int"), ["GANTC"])
+
+
+def test_designs_avoid_what_their_backbone_leaves_usable(spark):
+    """A motif that one request may not hold is free to another whose backbone carries it already."""
+    rows = [(1, "MKFEF" * 4, "clear", ["GAATTC"]), (2, "MKFEF" * 4, "clear", []), (3, "MKFEF" * 4, "clear", None)]
+    made = design.solve(spark.createDataFrame(rows, "design_id long, protein string, screen string, forbidden array<string>"), 1, ["GAGTTC"], weights={"GAA": 5.0, "TTC": 5.0, "GAG": 1.0}, repair=False).collect()
+    held = {d: {("GAATTC" in r.cds, "GAGTTC" in r.cds) for r in made if r.design_id == d and r.cds} for d in (1, 2, 3)}
+    assert all(not a for a, _ in held[1]) and any(a for a, _ in held[2]) and all(not b for _, b in held[3])
