@@ -17,19 +17,33 @@ from .scan import positions
 CAP = 200
 
 
+def _counted(df: DataFrame, k: int) -> DataFrame:
+    """``construct_id, length, positions, again, recurring`` of constructs of ``k`` bases or more: k-mer starts, distinct k-mers seen twice
+    or more, and starts that hold those.  One map per construct."""
+    names = ["construct_id", "length", "positions", "again", "recurring"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cid, seq, circular in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                often = np.unique(_windows(_codes(seq + seq[: k - 1] if circular else seq), k), return_counts=True)[1]
+                rows.append((cid, len(seq), int(often.sum()), int((often >= 2).sum()), int(often[often >= 2].sum())))
+            if rows:
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return df.where(F.col("length") >= k).select("construct_id", "seq", "circular").mapInArrow(run, "construct_id long, length int, positions long, again long, recurring long")
+
+
 def density(df: DataFrame, k: int = 9) -> DataFrame:
     """``construct_id, repetitive, per_100``: distinct k-mers seen twice or more, per 100 bases, linear."""
-    rows = positions(df.withColumn("circular", F.lit(False)), k)
-    seen = rows.groupBy("construct_id", "length", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    made = seen.groupBy("construct_id", "length").agg(F.sum((F.col("n") >= 2).cast("long")).alias("repetitive"))
-    return made.select("construct_id", "repetitive", (F.col("repetitive") / (F.col("length") / 100.0)).alias("per_100"))
+    made = _counted(df.withColumn("circular", F.lit(False)), k)
+    return made.select("construct_id", F.col("again").alias("repetitive"), (F.col("again") / (F.col("length") / 100.0)).alias("per_100"))
 
 
 def recurrence(df: DataFrame, k: int = 12) -> DataFrame:
     """``construct_id, positions, recurring, fraction`` of k-mer starts whose k-mer occurs again."""
-    rows = positions(df, k).groupBy("construct_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    made = rows.groupBy("construct_id").agg(F.sum("n").alias("positions"), F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)).alias("recurring"))
-    return made.withColumn("fraction", F.col("recurring") / F.col("positions"))
+    return _counted(df, k).select("construct_id", "positions", "recurring", (F.col("recurring") / F.col("positions")).alias("fraction"))
 
 
 def landing_sites(df: DataFrame, k: int = 12, least: int = 3) -> DataFrame:

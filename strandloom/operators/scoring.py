@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -51,12 +51,12 @@ def variants(cds: DataFrame, n: int, table_id: int, uniform: Column | None = Non
     return made.groupBy("construct_id", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "pick"))), lambda x: x["pick"]), "").alias("cds"))
 
 
-def additive_null(cds: DataFrame, n: int, table_id: int, of_codon: dict[str, float], steps: tuple[int, int, int, int] = (7919, 104729, 1299709, 1000003)) -> DataFrame:
-    """``construct_id, variant, value`` of ``n`` synonymous variants: the sum of ``of_codon`` over the codons drawn, by the bases.
+Steps = tuple[int, int, int, int]
+STEPS: Steps = (7919, 104729, 1299709, 1000003)
 
-    A null of a sum needs no variant's text: one map draws all variants of a construct by number.  The draw of codon i of
-    variant v is ((id * a + v * b + i * c) mod m) / m with ``steps`` = (a, b, c, m), so it depends on nothing else.
-    """
+
+def _drawer(n: int, table_id: int, of_codon: dict[str, float], steps: Steps) -> Callable[[int, str], np.ndarray]:
+    """Values of ``n`` synonymous variants of a coding sequence: the sum of ``of_codon`` over the codons drawn, by the bases."""
     code = dims.genetic_code(table_id)
     codons = sorted(code)
     options = [[c] if code[c] == "*" or c not in dims.synonyms(table_id)[code[c]] else dims.synonyms(table_id)[code[c]] for c in codons]
@@ -67,20 +67,57 @@ def additive_null(cds: DataFrame, n: int, table_id: int, of_codon: dict[str, flo
     index = {c: k for k, c in enumerate(codons)}
     a, b, c, m = steps
 
+    def draw(cid: int, text: str) -> np.ndarray:
+        row = np.array([index[text[i : i + 3]] for i in range(0, len(text) - 2, 3)], np.int64)
+        i = np.arange(len(row), dtype=np.int64) * c
+        values = np.empty(n)
+        for v in range(n):
+            u = (cid * a + v * b + i) % m / m
+            values[v] = table[row, (u * sizes[row]).astype(np.int64)].sum() / max(1, 3 * len(row))
+        return values
+
+    return draw
+
+
+def additive_null(cds: DataFrame, n: int, table_id: int, of_codon: dict[str, float], steps: Steps = STEPS) -> DataFrame:
+    """``construct_id, variant, value`` of ``n`` synonymous variants: the sum of ``of_codon`` over the codons drawn, by the bases.
+
+    A null of a sum needs no variant's text: one map draws all variants of a construct by number.  The draw of codon i of
+    variant v is ((id * a + v * b + i * c) mod m) / m with ``steps`` = (a, b, c, m), so it depends on nothing else.
+    """
+    draw = _drawer(n, table_id, of_codon, steps)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.array([index[text[i : i + 3]] for i in range(0, len(text) - 2, 3)], np.int64)
-                i = np.arange(len(row), dtype=np.int64) * c
-                values = np.empty(n)
-                for v in range(n):
-                    u = (cid * a + v * b + i) % m / m
-                    values[v] = table[row, (u * sizes[row]).astype(np.int64)].sum() / max(1, 3 * len(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cid, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(values)], ["construct_id", "variant", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cid, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(draw(cid, text))], ["construct_id", "variant", "value"])
 
     return cds.select("construct_id", "cds").mapInArrow(run, "construct_id long, variant int, value double")
 
 
+def additive_percentile(scores: DataFrame, n: int, table_id: int, of_codon: dict[str, float], direction: str, band: tuple[float, float] | None = None, steps: Steps = STEPS) -> DataFrame:
+    """:func:`percentile` of ``scores(construct_id, cds, raw)`` within :func:`additive_null`, in one map: no variant's row leaves it."""
+    draw = _drawer(n, table_id, of_codon, steps)
+
+    def deviation(x: np.ndarray | float) -> np.ndarray | float:
+        return np.maximum(np.maximum(band[0] - x, x - band[1]), 0.0) if direction == "BAND" else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cid, text, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = draw(cid, text)
+                mine, other = deviation(raw), deviation(values)
+                worse = other < mine if direction == "HIGHER_IS_BETTER" else other > mine
+                rows.append((cid, raw, n, values.mean(), values.std(ddof=1) if n > 1 else 0.0, (worse.sum() + 0.5 * (other == mine).sum()) / n))
+            if rows:
+                types = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["construct_id", "raw", "n", "mean", "sd", "percentile"])
+
+    whole = scores.where("raw is not null and cds is not null").select("construct_id", "cds", F.col("raw").cast("double").alias("raw"))
+    return whole.mapInArrow(run, "construct_id long, raw double, n long, mean double, sd double, percentile double")
+
+
 def percentile(null: DataFrame, scores: DataFrame, direction: str, band: tuple[float, float] | None = None) -> DataFrame:
     """``construct_id, raw, n, mean, sd, percentile``: share of the null that is worse, ties counting half.
 

@@ -1,11 +1,15 @@
 """Windowed composition and the regions it gives.
 
-Frames are ``ROWS`` frames over the positions of one construct; a circle repeats its first bases behind its last, so every
-start has a whole frame.  All windows of a construct share one hash partitioning on ``construct_id``.
+A circle repeats its first bases behind its last, so every start has a whole window.  Windows are made where the construct is; what
+is drawn from them shares one hash partitioning on ``construct_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +23,25 @@ def bases(df: DataFrame, ahead: int) -> DataFrame:
 
 
 def gc_windows(df: DataFrame, width: int, stride: int = 1) -> DataFrame:
-    """``construct_id, length, circular, pos, gc`` of every whole window start; shorter sequences have none."""
-    frame = Window.partitionBy("construct_id").orderBy("pos").rowsBetween(0, width - 1)
-    rows = bases(df.where(F.col("length") >= width), width - 1)
-    made = rows.withColumn("gc", F.sum(F.col("base").isin("G", "C").cast("int")).over(frame) / width)
-    last = F.when(F.col("circular"), F.col("length") - 1).otherwise(F.col("length") - width)
-    return made.where((F.col("pos") <= last) & (F.col("pos") % stride == 0)).select("construct_id", "length", "circular", "pos", "gc")
+    """``construct_id, length, circular, pos, gc`` of every whole window start; shorter sequences have none.
+
+    Differences of prefix sums in one map per construct: no base is a row, and nothing is shuffled.
+    """
+    names = ["construct_id", "length", "circular", "pos", "gc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, seq, circular in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.frombuffer(seq.encode(), np.uint8)
+                strong = (codes == 71) | (codes == 67)
+                total = np.concatenate(([0], np.cumsum(np.concatenate((strong, strong[: width - 1])) if circular else strong)))
+                pos = np.arange(0, len(total) - width, stride, dtype=np.int32)
+                gc = (total[pos + width] - total[pos]) / width
+                fixed = [pa.array(np.full(len(pos), x, t)) for x, t in ((cid, np.int64), (len(seq), np.int32), (bool(circular), np.bool_))]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(pos), pa.array(gc)], names)
+
+    whole = df.where((F.col("length") >= width) & (F.col("length") > 0)).select("construct_id", "seq", "circular")
+    return whole.mapInArrow(run, "construct_id long, length int, circular boolean, pos int, gc double")
 
 
 def islands(flagged: DataFrame, width: int, measure: Column, name: str) -> DataFrame:

@@ -233,9 +233,8 @@ SELECT construct_id, raw, count(*) AS n, round(avg(value), 9) AS mean, round(std
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = coding(spark, sf_dir)
     gc = {c: float(sum(b in "GC" for b in c)) for c in dims.CODONS}
-    null = scoring.additive_null(cds, rules.NULL_SIZES["cheap"], 1, gc).select("construct_id", "value")
-    scores = cds.select("construct_id", dna.gc_fraction(F.col("cds")).alias("raw"))
-    out = scoring.percentile(null, scores, "BAND", (0.45, 0.55))
+    scores = cds.withColumn("raw", dna.gc_fraction(F.col("cds")))
+    out = scoring.additive_percentile(scores, rules.NULL_SIZES["cheap"], 1, gc, "BAND", (0.45, 0.55))
     return out.withColumn("mean", F.round("mean", 9)).withColumn("sd", F.round("sd", 9))
 
 

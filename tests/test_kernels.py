@@ -317,6 +317,17 @@ def test_additive_null_equals_built_variants(spark):
         assert abs(r.value - sum(b in "GC" for b in text) / len(text)) < 1e-12
 
 
+@pytest.mark.parametrize(("direction", "band"), [("BAND", (0.45, 0.55)), ("HIGHER_IS_BETTER", None), ("LOWER_IS_BETTER", None)])
+def test_percentile_in_one_map_equals_joining_the_null(spark, direction, band):
+    rng = random.Random(27)
+    rows = spark.createDataFrame([(k, _random_dna(rng, 3 * rng.randrange(1, 30)), rng.choice((0.0, 0.4, 0.5, 0.75))) for k in range(12)] + [(99, "ATG", 1 / 3), (100, None, 0.5), (101, "ATG", None)], "construct_id long, cds string, raw double")
+    gc = {c: float(sum(b in "GC" for b in c)) for c in dims.CODONS}
+    want = scoring.percentile(scoring.additive_null(rows.where("cds is not null"), 9, 1, gc), rows.where("raw is not null").drop("cds"), direction, band)
+    key = lambda r: (r.construct_id, r.raw, r.n, round(r.mean, 12), round(r.sd, 12), round(r.percentile, 12))
+    got = sorted(map(key, scoring.additive_percentile(rows, 9, 1, gc, direction, band).collect()))
+    assert got == sorted(map(key, want.collect())) and len(got) == 13
+
+
 def test_segments_decide_what_counts(spark):
     """An exempt region hides its repeats, a designable one makes breaches mendable, round the origin too."""
     seq = "GAATTC" + "ACGTTGCATG" * 3 + "TTTTTTTTTTTT" + "GATTACAGATTACAGATTACA" + "GAA"
