@@ -12,8 +12,11 @@ STRIDE = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value found once a row, however often the body or its lambdas read it."""
-    return F.transform(F.array(value), body)[0]
+    """``body(value)`` with the value found once a row, however often the body or its lambdas read it.
+
+    ``body`` is given the value alone: Spark would fill a second parameter, were it one with a default, with the place in the array.
+    """
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def running_sums(numbers: Column) -> Column:
