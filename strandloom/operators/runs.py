@@ -1,4 +1,4 @@
-"""Homopolymer runs and tandem tracts: gaps and islands over positions."""
+"""Homopolymer runs and tandem tracts: one map per construct."""
 
 from __future__ import annotations
 
@@ -6,30 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .windows import bases
+from pyspark.sql import DataFrame
 
 
 def homopolymers(df: DataFrame, least: int = 1) -> DataFrame:
-    """``construct_id, base, start, run`` of maximal runs of at least ``least``; on a circle the last run joins the first of its base."""
-    w = Window.partitionBy("construct_id").orderBy("pos")
-    rows = bases(df, 0)
-    new = (F.col("base") != F.lag("base").over(w)).cast("int")
-    runs = rows.withColumn("_g", F.sum(F.coalesce(new, F.lit(1))).over(w)).groupBy("construct_id", "length", "circular", "_g", "base").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("run"))
-    return _join_ends(runs).where(F.col("run") >= least)
-
-
-def _join_ends(runs: DataFrame) -> DataFrame:
-    each = Window.partitionBy("construct_id")
-    first = F.max(F.when(F.col("start") == 0, F.struct("base", "run"))).over(each)
-    last = F.max(F.when(F.col("start") + F.col("run") == F.col("length"), F.struct("base", "run"))).over(each)
-    joins = F.col("circular") & (first["base"] == last["base"]) & (F.count(F.lit(1)).over(each) > 1)
-    marked = runs.withColumn("_joins", joins).withColumn("_first", first["run"])
-    at_start, at_end = F.col("start") == 0, F.col("start") + F.col("run") == F.col("length")
-    kept = marked.where(~(F.col("_joins") & at_start))
-    return kept.select("construct_id", "base", "start", F.when(F.col("_joins") & at_end, F.col("run") + F.col("_first")).otherwise(F.col("run")).alias("run"))
+    """``construct_id, base, start, run`` of maximal runs of at least ``least``; on a circle the last run joins the first of its base.
+
+    One map per construct: its runs are the gaps between changes of base, and no base is a row.
+    """
+    names = ["construct_id", "base", "start", "run"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for cid, seq, circular in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.frombuffer(seq.encode(), np.uint8)
+                edge = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                size = np.diff(np.append(edge, len(codes)))
+                if circular and len(edge) > 1 and codes[0] == codes[-1]:
+                    size[-1] += size[0]
+                    edge, size = edge[1:], size[1:]
+                edge, size = edge[size >= least], size[size >= least]
+                parts.append((np.full(len(edge), cid, np.int64), codes[edge], edge.astype(np.int32), size.astype(np.int32)))
+            ids, letters, starts, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, t) for t in (np.int64, np.uint8, np.int32, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(letters.view("S1").astype("U1")), pa.array(starts), pa.array(sizes)], names)
+
+    return df.where("length > 0").select("construct_id", "seq", "circular").mapInArrow(run, "construct_id long, base string, start int, run int")
 
 
 def tracts_of(seq: str, units: tuple[int, int], least: int) -> list[tuple[int, int, int]]:
