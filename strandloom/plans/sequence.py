@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -316,6 +316,4 @@ def arm_tm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kmer_top_recurring", f"""WITH {SQL}, {_starts_sql(9, 's9', False)}, c AS (SELECT construct_id, kmer, count(*) AS n FROM s9 GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY construct_id ORDER BY n DESC, kmer) AS rank FROM c)
 SELECT construct_id, kmer, n, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
 def top_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("construct_id").orderBy(F.desc("n"), "kmer")
-    rows = scan.positions(constructs(spark, sf_dir).withColumn("circular", F.lit(False)), 9).groupBy("construct_id", "kmer").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return kmers.top_recurring(constructs(spark, sf_dir))
