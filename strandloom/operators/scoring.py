@@ -53,6 +53,8 @@ def variants(cds: DataFrame, n: int, table_id: int, uniform: Column | None = Non
 
 Steps = tuple[int, int, int, int]
 STEPS: Steps = (7919, 104729, 1299709, 1000003)
+#: Codons drawn at once.
+BLOCK = 1 << 15
 
 
 def _drawer(n: int, table_id: int, of_codon: dict[str, float], steps: Steps) -> Callable[[int, str], np.ndarray]:
@@ -67,13 +69,23 @@ def _drawer(n: int, table_id: int, of_codon: dict[str, float], steps: Steps) ->
     index = {c: k for k, c in enumerate(codons)}
     a, b, c, m = steps
 
+    flat = table.ravel()
+    shift = np.arange(n, dtype=np.int64) * b % m
+    whole = np.int32 if m * int(sizes.max()) < 2**31 else np.int64
+
     def draw(cid: int, text: str) -> np.ndarray:
         row = np.array([index[text[i : i + 3]] for i in range(0, len(text) - 2, 3)], np.int64)
-        i = np.arange(len(row), dtype=np.int64) * c
+        first = ((cid * a + np.arange(len(row), dtype=np.int64) * c) % m).astype(whole)
+        many, base = sizes[row].astype(whole), row * table.shape[1]
         values = np.empty(n)
-        for v in range(n):
-            u = (cid * a + v * b + i) % m / m
-            values[v] = table[row, (u * sizes[row]).astype(np.int64)].sum() / max(1, 3 * len(row))
+        step = max(1, BLOCK // max(1, len(row)))
+        for v in range(0, n, step):
+            # The draws of some variants at once; what is drawn stays below m, so a turn is taken off, not divided.
+            drawn = first + shift[v : v + step, None].astype(whole)
+            drawn -= (drawn >= m) * whole(m)
+            drawn *= many
+            drawn //= whole(m)
+            values[v : v + step] = flat.take(drawn + base).sum(axis=1) / max(1, 3 * len(row))
         return values
 
     return draw
