@@ -24,7 +24,7 @@ def variants(cds: DataFrame, n: int, table_id: int, uniform: Column | None = Non
     """``construct_id, variant, cds`` of ``n`` synonymous variants of each coding sequence.
 
     Codons are drawn among synonyms by cumulative weight (uniform without weights, or where a family has none).  The draw
-    of variant v does not depend on ``n``: a smaller null is a prefix of a larger one.
+    of variant v does not depend on ``n``: a smaller null is a prefix of a larger one.  One map: nothing is shuffled.
     """
     code = dims.genetic_code(table_id)
     table = []
@@ -40,15 +40,49 @@ def variants(cds: DataFrame, n: int, table_id: int, uniform: Column | None = Non
             running += x / total
             steps.append((o, running))
         table.append((codon, steps))
-    lookup = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(c)).alias("c")) for o, c in x]) for pair in table for x in pair])
+    width = max(len(x) for _, x in table)
+    limits = np.array([[c for _, c in x] + [np.inf] * (width - len(x)) for _, x in table] + [[np.inf] * width])
+    texts = [[o for o, _ in x] + [x[-1][0]] * (width - len(x)) for _, x in table]
+    letters = np.array([[list(o.encode()) for o in x] for x in texts] + [[[0] * 3] * width], np.uint8)
+    last = np.array([len(x) - 1 for _, x in table] + [0])
+    index = {c: k for k, (c, _) in enumerate(table)}
     u = uniform if uniform is not None else hashed_uniform(0)
-    each = cds.select("construct_id", "cds", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
-    rows = each.select("construct_id", "variant", F.posexplode(dna.codons(F.col("cds"))).alias("i", "codon"))
-    options = F.element_at(lookup, F.col("codon"))
-    drawn = rows.withColumn("_u", u).withColumn("_o", options)
-    pick = F.coalesce(F.expr("try_element_at(filter(_o, x -> _u < x.c), 1).o"), F.expr("element_at(_o, -1).o"))
-    made = drawn.withColumn("pick", pick)
-    return made.groupBy("construct_id", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "pick"))), lambda x: x["pick"]), "").alias("cds"))
+    each = cds.select("construct_id", dna.codons(F.col("cds")).alias("_c")).select("construct_id", "_c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
+    rows = each.select("construct_id", "variant", F.posexplode("_c").alias("i", "codon"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Codons of a variant come one behind the other, as the explode has no shuffle behind it; the first has i = 0.
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(3).dictionary_encode()
+            row = np.array([index.get(x, len(table)) for x in words.dictionary.to_pylist()])[words.indices.to_numpy()]
+            pick = np.minimum((batch.column(4).to_numpy()[:, None] >= limits[row]).sum(axis=1), last[row])
+            drawn = letters[row, pick]
+            heads = np.flatnonzero(batch.column(2).to_numpy() == 0)
+            keys = list(zip(*(batch.column(k).take(pa.array(heads)).to_pylist() for k in (0, 1)), strict=True))
+            out = []
+            parts.append(drawn[: heads[0] if len(heads) else None])
+            for k, (head, end) in enumerate(zip(heads.tolist(), np.append(heads, batch.num_rows)[1:].tolist(), strict=True)):
+                if key is not None:
+                    out.append((*key, _joined(parts)))
+                key, parts = keys[k], [drawn[head:end]]
+            if out:
+                yield _variant_rows(out)
+        if key is not None:
+            yield _variant_rows([(*key, _joined(parts))])
+
+    return rows.select("construct_id", "variant", "i", "codon", u.cast("double").alias("_u")).mapInArrow(draw, "construct_id long, variant int, cds string")
+
+
+def _joined(parts: list[np.ndarray]) -> str:
+    """The text of codons; those that no table knows are left out."""
+    return b"".join(x.tobytes() for x in parts).replace(b"\0", b"").decode()
+
+
+def _variant_rows(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.string()], strict=True)], ["construct_id", "variant", "cds"])
 
 
 Steps = tuple[int, int, int, int]
