@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,31 +206,36 @@ def simplex(spark: SparkSession, axes: list[str], steps: int) -> DataFrame:
 def greedy_picks(cds: list[str], k: int) -> list[int]:
     """Indices of up to ``k`` designs: the farthest pair, then whatever is farthest from the picks; ties to the first."""
 
-    def far(a: str, b: str) -> float:
-        n = len(a) // 3
-        return sum(a[3 * i : 3 * i + 3] != b[3 * i : 3 * i + 3] for i in range(n)) / max(n, 1)
-
     first = list(dict.fromkeys(cds))
     if len(first) <= k:
         return [cds.index(x) for x in first]
-    pairs = [(far(first[i], first[j]), -i, -j) for i in range(len(first)) for j in range(i + 1, len(first))]
-    _, i, j = max(pairs)
+    # Codons as numbers, short designs filled with what no codon is; a distance counts the codons of its first design.
+    width = -(-max(map(len, first)) // 3) * 3
+    codes = np.array([np.frombuffer(x.encode().ljust(width, b"\0"), np.uint8) for x in first]).reshape(len(first), -1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+    far = [((codes[i, : len(x) // 3] != codes[:, : len(x) // 3]).sum(axis=1) / max(len(x) // 3, 1)).tolist() for i, x in enumerate(first)]
+    _, i, j = max((far[i][j], -i, -j) for i in range(len(first)) for j in range(i + 1, len(first)))
     picks = [-i, -j][:k]
     while len(picks) < k:
         rest = [x for x in range(len(first)) if x not in picks]
-        picks.append(max(rest, key=lambda x: (min(far(first[x], first[p]) for p in picks), -x)))
+        picks.append(max(rest, key=lambda x: (min(far[x][p] for p in picks), -x)))
     return [cds.index(first[x]) for x in picks]
 
 
 def gallery(designs: DataFrame, k: int = 3) -> DataFrame:
     """``panel, pick, candidate, cds``: greedy max-min choice within each panel of designs (a panel is a sweep, so a few dozen)."""
+    names = ["panel", "pick", "candidate", "cds"]
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("candidate").reset_index(drop=True)
-        at = greedy_picks(pdf.cds.tolist(), k)
-        return pd.DataFrame({"panel": pdf.panel.iloc[0], "pick": range(len(at)), "candidate": pdf.candidate.iloc[at].tolist(), "cds": pdf.cds.iloc[at].tolist()})
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for panel, designs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = [d["cds"] for d in designs]
+                rows += [(panel, n, designs[x]["candidate"], texts[x]) for n, x in enumerate(greedy_picks(texts, k))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.string()], strict=True)], names)
 
-    return designs.groupBy("panel").applyInPandas(choose, "panel long, pick int, candidate long, cds string")
+    panels = designs.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("candidate", "cds"))).alias("designs"))
+    return panels.mapInArrow(choose, "panel long, pick int, candidate long, cds string")
 
 
 def panel_accepted(picks: DataFrame, least: int = 3, distance: float = 0.15) -> DataFrame:
