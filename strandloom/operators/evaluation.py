@@ -301,15 +301,16 @@ BREACH = "construct_id long, spec_id string, kind string, start int, end int, st
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
 
 
-def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct], Iterator[Breach]]] | None = None, shape: bool = False) -> DataFrame:
+def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct], Iterator[Breach]]] | None = None, shape: bool = False, worst: bool = False) -> DataFrame:
     """Breaches of every rule of ``evaluators`` (all of :data:`EVALUATORS`) on ``constructs(construct_id, seq, circular, segments)``.
 
-    With ``shape`` each row carries its construct's ``length`` and ``circular``, so that breaches are merged round circles without a join.
+    With ``shape`` each row carries its construct's ``length`` and ``circular``, so that breaches are merged round circles without a join;
+    with ``worst`` the largest magnitude of its rule on its construct, so that passing evaluations are left out without one.
     """
     rules = evaluators or EVALUATORS
-    schema = BREACH + ", length int, circular boolean" if shape else BREACH
+    schema = BREACH + (", length int, circular boolean" if shape else "") + (", worst double" if worst else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    types = _TYPES + [pa.int32(), pa.bool_()] if shape else _TYPES
+    types = _TYPES + ([pa.int32(), pa.bool_()] if shape else []) + ([pa.float64()] if worst else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +319,10 @@ def breaches(constructs: DataFrame, evaluators: dict[str, Callable[[Construct],
                 row = [batch.column(k)[i].as_py() for k in range(4)]
                 c = Construct(row[1], row[2], row[3] or [])
                 more = (c.n, bool(c.circular)) if shape else ()
-                out += [(row[0], spec, *b, *more) for spec, rule in rules.items() for b in rule(c)]
+                for spec, rule in rules.items():
+                    found = list(rule(c))
+                    most = (max(b[4] for b in found),) if worst and found else ()
+                    out += [(row[0], spec, *b, *more, *most) for b in found]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -142,13 +142,13 @@ def findings(breaches: DataFrame, enforcement: DataFrame) -> DataFrame:
     """Breaches of failing evaluations with their effective enforcement and route.
 
     A passing evaluation (no magnitude of 1, or of :data:`FAILS_AT`) contributes nothing.  ``enforcement`` has one row per rule, so it is
-    broadcast.
+    broadcast.  Breaches that carry the ``worst`` magnitude of their evaluation (:func:`.evaluation.breaches` knows it) are not shuffled.
     """
     at = F.lit(1.0)
     for spec, least in FAILS_AT.items():
         at = F.when(F.col("spec_id") == spec, least).otherwise(at)
-    failing = evaluate(breaches).where(F.col("worst") >= at).select("construct_id", "spec_id")
-    routed = breaches.join(failing, ["construct_id", "spec_id"], "left_semi").join(F.broadcast(enforcement), "spec_id")
+    worst = F.col("worst") if "worst" in breaches.columns else F.max("magnitude").over(Window.partitionBy("construct_id", "spec_id"))
+    routed = breaches.withColumn("_worst", worst).where(F.col("_worst") >= at).drop("_worst", "worst").join(F.broadcast(enforcement), "spec_id")
     route = F.when(F.col("enforcement") == "SOFT", "score").when(F.col("fixable"), "repair").otherwise("advise")
     return routed.withColumn("route", route)
 
