@@ -124,15 +124,20 @@ def family_table(frequencies: Mapping[str, float], table_id: int) -> dict[str, t
 
 def min_max(codons: list[str], stats: Mapping[str, tuple[float, float, float, float]], width: int = MIN_MAX_WINDOW) -> np.ndarray:
     """%MinMax at every codon, by prefix sums: over windows shortened at the ends, in which codons without a choice hold their place."""
+    none = (0.0, 0.0, 0.0, 0.0)
+    return _min_max(np.array([stats.get(c, none) for c in codons]).reshape(-1, 4), width)
+
+
+def _min_max(values: np.ndarray, width: int) -> np.ndarray:
+    """:func:`min_max` of frequencies, means, largest and least by codon, for any number of tables at once: ``values`` is codons x tables x 4."""
     if width < 1:
         raise ValueError("a window has one codon at least")
-    none = (0.0, 0.0, 0.0, 0.0)
-    sums = np.concatenate((np.zeros((1, 4)), np.cumsum(np.array([stats.get(c, none) for c in codons]).reshape(-1, 4), axis=0)))
-    at = np.arange(len(codons))
-    used, mean, most, least = (sums[np.minimum(at + width // 2 + 1, len(codons))] - sums[np.maximum(at - (width - 1) // 2, 0)]).T
+    sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)))
+    at = np.arange(len(values))
+    used, mean, most, least = np.moveaxis(sums[np.minimum(at + width // 2 + 1, len(values))] - sums[np.maximum(at - (width - 1) // 2, 0)], -1, 0)
     up, down = most - mean, mean - least
     # Sums of frequencies carry rounding: what is nothing to it is nothing.
-    tiny = 1e-12 * np.maximum(sums[-1, 2], 1e-300)
+    tiny = 1e-12 * np.maximum(sums[-1, ..., 2], 1e-300)
     high = 100.0 * (used - mean) / np.where(up > tiny, up, 1.0)
     low = -100.0 * (mean - used) / np.where(down > tiny, down, 1.0)
     return np.where(used >= mean, np.where(up > tiny, high, 0.0), np.where(down > tiny, low, 0.0))
@@ -148,6 +153,14 @@ def codon_profiles(texts: DataFrame, frequencies: DataFrame, width: int = MIN_MA
     for r in frequencies.where(F.col("host").isin(*dims.HOST_TABLE) & F.col("codon").isin(*dims.CODONS)).groupBy("host", "codon").agg(F.max("freq").alias("freq")).collect():
         usage.setdefault(r.host, {})[r.codon] = r.freq
     tables = {h: family_table(u, dims.HOST_TABLE[h]) for h, u in sorted(usage.items())}
+    # Codons by number, 64 for what is none; a table a host.
+    hosts, letters = list(tables), np.full(256, 64, np.int64)
+    letters[list(b"ACGT")] = range(4)
+    values = np.zeros((65, len(hosts), 4))
+    for k, stats in enumerate(tables.values()):
+        for c, row in stats.items():
+            values[int(letters[list(c.encode())] @ (16, 4, 1)), k] = row
+    held = values.any(axis=2)
     names = ["construct_id", "host", "strand", "mean", "peak", "trough", "n"]
     types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
 
@@ -157,12 +170,12 @@ def codon_profiles(texts: DataFrame, frequencies: DataFrame, width: int = MIN_MA
                 out = []
                 for strand in (1, -1):
                     read = text if strand == 1 else dna.complement_text(text)
-                    codons = [read[i : i + 3] for i in range(0, len(read), 3)]
-                    for host, stats in tables.items():
-                        n = sum(c in stats for c in codons)
-                        if n:
-                            profile = min_max(codons, stats, width)
-                            out.append((cid, host, strand, float(profile.mean()), float(profile.max()), float(profile.min()), n))
+                    ids = np.minimum(letters[np.frombuffer(read.encode("ascii", "replace"), np.uint8)].reshape(-1, 3) @ (16, 4, 1), 64)
+                    n = held[ids].sum(axis=0)
+                    if n.any():
+                        profile = _min_max(values[ids], width)
+                        each = zip(hosts, profile.mean(axis=0).tolist(), profile.max(axis=0).tolist(), profile.min(axis=0).tolist(), n.tolist(), strict=True)
+                        out += [(cid, host, strand, *rest) for host, *rest in each if rest[-1]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
