@@ -362,8 +362,12 @@ def recurrence(constructs: DataFrame, k: int = 12, least: int = 3) -> DataFrame:
     return constructs.select("construct_id", "seq", "circular", F.col("segments").cast(SEGMENTS)).mapInArrow(run, "construct_id long, scored int, recurring int, raw_score double, landing_kmers int")
 
 
-def open_frames(constructs: DataFrame, table_id: int, least_aa: int = 80) -> DataFrame:
-    """``construct_id, start, end, strand``: the longest frame to each stop on both strands, over the origin of circles."""
+def open_frames(constructs: DataFrame, table_id: int, least_aa: int = 80, shape: bool = False) -> DataFrame:
+    """``construct_id, start, end, strand``: the longest frame to each stop on both strands, over the origin of circles.
+
+    With ``shape`` each row carries its construct's ``length``, so that no join has to bring it.
+    """
+    names = ["construct_id", "start", "end", "strand", *(["length"] if shape else [])]
     stops = dims.stops(table_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +393,8 @@ def open_frames(constructs: DataFrame, table_id: int, least_aa: int = 80) -> Dat
                         for s, e in zip(mine[first].tolist(), ends[at[first]].tolist(), strict=True):
                             if (e - s) // 3 >= least_aa:
                                 lo = s % n if strand == 1 else (n - e - 3) % n
-                                out.append((cid, lo, lo + e + 3 - s, strand))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["construct_id", "start", "end", "strand"])
+                                out.append((cid, lo, lo + e + 3 - s, strand, *([n] if shape else [])))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k else pa.int64()) for k, x in enumerate(cols)], names)
 
-    return constructs.select("construct_id", "seq", "circular").mapInArrow(run, "construct_id long, start int, end int, strand int")
+    return constructs.select("construct_id", "seq", "circular").mapInArrow(run, "construct_id long, start int, end int, strand int" + (", length int" if shape else ""))

@@ -112,13 +112,14 @@ def polylinkers(features: DataFrame) -> DataFrame:
 def suggestions(scores: DataFrame, gaps: DataFrame, limit: int = 5) -> DataFrame:
     """``construct_id, rank, kind, start, end, strand, score``: the best frames, then the gaps, widest first, where no frame is confident."""
     best = survey.rank_sites(scores, limit).withColumn("kind", F.lit("orf"))
-    sure = best.where("rank = 1 and confident").select("construct_id")
-    w = Window.partitionBy("construct_id").orderBy(F.col("start") - F.col("end"), "j")
-    more = gaps.join(sure, "construct_id", "left_anti").withColumn("n", F.row_number().over(w))
-    offset = best.groupBy("construct_id").agg(F.max("rank").alias("offset"))
-    more = more.join(offset, "construct_id", "left").withColumn("rank", F.col("n") + F.coalesce("offset", F.lit(0)))
-    cols = ["construct_id", "rank", "kind", "start", "end", "strand", "score"]
-    return best.select(*cols).unionByName(more.withColumn("kind", F.lit("cloning_site")).withColumn("strand", F.lit(1)).withColumn("score", F.lit(0)).select(*cols))
+    more = gaps.select("construct_id", "start", "end", "j", F.lit(1).alias("strand"), F.lit(0).alias("score"), F.lit("cloning_site").alias("kind"))
+    # Frames and gaps of a construct are one window: scores are found once, however many questions the gaps ask of them.
+    each, gap = Window.partitionBy("construct_id"), F.col("kind") == "cloning_site"
+    nth = Window.partitionBy("construct_id", "kind").orderBy(F.col("start") - F.col("end"), "j")
+    rows = best.unionByName(more, allowMissingColumns=True)
+    rows = rows.withColumn("_sure", F.coalesce(F.max((F.col("rank") == 1) & F.col("confident")).over(each), F.lit(False))).withColumn("_offset", F.coalesce(F.max("rank").over(each), F.lit(0)))
+    rows = rows.withColumn("_n", F.row_number().over(nth)).where(~(gap & F.col("_sure")))
+    return rows.withColumn("rank", F.when(gap, F.col("_n") + F.col("_offset")).otherwise(F.col("rank"))).select("construct_id", "rank", "kind", "start", "end", "strand", "score")
 
 
 def choose_sites(requests: DataFrame, features: DataFrame) -> DataFrame:
