@@ -302,9 +302,7 @@ def orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] <> y[i] AS INT))) / len(x) AS distance FROM p""")
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Designs of one panel have one length; here length groups stand for panels.
-    cds = coding(spark, sf_dir).where(F.length("cds").between(180, 194)).withColumn("n", F.length("cds"))
-    other = cds.select(F.col("construct_id").alias("b"), F.col("cds").alias("y"), "n")
-    return cds.join(other, "n").where("construct_id < b").select(F.col("construct_id").alias("a"), "b", dna.codon_distance(F.col("cds"), F.col("y")).alias("distance"))
+    return codon_ops.distances(coding(spark, sf_dir).where(F.length("cds").between(180, 194)))
 
 
 @query("homology_arm_tm")
