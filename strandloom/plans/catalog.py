@@ -91,7 +91,7 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("catalog_evaluations")
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of the catalog on every construct, with its own pass test."""
-    return catalog.evaluations(catalog.breaches(segmented(spark, sf_dir)))
+    return catalog.evaluated(segmented(spark, sf_dir))
 
 
 @query("circular_repeats")
