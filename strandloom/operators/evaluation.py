@@ -203,9 +203,8 @@ def splice_sites(c: Construct, strands: tuple[int, ...] = (1,), acceptors: bool
                 yield "acceptor", lo, lo + 2, strand, 1.0, c.touches_cds(lo, lo + 2)
 
 
-def tandem_repeats(c: Construct, max_unit: int = 6, warn: int = 20, hard: int = 100, cap: int = 200) -> Iterator[Breach]:
-    """e7: tandem tracts of the designable spans at their least period; the overrun over ``warn``, doubled over ``hard``."""
-    made = 0
+def tandem_repeats(c: Construct, max_unit: int = 6, warn: int = 20, hard: int = 100) -> Iterator[Breach]:
+    """e7: all tandem tracts of the designable spans at their least period; the overrun over ``warn``, doubled over ``hard``."""
     for begin, text in c.spans():
         codes, kept = _codes(text), []
         for period in range(1, max_unit + 1):
@@ -220,8 +219,7 @@ def tandem_repeats(c: Construct, max_unit: int = 6, warn: int = 20, hard: int =
                 if not any(p < period and s <= a and b + period <= e for s, e, p in kept):
                     kept.append((a, b + period, period))
         for a, b, period in sorted(kept):
-            if period > 1 and made < cap:
-                made += 1
+            if period > 1:
                 at = (begin + a) % c.n if c.circular else begin + a
                 # Whether it can be mended is asked at the fragment's own coordinates, as the rule has it.
                 yield text[a : a + period], at, at + b - a, 1, (b - a - warn + 1) / warn * (2.0 if b - a > hard else 1.0), c.touches_cds(a, b)
