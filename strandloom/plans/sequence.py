@@ -298,11 +298,11 @@ def orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.open_reading_frames(constructs(spark, sf_dir))
 
 
-@query("codon_distance_matrix", f"""WITH {SQL}, {CODING_SQL}, {CODONS_SQL}, c AS (SELECT construct_id, list(codon ORDER BY i) AS cs FROM codons GROUP BY construct_id HAVING count(*) BETWEEN 60 AND 64), p AS (SELECT a.construct_id AS a, b.construct_id AS b, a.cs AS x, b.cs AS y FROM c a JOIN c b ON a.construct_id < b.construct_id AND len(a.cs) = len(b.cs))
+@query("codon_distance_matrix", f"""WITH {SQL}, {CODING_SQL}, {CODONS_SQL}, c AS (SELECT construct_id, list(codon ORDER BY i) AS cs FROM codons GROUP BY construct_id), p AS (SELECT a.construct_id AS a, b.construct_id AS b, a.cs AS x, b.cs AS y FROM c a JOIN c b ON a.construct_id < b.construct_id AND len(a.cs) = len(b.cs))
 SELECT a, b, list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] <> y[i] AS INT))) / len(x) AS distance FROM p""")
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Designs of one panel have one length; here length groups stand for panels.
-    return codon_ops.distances(coding(spark, sf_dir).where(F.length("cds").between(180, 194)))
+    return codon_ops.distances(coding(spark, sf_dir))
 
 
 @query("homology_arm_tm")
